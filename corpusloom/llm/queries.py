@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .fingerprints import op5_fingerprints
 from .packing import op9_packing
 from .sharding import op1_sharding
 
@@ -11,6 +12,7 @@ def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
         "op2_byte_bpe": op2_byte_bpe,
+        "op5_fingerprints": op5_fingerprints,
         "op9_packing": op9_packing,
     }
 
