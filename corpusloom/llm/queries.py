@@ -6,6 +6,7 @@ from .bpe import op2_byte_bpe
 from .fingerprints import op5_fingerprints
 from .packing import op9_packing
 from .sharding import op1_sharding
+from .toxicity import op6_toxicity
 
 
 def queries() -> dict:
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op1_sharding": op1_sharding,
         "op2_byte_bpe": op2_byte_bpe,
         "op5_fingerprints": op5_fingerprints,
+        "op6_toxicity": op6_toxicity,
         "op9_packing": op9_packing,
     }
 
