@@ -385,10 +385,11 @@ def packed(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(at, at[1:])]
 
 
-def bpe_encode(df: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_offsets: bool = False) -> DataFrame:
+def bpe_encode(df: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_offsets: bool = False, round_trip: bool = False) -> DataFrame:
     """``id_col``, ``ids`` (binary, little-endian 32-bit) and, if asked for, ``slice_starts`` (binary, likewise: the byte
-    at which each pre-token starts).  A null or empty text has no ids.  ``ranks_path`` must exist on the executors."""
-    fields = f"{id_col} {dict(df.dtypes)[id_col]}, ids binary" + ", slice_starts binary" * keep_offsets
+    at which each pre-token starts) and ``decoded`` (binary: what the ids spell, decoded in the same pass).  A null or
+    empty text has no ids.  ``ranks_path`` must exist on the executors."""
+    fields = f"{id_col} {dict(df.dtypes)[id_col]}, ids binary" + ", slice_starts binary" * keep_offsets + ", decoded binary" * round_trip
 
     def run(batches):
         cache = slice_cache(ranks_path)
@@ -400,7 +401,9 @@ def bpe_encode(df: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_c
                 if keep_offsets:
                     begins = (starts - np.repeat(offsets[:-1], np.diff(first))).astype("<u4")
                     columns.append(pa.array(packed(begins, first), pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "slice_starts"][: len(columns)])
+                if round_trip:
+                    columns.append(pa.array([decode_ids(ids[a:b], ranks_path) for a, b in zip(bounds.tolist(), bounds[1:].tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "ids"] + ["slice_starts"] * keep_offsets + ["decoded"] * round_trip)
 
     return df.select(id_col, text_col).mapInArrow(run, fields)
 
@@ -440,7 +443,7 @@ def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path), path)
+    decoded = bpe_encode(table(spark, sf_dir, "documents"), path, round_trip=True)
     return decoded.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
