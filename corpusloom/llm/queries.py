@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_byte_bpe
 from .fingerprints import op5_fingerprints
+from .ngram_join import op3_ngram_join
 from .packing import op9_packing
 from .sharding import op1_sharding
 from .toxicity import op6_toxicity
@@ -13,6 +14,7 @@ def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_ngram_join": op3_ngram_join,
         "op5_fingerprints": op5_fingerprints,
         "op6_toxicity": op6_toxicity,
         "op9_packing": op9_packing,
