@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .embedding_dedup import op10_embedding_dedup
 from .fingerprints import op5_fingerprints
 from .ngram_join import op3_ngram_join
 from .packing import op9_packing
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op5_fingerprints": op5_fingerprints,
         "op6_toxicity": op6_toxicity,
         "op9_packing": op9_packing,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
