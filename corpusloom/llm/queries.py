@@ -8,6 +8,7 @@ from .fingerprints import op5_fingerprints
 from .ngram_join import op3_ngram_join
 from .packing import op9_packing
 from .sharding import op1_sharding
+from .suffix_dedup import op7_suffix_dedup
 from .toxicity import op6_toxicity
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_ngram_join": op3_ngram_join,
         "op5_fingerprints": op5_fingerprints,
         "op6_toxicity": op6_toxicity,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op9_packing": op9_packing,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
