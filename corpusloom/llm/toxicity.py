@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BLOCK_BYTES
 from .common import mixed, row_blocks, text_bytes
 
 BUCKETS = 1 << 18
+BLOCK_BYTES = 2 << 20
 PREFIXES = (4, 5)
 BASE = 0x9E3779B97F4A7C15
 LONGEST = 40  # bytes of a word that are looked at
@@ -101,11 +101,15 @@ def train(
     texts, labels = list(once), np.array(list(once.values()))
     if len(texts) == 0 or labels.min() == labels.max():
         return Model(weights, 2.0 if len(texts) and labels[0] == 1 else -12.0)
-    buckets, sentence, owner, _, _ = features(*text_bytes(pa.array(texts, pa.string())))
-    count = len(owner)
-    pairs = np.unique(owner[sentence][:, None].astype(np.int64) * BUCKETS + buckets)
-    having = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-    toxic = np.bincount(pairs % BUCKETS, weights=labels[pairs // BUCKETS], minlength=BUCKETS)
+    parts, having, toxic = [], np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    count = 0
+    for lo, hi in text_blocks(texts):
+        buckets, sentence, owner, _, _ = features(*text_bytes(pa.array(texts[lo:hi], pa.string())))
+        pairs = np.unique(owner[sentence][:, None] * BUCKETS + buckets)
+        having += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+        toxic += np.bincount(pairs % BUCKETS, weights=labels[lo + pairs // BUCKETS], minlength=BUCKETS)
+        parts.append((buckets, (sentence + count).astype(np.int32), (owner + lo).astype(np.int32)))
+        count += len(owner)
     rate_toxic = labels.mean()
     above = (toxic - having * rate_toxic) / np.sqrt(np.maximum(having, 1) * rate_toxic * (1 - rate_toxic))
     usable = (having >= at_least) & (above >= evidence)
@@ -113,9 +117,13 @@ def train(
     kept = np.flatnonzero(usable)
     number = np.zeros(BUCKETS, np.int32)
     number[kept] = np.arange(1, len(kept) + 1)
-    columns = number[buckets]
-    told = columns.any(axis=1)  # words without a used feature say nothing
-    columns, of = columns[told], sentence[told]
+    columns, of, owner = [], [], np.concatenate([o for _, _, o in parts])
+    for buckets, sentence, _ in parts:
+        part = number[buckets]
+        told = part.any(axis=1)  # words without a used feature say nothing
+        columns.append(part[told]), of.append(sentence[told])
+    columns, of = np.concatenate(columns), np.concatenate(of)
+    del parts
     w, bias = np.zeros(len(kept) + 1), -6.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):
@@ -139,11 +147,22 @@ def train(
     return Model(weights, float(bias))
 
 
+def text_blocks(texts: list[str], most: int = BLOCK_BYTES):
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and held + len(t) > most:
+            yield start, i
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def is_held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_positive: int = 4000, most_negative: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, most_positive: int = 3000, most_negative: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most ``most_positive`` and ``most_negative`` labelled texts that are not held out.
 
     Rows without an id or a label are left out; an id that has both labels counts as toxic.
