@@ -110,7 +110,7 @@ def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = told.where("n = 1 and differ")
     stand = repeated.where("name = chosen and differ").dropDuplicates(KEYS).join(open_.select("key").distinct(), "key")
     columns = [c for c in rows.columns if c not in ("differ", "name", "n", "chosen")]
-    return repeated, open_.select(*columns).union(stand.select(*columns))
+    return repeated, released(open_.select(*columns).union(stand.select(*columns)))
 
 
 def surroundings(docs: DataFrame, rows: DataFrame, length: int, seed: int) -> DataFrame:
