@@ -7,6 +7,7 @@ from .embedding_dedup import op10_embedding_dedup
 from .fingerprints import op5_fingerprints
 from .ngram_join import op3_ngram_join
 from .packing import op9_packing
+from .pii import op8_pii
 from .sharding import op1_sharding
 from .suffix_dedup import op7_suffix_dedup
 from .toxicity import op6_toxicity
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_fingerprints": op5_fingerprints,
         "op6_toxicity": op6_toxicity,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_pii": op8_pii,
         "op9_packing": op9_packing,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
