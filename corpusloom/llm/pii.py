@@ -93,7 +93,10 @@ def proposals(text: Column) -> Column:
     numeric = F.rlike(text, F.lit("[0-9]"))
     spelled = F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")) | (F.contains(text, F.lit(" at ")) & F.contains(text, F.lit("dot")))
     found = [spans_of(text, p, may) for p, may in ((SECRET, numeric), (NUMBER, numeric), (SPELLED, spelled))]
-    tagged = [F.transform(s, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))) for k, s in enumerate(found)]
+
+    def tagged(spans, kind):
+        return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+
     count = lambda x, p: F.regexp_count(x, F.lit(p)).cast("double")
 
     def features(c):
@@ -111,7 +114,7 @@ def proposals(text: Column) -> Column:
             ).alias("f"),
         )
 
-    return F.transform(F.concat(*tagged), features)
+    return F.transform(F.concat(*[tagged(s, k) for k, s in enumerate(found)]), features)
 
 
 def generated(n: int, seed: int) -> list[tuple[str, float]]:
