@@ -10,6 +10,7 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -28,6 +29,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """A checkpoint after which the shuffle files of what led to it can go."""
+    out = checkpointed(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

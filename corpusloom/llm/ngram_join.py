@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mixed, row_blocks, text_bytes
+from .common import mixed, released, row_blocks, text_bytes
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -106,20 +106,20 @@ def ngram_jaccard_components(
     Repeated rows are copies like any others.  ``id_col`` must be integral; a null id names a component only if all
     its ids are null.
     """
-    features = checkpointed(set_features(docs, words, percent, id_col, text_col, "sig").withColumnRenamed(id_col, "_id"))
+    features = released(set_features(docs, words, percent, id_col, text_col, "sig").withColumnRenamed(id_col, "_id"))
     rows = features.where("n > 0").select("s1", F.explode("sig").alias("sig"))
-    hubs = rows.groupBy("sig").agg(F.min("s1").alias("hub"), F.max("s1").alias("top")).where("hub < top").select("sig", "hub")
-    shared = checkpointed(rows.join(hubs, "sig").distinct())
+    hubs = released(rows.groupBy("sig").agg(F.min("s1").alias("hub"), F.max("s1").alias("top")).where("hub < top").select("sig", "hub"))
+    shared = released(rows.join(hubs, "sig").distinct())
 
     # Sets of the candidates, each from one of its documents.
     chosen = features.join(shared.select("s1").distinct(), "s1").groupBy("s1").agg(F.min("_id").alias(id_col)).select(id_col).distinct()
     chosen = chosen.withColumnRenamed(id_col, "_chosen")
     texts = docs.select(id_col, text_col).join(chosen, F.col(id_col).eqNullSafe(F.col("_chosen"))).drop("_chosen")
-    sets = checkpointed(set_features(texts, words, percent, id_col, text_col, "tokens").select("s1", "n", "tokens").dropDuplicates(["s1"]))
+    sets = released(set_features(texts, words, percent, id_col, text_col, "tokens").select("s1", "n", "tokens").dropDuplicates(["s1"]))
 
     pairs = shared.where("s1 != hub").select("s1", "hub").distinct()
     other = sets.select(F.col("s1").alias("hub"), F.col("n").alias("m"), F.col("tokens").alias("others"))
-    links = checkpointed(
+    links = released(
         pairs.join(sets, "s1").join(other, "hub")
         .withColumn("i", F.size(F.array_intersect("tokens", "others"))).where(similar(percent))
         .select(F.col("s1").alias("a"), F.col("hub").alias("b"))
@@ -130,7 +130,7 @@ def ngram_jaccard_components(
     open_ = shared.select("sig", "s1").join(first.withColumnRenamed("node", "s1"), "s1", "left").select(
         "sig", "s1", F.coalesce("component", "s1").alias("c")
     )
-    open_ = checkpointed(several(open_))
+    open_ = released(several(open_))
     for _ in range(2):
         left = sets.join(open_.select("s1").distinct(), "s1")
         private = (
@@ -140,14 +140,14 @@ def ngram_jaccard_components(
         bound = left.select("s1", "n").join(private, "s1", "left").select("s1", "n", F.coalesce("u", F.lit(0)).alias("u"))
         # Two sets differ in at least their private shingles: u <= (n + m)(100 - p) / (100 + p), m <= 100 n / p.
         alive = bound.where(F.col("u") * (100 + percent) * percent <= F.col("n") * (percent + 100) * (100 - percent)).select("s1", "u")
-        open_ = checkpointed(several(open_.select("sig", "s1", "c").join(alive, "s1")))
+        open_ = released(several(open_.select("sig", "s1", "c").join(alive, "s1")))
     centres = open_.groupBy("sig").agg(F.min("s1").alias("b"))
     groups = connected_components(open_.join(centres, "sig").select(F.col("s1").alias("a"), "b"))
     members = (
         open_.select("s1", "c", "u").distinct().join(groups.withColumnRenamed("node", "s1"), "s1").join(sets, "s1")
         .select(F.col("component").alias("g"), "s1", "c", "u", "n", "tokens")
     )
-    more = compared(checkpointed(members), percent, block_tokens)
+    more = compared(released(members), percent, block_tokens)
 
     links = links.select("a", "b").union(more)
     final = connected_components(links).select(F.col("node").alias("s1"), "component")

@@ -18,7 +18,6 @@ A *window* is a string of ``length`` bytes.  Every byte of a window that starts
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import powers
-from .common import checkpointed, mixed, row_blocks, text_bytes
+from .common import mixed, released, row_blocks, text_bytes
 
 BLOCK_BYTES = 2 << 20
 #: Widths, in windows, that anchors with many surroundings are split to.
@@ -36,15 +35,6 @@ BATCH = 6_000
 KEYS = ["key", "hull"]
 
 
-def released(df: DataFrame) -> DataFrame:
-    """A checkpoint after which shuffle files of what led to it can go."""
-    out = checkpointed(df)
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive values."""
     n = len(values)
