@@ -4,7 +4,8 @@ Documents become sets of hashed word shingles; equal sets are one *set* with man
 
 1. *Signatures.*  Sets whose sizes may be similar share a level.  A level allows at most D differing shingles, so its
    sets are split by shingle hash into D + 2 parts: two similar sets agree in at least two whole parts.  Each part's
-   hash is a signature.  (A set with more than one empty part also has signatures of its empty parts.)
+   hash is a signature.  (A set with more than one empty part also has signatures of its empty parts.)  For lower
+   similarities, parts would be small; there the first shingles of each set in one global order are its signatures.
 2. *Groups.*  Sets that share signatures are gathered around the smallest of them; each set is compared with the
    centres it shares a signature with, and components of the links found so far are formed.
 3. *Bounds.*  Only pairs from different components can still matter.  A shingle that no other candidate holds must
@@ -54,7 +55,15 @@ def levels(size: int, percent: int) -> list[tuple[int, int]]:
     return [(j, (100 - percent) * 2 * (int(start[(j + 1) * WIDTH + 1]) - 1) // (100 + percent)) for j in out]
 
 
+#: From this similarity on, parts make better signatures than single shingles.
+PARTS_FROM = 85
+
+
 def signatures(tokens: np.ndarray, values: np.ndarray, percent: int) -> np.ndarray:
+    if percent < PARTS_FROM:
+        # In any one order of all shingles, similar sets share one of their first few.
+        few = len(tokens) - -(-len(tokens) * percent // 100) + 1 if len(tokens) else 0
+        return tokens[np.argsort(values, kind="stable")[:few]]
     found = []
     for level, differ in levels(len(tokens), percent):
         if differ == 0:  # only equal sets are similar

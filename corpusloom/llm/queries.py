@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op2_byte_bpe
 from .embedding_dedup import op10_embedding_dedup
 from .fingerprints import op5_fingerprints
+from .licenses import op4_license_scan
 from .ngram_join import op3_ngram_join
 from .packing import op9_packing
 from .pii import op8_pii
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_sharding": op1_sharding,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_ngram_join": op3_ngram_join,
+        "op4_license_scan": op4_license_scan,
         "op5_fingerprints": op5_fingerprints,
         "op6_toxicity": op6_toxicity,
         "op7_suffix_dedup": op7_suffix_dedup,

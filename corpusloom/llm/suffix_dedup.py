@@ -277,14 +277,15 @@ def repeated_spans(docs: DataFrame, length: int, seed: int, most: int) -> DataFr
 
 
 def without_repeats(
-    docs: DataFrame, *, length: int = 400, seed: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most: int = 6_000
+    docs: DataFrame, *, length: int = 400, seed: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most: int = 6_000, as_text: bool = False
 ) -> DataFrame:
     """Texts without the bytes of ``length``-byte strings that start anywhere else too.
 
     Returns ``keep`` (``id_col`` alone by default) and ``n_bytes, n_removed, n_spans`` (maximal removed runs) and ``kept`` (binary).  Strings are judged on the
     input; matches never cross documents; overlapping occurrences and occurrences in one document count.  A null
     text is empty; shorter texts are kept whole; repeated rows are repeats of one another.  ``most`` bounds the
-    surroundings of one anchor that meet in one task.
+    surroundings of one anchor that meet in one task.  With ``as_text``, ``kept`` is a string without the characters that a
+    cut has split.
     """
     keep = keep or [id_col]
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
@@ -313,13 +314,14 @@ def without_repeats(
                 opens[first] = gone[first]
                 total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[offsets])
                 kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+                kept = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*(block.column(c) for c in keep), pa.array(np.diff(offsets)), pa.array(total(gone)), pa.array(total(opens)), pa.array(kept, pa.binary())],
+                    [*(block.column(c) for c in keep), pa.array(np.diff(offsets)), pa.array(total(gone)), pa.array(total(opens)), kept],
                     [*keep, "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return whole.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return whole.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
