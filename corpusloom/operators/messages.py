@@ -38,6 +38,6 @@ def tool_sources(outputs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 def sessions(events: DataFrame, key: str, *, ts: str = "ts", seconds: int = 7200) -> DataFrame:
     """``events`` with ``age_s`` since the key's first event and whether its session has ended by then."""
-    start = F.min(ts).over(Window.partitionBy(key))
-    age = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    age = (at - F.min(at).over(Window.partitionBy(key))).cast("double") / 1_000_000
     return events.withColumn("age_s", age).withColumn("expired", F.col("age_s") > seconds)

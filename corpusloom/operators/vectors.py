@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class TooManyQueries(ValueError):
@@ -106,7 +107,7 @@ def embedded(texts: DataFrame, embed, *, dim: int, text_col: str = "text", retri
     retried, and a batch that still fails records its error and does not end the job."""
     import time
 
-    schema = texts.schema.add("embedding", "array<float>").add("error", "string")
+    schema = T.StructType([*texts.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
 
     def run(batches):
         for rows in batches:

@@ -522,9 +522,9 @@ def tool_sources(spark, d):
     return messages.tool_sources(rows)
 
 
-@query("SELECT event_id, round(epoch(ts) - epoch(min(ts) OVER (PARTITION BY user_id)), 3) AS age_s, round(epoch(ts) - epoch(min(ts) OVER (PARTITION BY user_id)), 3) > 7200 AS expired FROM events")
+@query("SELECT event_id, us::DOUBLE / 1000000 AS age_s, us::DOUBLE / 1000000 > 7200 AS expired FROM (SELECT event_id, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS us FROM events)")
 def session_ttl(spark, d):
-    return messages.sessions(t(spark, d, "events"), "user_id").select("event_id", F.round("age_s", 3).alias("age_s"), "expired")
+    return messages.sessions(t(spark, d, "events"), "user_id").select("event_id", "age_s", "expired")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")

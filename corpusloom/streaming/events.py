@@ -15,6 +15,11 @@ def event_stream(spark: SparkSession, folder: str, schema: str, files_a_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(folder)
 
 
+def timed(events: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a time with a zone; a stream's naive times are read as the session's."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")) if events.isStreaming else events
+
+
 def since(events: DataFrame, offset: int, id_col: str = "event_id") -> DataFrame:
     """Events after an offset, for a batch or a stream."""
     return events.where(F.col(id_col) > offset)
@@ -22,12 +27,12 @@ def since(events: DataFrame, offset: int, id_col: str = "event_id") -> DataFrame
 
 def first_sources(events: DataFrame, *keys: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """The first event of each combination of keys; later than ``late`` they may appear anew."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
+    return timed(events, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
 
 
 def windowed_counts(events: DataFrame, *, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes", by: str = "event_type") -> DataFrame:
     """An extension: events and their values in event-time windows."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
+    return timed(events, ts).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
         F.col("w.start").alias("start"), by, "n", "total"
     )
 
@@ -52,7 +57,7 @@ def session_ages(events: DataFrame, key: str = "user_id", *, ts: str = "ts", sec
         yield pd.DataFrame({key: [name[0]], "started": [pd.Timestamp(started, unit="us")], "n": [n], "ended": [False]})
 
     kind = dict(events.dtypes)[key]
-    return events.withWatermark(ts, late).groupBy(key).applyInPandasWithState(
+    return timed(events, ts).withWatermark(ts, late).groupBy(key).applyInPandasWithState(
         update, f"{key} {kind}, started timestamp, n long, ended boolean", "started long, n long", "update", GroupStateTimeout.EventTimeTimeout
     )
 

@@ -16,7 +16,7 @@ def test_windows_agree_with_batch(spark, small, tmp_path):
     schema = e.schema.simpleString()[7:-1].replace(":", " ")
     stream = S.event_stream(spark, str(tmp_path / "e"), schema)
     got = drained(S.windowed_counts(stream), "w", "update").groupBy("start", "event_type").agg(F.max("n").alias("n"))
-    want = S.windowed_counts(e).select("start", "event_type", "n")
+    want = S.windowed_counts(e).select(F.col("start").cast("timestamp"), "event_type", "n")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
@@ -49,3 +49,13 @@ def test_files_and_cache(spark, tmp_path):
     assert got["a.md"] == ("# hello", None) and got["c.pdf"] == (None, "ValueError: broken")
     cache = files.where("name = 'a.md'").select("content_hash", F.lit("v1").alias("version"), F.lit("kept").alias("text"))
     assert {r.name: r.cache_state for r in readers.with_parse_cache(files, cache, "v1").collect()} == {"a.md": "hit", "b.bin": "miss", "c.pdf": "miss"}
+
+
+def test_sessions_end_after_their_start(spark, tmp_path):
+    rows = "(1, TIMESTAMP '2024-01-01 00:00:00'), (1, TIMESTAMP '2024-01-01 01:00:00'), (2, TIMESTAMP '2024-01-01 00:30:00')"
+    spark.sql(f"SELECT * FROM VALUES {rows} AS v(user_id, ts)").coalesce(1).write.parquet(str(tmp_path / "e"))
+    later = spark.sql("SELECT 3 AS user_id, TIMESTAMP '2024-01-01 05:00:00' AS ts")
+    later.coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    stream = S.event_stream(spark, str(tmp_path / "e"), "user_id int, ts timestamp")
+    got = drained(S.session_ages(stream), "s", "update").collect()
+    assert {r.user_id: r.n for r in got if r.ended} == {1: 2, 2: 1}
