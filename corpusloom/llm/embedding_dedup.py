@@ -142,13 +142,15 @@ def introduced(lists: DataFrame, points: DataFrame, k: int, chunk: int = 128) ->
             return
         centre, name, least = (np.asarray(rows[c]) for c in ("centre", "p", "least"))
         vec = rows["vec"].combine_chunks()
-        x = matrix(vec)
+        sizes = np.diff(np.asarray(vec.offsets))
+        x = matrix(vec) if (sizes == sizes[0]).all() else None
         starts = np.flatnonzero(np.append(True, centre[1:] != centre[:-1])).tolist()
         us, vs, ss = [], [], []
         for a, b in zip(starts, [*starts[1:], len(centre)]):
             for c in range(a, b, chunk):
                 d = min(b, c + chunk)
-                sims = x[c:d] @ x[c:d].T
+                y = matrix(vec.slice(c, d - c)) if x is None else x[c:d]  # those around one centre have one length
+                sims = y @ y.T
                 np.fill_diagonal(sims, -2)
                 i, j = np.nonzero(sims > least[c:d, None])
                 us.append(name[c + i]), vs.append(name[c + j]), ss.append(sims[i, j])
