@@ -23,9 +23,10 @@ def roots(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1000, 0])
+def test_components(spark, few):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (40, 41), (50, 50), (41, 40)]
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     want = roots({x for e in edges for x in e} - {50}, edges[:-2])
     assert got == want
 
