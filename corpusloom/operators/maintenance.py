@@ -89,3 +89,36 @@ def compared(baseline: DataFrame, now: DataFrame, key: str = "doc_id") -> DataFr
     a, b = baseline.select(F.col(key).alias("a"), F.col("ok").alias("was")), now.select(F.col(key).alias("b"), F.col("ok").alias("is"))
     kind = F.when(F.col("b").isNull(), "missed").when(F.col("a").isNull(), "extra").when(F.col("was") & ~F.col("is"), "broken").otherwise("hit")
     return a.join(b, F.col("a") == F.col("b"), "full").groupBy(kind.alias("class")).agg(F.count("*").alias("docs"))
+
+
+def extra_sample(docs: DataFrame, baseline: DataFrame, n: int, *, seed: int = 0, key: str = "doc_id") -> DataFrame:
+    """``n`` documents, or all there are, outside a baseline, chosen by a seeded hash of their key."""
+    return without(docs, baseline, key).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def layout_probe(blocks: DataFrame, key: str = "doc_id", most: int = 5) -> DataFrame:
+    """``key, pages, blocks, labels``: a document's layout at a glance."""
+    return blocks.groupBy(key).agg(
+        F.countDistinct("page").alias("pages"), F.count("*").alias("blocks"), F.slice(F.array_sort(F.collect_set("block_label")), 1, most).alias("labels")
+    )
+
+
+#: States from which a task may be cancelled or run; fixed values.
+TRANSITIONS = {"cancel": ["pending", "processing"], "run": ["pending", "cancelled"]}
+
+
+def transitions(tasks: DataFrame, action: str, state_col: str = "status") -> DataFrame:
+    """``tasks`` with ``allowed`` and the ``after`` state."""
+    allowed = F.col(state_col).isin(TRANSITIONS[action])
+    return tasks.withColumn("allowed", allowed).withColumn("after", F.when(allowed, "cancelled" if action == "cancel" else "processing").otherwise(F.col(state_col)))
+
+
+def report(targets: DataFrame, outcomes: DataFrame, *by: str, key: str = "doc_id") -> DataFrame:
+    """``by, total, succeeded, failed, failures``: targets with what became of them; one without an outcome has failed.
+    ``failures`` lists key and reason, in key order."""
+    joined = targets.join(outcomes, key, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("ok").isNull(), F.lit("no outcome"))))
+    bad = ~F.coalesce("ok", F.lit(False))
+    return joined.groupBy(*by).agg(
+        F.count("*").alias("total"), F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"),
+        F.array_sort(F.collect_list(F.when(bad, F.struct(F.col(key).alias("key"), F.col("reason").alias("reason"))))).alias("failures"),
+    )

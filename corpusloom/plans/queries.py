@@ -546,3 +546,50 @@ def windowed_counts(spark, d):
     from ..streaming.events import windowed_counts as windowed
 
     return windowed(t(spark, d, "events")).select(F.col("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# ---- further upkeep -----------------------------------------------------------------------------------------
+
+
+@query()
+def extra_sample(spark, d):
+    """Thirty documents outside the labelled ones, by a seeded hash."""
+    return maintenance.extra_sample(t(spark, d, "documents"), t(spark, d, "labels"), 30).select("doc_id")
+
+
+@query(f"""SELECT doc_id, count(*) AS pages, count(*) AS blocks, list_sort(list(DISTINCT CASE WHEN length(text) > 80 THEN 'text' ELSE 'title' END)) AS labels FROM ({PAGES}) GROUP BY 1""")
+def layout_probe(spark, d):
+    blocks = textsearch.pages_of(t(spark, d, "documents")).withColumn("block_label", F.when(F.char_length("text") > 80, "text").otherwise("title"))
+    return maintenance.layout_probe(blocks)
+
+
+@query("SELECT * FROM (VALUES ('pending', true, 'cancelled'), ('processing', true, 'cancelled'), ('completed', false, 'completed')) v(status, allowed, after)")
+def task_transitions(spark, d):
+    return maintenance.transitions(values(spark, "('pending'), ('processing'), ('completed') AS v(status)"), "cancel")
+
+
+@query("""SELECT lang, count(*) AS total, count_if(coalesce(quality = 1, false))::BIGINT AS succeeded, count_if(NOT coalesce(quality = 1, false))::BIGINT AS failed,
+ sha256(coalesce(string_agg(doc_id || ':' || CASE WHEN quality IS NULL THEN 'no outcome' ELSE 'low' END, ',' ORDER BY doc_id) FILTER (WHERE NOT coalesce(quality = 1, false)), '')) AS failures FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def bulk_report(spark, d):
+    outcomes = t(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("ok"), F.when(F.col("quality") != 1, "low").alias("reason"))
+    r = maintenance.report(t(spark, d, "documents").select("doc_id", "lang"), outcomes, "lang")
+    line = F.array_join(F.transform("failures", lambda x: F.concat_ws(":", x["key"].cast("string"), x["reason"])), ",")
+    return r.withColumn("failures", F.sha2(line, 256))
+
+
+@query("SELECT * FROM (VALUES (1, '{\"a\":1}', true), (2, 'plain', false), (3, '[1]', true)) v(id, json, ok)")
+def json_blocks(spark, d):
+    rows = spark.createDataFrame([(1, 'x ```json\n{"a":1}\n``` y'), (2, "plain"), (3, "[1]")], "id int, s string")
+    return rows.select("id", F.btrim(X.fenced_json(F.col("s")), F.lit(" \n")).alias("json")).withColumn("ok", F.try_parse_json("json").isNotNull())
+
+
+@query("SELECT * FROM (VALUES (1, 7), (2, 0), (3, -1)) v(id, pos)")
+def chapter_locate(spark, d):
+    rows = values(spark, "(1, 'intro\n## 2 Two\n', '2', 'Two'), (2, '3 body', '3', 'Three'), (3, 'x', '4', 'Four') AS v(id, s, n, h)")
+    return rows.select("id", structure.located(F.col("s"), F.col("n"), F.col("h")).alias("pos"))
+
+
+@query("SELECT * FROM (VALUES (1, '## Scope' || chr(10) || chr(10) || 'text' || chr(10) || chr(10) || '<TABLE>' || chr(10) || 'a | b' || chr(10) || '</TABLE>')) v(doc_id, text)")
+def rebuilt_markdown(spark, d):
+    rows = values(spark, "(1, 0, 'title', 2, 'Scope'), (1, 1, 'text', NULL, 'text'), (1, 2, 'text', NULL, 'text'), (1, 3, 'text', NULL, '  '), (1, 4, 'table', NULL, 'a | b') AS v(doc_id, pos, kind, level, text)")
+    return structure.markdown(rows)
