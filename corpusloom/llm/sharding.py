@@ -34,7 +34,7 @@ def shard_by_bytes(
     """Shards whose sizes in bytes are nearly equal.
 
     Returns ``id_col, size, text_crc32, shard, slot`` for each row.  ``size`` is the text's UTF-8 bytes plus 1, and 1
-    for a null text; ``text_crc32`` of a null text is null.  ``slot`` counts a shard's rows from 0 without gaps.  Rows
+    for a null text, whose ``text_crc32`` is that of an empty one.  ``slot`` counts a shard's rows from 0 without gaps.  Rows
     with equal texts share a range, and so a shard, unless that range is overfull; rows that agree in everything
     are interchangeable.  An empty input gives an empty output.
     """
@@ -42,7 +42,7 @@ def shard_by_bytes(
         docs.select(
             F.col(id_col).alias("_id"),
             (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("_size"),
-            F.crc32(F.col(text_col).cast("binary")).alias("_crc"),
+            F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_crc"),
             F.xxhash64(F.col(text_col)).alias("_key"),
             F.xxhash64(F.col(id_col).cast("string"), F.lit("second key")).alias("_sub"),
         )
