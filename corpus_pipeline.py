@@ -8,10 +8,12 @@ columns of ``documents``.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom import ship
 from corpusloom.llm.common import shared_folder, table
 from corpusloom.llm.ngram_join import ngram_jaccard_components
 from corpusloom.llm.packing import packed_documents
@@ -60,12 +62,21 @@ def renewed(df: DataFrame, docs: DataFrame, text) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
+def shipped(stage):
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_join", one_of_each_group),
-    ("suffix_dedup", cut_repeats),
-    ("pii", hide_personal_data),
-    ("packing", pack_sequences),
+    ("toxicity", shipped(drop_toxic)),
+    ("ngram_join", shipped(one_of_each_group)),
+    ("suffix_dedup", shipped(cut_repeats)),
+    ("pii", shipped(hide_personal_data)),
+    ("packing", shipped(pack_sequences)),
 ]
 
 #: No stage but the personal data has an SQL form; the pipeline is tested against brute force.
