@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import ship
-from corpusloom.llm.common import shared_folder, table
+from corpusloom.llm.common import released, shared_folder, table
 from corpusloom.llm.ngram_join import ngram_jaccard_components
 from corpusloom.llm.packing import packed_documents
 from corpusloom.llm.pii import redact
@@ -33,9 +33,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     or more); documents without words stay.  Of rows with one id, one stays."""
     groups = ngram_jaccard_components(docs, words=5, percent=80)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = kept.select(F.col("doc_id").alias("_kept"), "_rows")
+    kept = released(kept.select(F.col("doc_id").alias("_kept"), "_rows"))
     chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
     once = chosen.where("_rows = 1").select(*docs.columns)
+    if kept.where("_rows > 1").isEmpty():
+        return once
     return once.union(chosen.where("_rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
