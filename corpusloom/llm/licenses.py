@@ -85,7 +85,8 @@ def own_licenses(files: DataFrame, *, id_col: str, text_col: str, threshold: flo
     vectors, idf = template_vectors(files_, {r["w"]: r["n"] for r in counted})
     telling = F.array(*[F.lit(w) for w in telling_words(vectors, threshold)])
     rare = math.log((1 + files_) / 2) + 1  # a word that one file has
-    lines = (
+    # Stored, as few lines are left, and as the predicate on scores would otherwise be pushed down and evaluate every vector anew.
+    lines = checkpointed(
         whole.select("_id", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
         .withColumn("_words", words(F.col("_line"))).where(F.arrays_overlap("_words", telling))
         .select("_id", (F.col("line") + 1).alias("line"), "_words")
@@ -99,7 +100,7 @@ def own_licenses(files: DataFrame, *, id_col: str, text_col: str, threshold: flo
         return F.aggregate("_vector", F.lit(0.0), lambda a, x: a + x["v"] * F.coalesce(F.try_element_at(own, x["w"]), F.lit(0.0))) / F.col("_norm")
 
     best = F.array_max(F.array(*[F.struct(F.round(cosine(v), 9).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("license")) for i, (name, v) in enumerate(vectors)]))
-    scored = vector.select("_id", "line", best.alias("b")).where(F.col("b.score") >= threshold)
+    scored = checkpointed(vector.select("_id", "line", best.alias("b"))).where(F.col("b.score") >= threshold)
     chosen = F.max(F.struct(F.col("b.score").alias("score"), (-F.col("line")).alias("at"), F.col("b.order").alias("order"), F.col("b.license").alias("license")))
     return scored.groupBy("_id").agg(chosen.alias("c")).select(F.col("_id").alias(id_col), (-F.col("c.at")).alias("line"), F.col("c.license").alias("license"), F.col("c.score").alias("score"))
 
