@@ -61,8 +61,8 @@ PARTS_FROM = 85
 
 def signatures(tokens: np.ndarray, values: np.ndarray, percent: int) -> np.ndarray:
     if percent < PARTS_FROM:
-        # In any one order of all shingles, similar sets share one of their first few.
-        few = len(tokens) - -(-len(tokens) * percent // 100) + 1 if len(tokens) else 0
+        # In any one order of all shingles, similar sets share 1 + n // 20 of their first few, n being the smaller set's size.
+        few = len(tokens) - -(-len(tokens) * percent // 100) + 1 + len(tokens) // 20 if len(tokens) else 0
         return tokens[np.argsort(values, kind="stable")[:few]]
     found = []
     for level, differ in levels(len(tokens), percent):
@@ -120,6 +120,14 @@ def ngram_jaccard_components(
     hubs = released(rows.groupBy("sig").agg(F.min("s1").alias("hub"), F.max("s1").alias("top")).where("hub < top").select("sig", "hub"))
     shared = released(rows.join(hubs, "sig").distinct())
 
+    if percent < PARTS_FROM:
+        # A similar set has at least n * percent / 100 shingles, so a set needs that many signatures that others have too.
+        sizes = features.select("s1", "n").distinct()
+        held = shared.groupBy("s1").agg(F.count("*").alias("k")).join(sizes, "s1").where(F.col("k") >= 1 + F.floor(F.col("n") * percent / 2000))
+        shared = released(shared.select("sig", "s1").join(held.select("s1"), "s1"))
+        hubs = shared.groupBy("sig").agg(F.min("s1").alias("hub"), F.max("s1").alias("top")).where("hub < top").select("sig", "hub")
+        shared = released(shared.join(hubs, "sig"))
+
     # Sets of the candidates, each from one of its documents.
     chosen = features.join(shared.select("s1").distinct(), "s1").groupBy("s1").agg(F.min("_id").alias(id_col)).select(id_col).distinct()
     chosen = chosen.withColumnRenamed(id_col, "_chosen")
