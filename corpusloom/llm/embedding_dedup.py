@@ -4,13 +4,14 @@ Equal vectors are one *point* with a weight.  A point's list holds its nearest k
 
 1. *Start.*  In a few tables, points are ordered by the sign bits of random projections and then by one more
    projection, and every point meets those in a sliding window of this order.
-2. *Descent.*  Each point introduces the points on its list, and those that list it, to one another; whoever improves a
+2. *Descent.*  Each point introduces the points on its lists, and those that list it, to one another; whoever improves a
    list enters it.
-3. *Enlargement.*  A list whose last entry still passes the threshold is saturated: it may have no room for further
-   links.  Such a list grows to all of the point's component, which is compared block by block, so no link within
-   a component is lost however many there are.
+3. *Joining.*  Of those that meet, all whose links connect them are joined into one component at once, whether or not
+   their lists have room.  Lists have ``k`` places for points of other components and ``k`` for those of the own one, so links
+   within a component can't crowd out links to another.  The descent goes on until a round joins nothing.
 4. *Audit.*  A bounded, hash-chosen sample of points is compared with all others; while the recall of links is below
    the target, the start is repeated with further tables and the descent goes on.
+5. *Counting.*  Every component is compared whole, block by block, so no link within it is lost however many there are.
 
 Only pairs whose double-precision cosine reaches the threshold become links.
 """
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .components import connected_components
+from .components import connected_components, united
 
+#: Pairs that may enter lists; without ``sim``, points that links connect.
 EDGE = "u long, v long, sim double"
 
 
@@ -61,12 +63,12 @@ def started(points: DataFrame, tables: int, seed: int, bits: int, window: int, k
                     y = x @ planes
                     code = (y[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(y), np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(y), t * 100_003 + int(dim))), pa.array(code), pa.array(y[:, bits]), part.column("p"), part.column("vec")],
-                        ["t", "code", "at", "p", "vec"],
+                        [pa.array(np.full(len(y), t * 100_003 + int(dim))), pa.array(code), pa.array(y[:, bits]), part.column("p"), part.column("c"), part.column("vec")],
+                        ["t", "code", "at", "p", "c", "vec"],
                     )
 
     vec = dict(points.dtypes)["vec"]
-    placed = points.select("p", "dim", "vec").mapInArrow(place, f"t long, code long, at double, p long, vec {vec}")
+    placed = points.select("p", "c", "dim", "vec").mapInArrow(place, f"t long, code long, at double, p long, c long, vec {vec}")
     ordered = placed.repartitionByRange(partitions, "t", "code", "at").sortWithinPartitions("t", "code", "at", "p")
 
     def meet(batches):
@@ -81,7 +83,7 @@ def started(points: DataFrame, tables: int, seed: int, bits: int, window: int, k
 
     def windows(rows):
         key = np.asarray(rows["t"]) * 1_000_003 + np.asarray(rows["code"])
-        name, vec = np.asarray(rows["p"]), rows["vec"].combine_chunks()
+        name, label, vec = np.asarray(rows["p"]), np.asarray(rows["c"]), rows["vec"].combine_chunks()
         for start in range(0, max(1, len(key) - window // 2), window // 2):
             stop = min(len(key), start + window)
             same_t = np.asarray(rows["t"])[start:stop]
@@ -90,7 +92,9 @@ def started(points: DataFrame, tables: int, seed: int, bits: int, window: int, k
                 if len(at) < 2:
                     continue
                 x = matrix(vec.take(pa.array(at)))
-                yield from edges(x @ x.T, name[at], key[at][:, None] == key[at][None, :], k)
+                apart, sims = label[at][:, None] != label[at][None, :], x @ x.T
+                yield from edges(sims, name[at], apart & (key[at][:, None] == key[at][None, :]), k)
+                yield from joined(sims, name[at], apart, threshold)
 
     return ordered.mapInArrow(meet, EDGE)
 
@@ -110,17 +114,35 @@ def edges(sims: np.ndarray, names: np.ndarray, allowed: np.ndarray | None, k: in
     yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(names[columns]), pa.array(sims[rows, columns])], ["u", "v", "sim"])
 
 
-def nearest(candidates: DataFrame, k: int) -> DataFrame:
-    """Lists: the ``k`` best distinct candidates of each point."""
+def joined(sims: np.ndarray, names: np.ndarray, apart: np.ndarray, threshold: float):
+    """Of the points that meet, each that links connect with others ``apart`` from it, and one point for all of these."""
+    i, j = np.nonzero(apart & (sims >= threshold))
+    if len(i):
+        nodes, first = united(i, j)
+        moved = nodes != first
+        yield pa.RecordBatch.from_arrays([pa.array(names[nodes[moved]]), pa.array(names[first[moved]]), pa.nulls(int(moved.sum()), pa.float64())], ["u", "v", "sim"])
+
+
+def labelled(points: DataFrame, components: DataFrame) -> DataFrame:
+    """``points`` with their components ``c``; one that links with nothing is its own."""
+    return points.join(components, F.col("p") == F.col("node"), "left").select("p", "w", "dim", "vec", F.coalesce("component", "p").alias("c"))
+
+
+def nearest(candidates: DataFrame, components: DataFrame, k: int) -> DataFrame:
+    """Lists: the ``k`` best distinct candidates of each point within its component (``same``) and the ``k`` best of others."""
     once = candidates.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
+    for side in ("u", "v"):
+        names = components.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        once = once.join(names, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    once = once.select("u", "v", "sim", (F.col("cu") == F.col("cv")).alias("same"))
+    rank = F.row_number().over(Window.partitionBy("u", "same").orderBy(F.desc("sim"), "v"))
     return once.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def introduced(lists: DataFrame, points: DataFrame, k: int, chunk: int = 128) -> DataFrame:
-    """Candidates from neighbours of neighbours: pairs that improve at least one of their lists."""
-    last = lists.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("held"))
-    known = points.join(last, F.col("p") == F.col("u"), "left").select("p", "vec", F.when(F.col("held") >= k, F.col("least")).otherwise(-1.0).alias("least"))
+def introduced(lists: DataFrame, points: DataFrame, k: int, threshold: float, chunk: int = 128) -> DataFrame:
+    """Candidates from neighbours of neighbours: pairs of two components that improve at least one of their lists."""
+    last = lists.where(~F.col("same")).groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("held"))
+    known = points.join(last, F.col("p") == F.col("u"), "left").select("p", "c", "vec", F.when(F.col("held") >= k, F.col("least")).otherwise(-1.0).alias("least"))
     both = lists.select(F.col("u").alias("centre"), F.col("v").alias("p")).union(lists.select(F.col("v"), F.col("u"))).distinct()
     # A point with very many admirers introduces them in bounded parties.
     sorted_ = both.join(known, "p").withColumn("party", F.xxhash64("p", "centre")).repartition("centre").sortWithinPartitions("centre", "party")
@@ -140,7 +162,7 @@ def introduced(lists: DataFrame, points: DataFrame, k: int, chunk: int = 128) ->
     def parties(rows):
         if not rows.num_rows:
             return
-        centre, name, least = (np.asarray(rows[c]) for c in ("centre", "p", "least"))
+        centre, name, label, least = (np.asarray(rows[c]) for c in ("centre", "p", "c", "least"))
         vec = rows["vec"].combine_chunks()
         sizes = np.diff(np.asarray(vec.offsets))
         x = matrix(vec) if (sizes == sizes[0]).all() else None
@@ -151,9 +173,10 @@ def introduced(lists: DataFrame, points: DataFrame, k: int, chunk: int = 128) ->
                 d = min(b, c + chunk)
                 y = matrix(vec.slice(c, d - c)) if x is None else x[c:d]  # those around one centre have one length
                 sims = y @ y.T
-                np.fill_diagonal(sims, -2)
-                i, j = np.nonzero(sims > least[c:d, None])
+                apart = label[c:d, None] != label[None, c:d]
+                i, j = np.nonzero(apart & (sims > least[c:d, None]))
                 us.append(name[c + i]), vs.append(name[c + j]), ss.append(sims[i, j])
+                yield from joined(sims, name[c:d], apart, threshold)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in (us, vs, ss)], ["u", "v", "sim"])
 
     return sorted_.mapInArrow(meet, EDGE)
@@ -161,8 +184,8 @@ def introduced(lists: DataFrame, points: DataFrame, k: int, chunk: int = 128) ->
 
 def audited(points: DataFrame, components: DataFrame, sample: int, threshold: float) -> float:
     """Share of the sample's links, found by comparing it with all points, that lie within components."""
-    labelled = points.join(components, F.col("p") == F.col("node"), "left").select("p", "dim", "vec", F.coalesce("component", "p").alias("c"))
-    queries = labelled.orderBy(F.xxhash64("p", F.lit("audit")), "p").limit(sample).collect()
+    known = labelled(points, components)
+    queries = known.orderBy(F.xxhash64("p", F.lit("audit")), "p").limit(sample).collect()
     held = points.sparkSession.sparkContext.broadcast(queries)  # at most ``sample`` vectors
 
     def compare(batches):
@@ -183,7 +206,7 @@ def audited(points: DataFrame, components: DataFrame, sample: int, threshold: fl
                     found += int((hit & (labels[:, None] == np.asarray(part.column("c"))[None, :])).sum())
         yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], ["true", "found"])
 
-    row = labelled.mapInArrow(compare, "true long, found long").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).first()
+    row = known.mapInArrow(compare, "true long, found long").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).first()
     return (row["f"] or 0) / row["t"] if row["t"] else 1.0
 
 
@@ -230,26 +253,24 @@ def embedding_components(
     points = checkpointed(distinct_points(vectors, id_col, vector_col))
     n = points.count()
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / window)))) if n > window else 0
-    lists = None
+    lists, components = None, points.select(F.col("p").alias("node"), F.col("p").alias("component")).limit(0)
     for attempt in range(tries):
-        fresh = started(points, tables, seed + attempt, min(bits, 40), window, k, threshold)
-        lists = checkpointed(nearest(fresh if lists is None else lists.union(fresh), k))
-        for _ in range(rounds):
-            lists = checkpointed(nearest(lists.union(introduced(lists, points, k)), k))
-        links = lists.where(F.col("sim") >= threshold)
-        components = checkpointed(connected_components(links.select("u", "v"), "u", "v"))
+        fresh, turn = started(labelled(points, components), tables, seed + attempt, min(bits, 40), window, k, threshold), 0
+        while True:
+            fresh = checkpointed(fresh)
+            ties, pairs = fresh.where(F.col("sim").isNull()).select("u", "v"), fresh.where(F.col("sim").isNotNull())
+            if not (still := ties.isEmpty()):
+                known = components.select(F.col("node").alias("u"), F.col("component").alias("v"))
+                components = checkpointed(connected_components(known.union(ties), "u", "v"))
+            if still and turn >= rounds:
+                break
+            lists = checkpointed(nearest(pairs if lists is None else lists.drop("same").union(pairs), components, k))
+            fresh, turn = introduced(lists, labelled(points, components), k, threshold), turn + 1
         if audited(points, components, sample, threshold) >= recall:
             break
-    # Components with a saturated list are compared whole; elsewhere the lists hold every link that was found.
     members = points.join(components, F.col("p") == F.col("node")).select("p", "w", "vec", F.col("component").alias("c"))
-    full = links.groupBy("u").agg(F.count("*").alias("held"))
-    saturated = full.where(F.col("held") >= k).join(components, F.col("u") == F.col("node")).select(F.col("component").alias("c")).distinct()
-    enlarged = counted(members.join(saturated, "c"), threshold, block)
-    symmetric = links.select("u", "v").union(links.select("v", "u")).distinct()
-    listed = symmetric.join(points.select(F.col("p").alias("v"), "w"), "v").groupBy("u").agg(F.sum("w").alias("links"))
-    counts = points.join(listed, F.col("p") == F.col("u"), "left").join(enlarged.select(F.col("p").alias("q"), F.col("links").alias("more")), F.col("p") == F.col("q"), "left").select(
-        "p", (F.coalesce("more", "links", F.lit(0)) + F.col("w") - 1).alias("n_links")
-    )
+    compared = counted(members, threshold, block).select(F.col("p").alias("q"), "links")
+    counts = points.join(compared, F.col("p") == F.col("q"), "left").select("p", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     counts = counts.join(components, F.col("p") == F.col("node"), "left").select("p", "n_links", F.coalesce("component", "p").alias("c"))
     named = vectors.select(id_col, F.xxhash64(vector_col).alias("p")).join(counts, "p", "left")
     least = named.where(F.col("c").isNotNull()).groupBy("c").agg(F.min(id_col).alias("component_id"))

@@ -69,6 +69,34 @@ def test_embeddings(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def embedding_truth(x):
+    """Links of each vector and its component, by all pairs."""
+    y = np.asarray(x, np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    link = y @ y.T >= 0.95
+    np.fill_diagonal(link, False)
+    return link.sum(1).tolist(), list(roots(range(len(y)), zip(*np.nonzero(np.triu(link)))).values())
+
+
+def embedding_result(spark, x, **more):
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted(embedding_dedup.embedding_components(rows, **more).collect(), key=lambda r: r.vec_id)
+    return [r.n_links for r in got], [r.component_id for r in got]
+
+
+@pytest.mark.parametrize("size, window, others", [(20, 128, 0), (40, 16, 200)])
+def test_embedding_links_across_full_lists(spark, size, window, others):
+    """Two groups, each closer inside than to the other, that would fill all lists with their own."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a, b = unit(rng.standard_normal((2, 64)))
+    b = unit(b - (a @ b) * a)
+    near = 0.963 * a + np.sqrt(1 - 0.963**2) * b
+    x = np.concatenate([unit(c + 0.006 * rng.standard_normal((size, 64))) for c in (a, near)] + [unit(rng.standard_normal((others, 64)))])
+    assert (unit(x[:size]) @ unit(x[size : 2 * size]).T).max() < 0.98
+    assert embedding_result(spark, x, window=window) == embedding_truth(x)
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
