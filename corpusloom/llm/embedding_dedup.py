@@ -9,9 +9,12 @@ Equal vectors are one *point* with a weight.  A point's list holds its nearest k
 3. *Joining.*  Of those that meet, all whose links connect them are joined into one component at once, whether or not
    their lists have room.  Lists have ``k`` places for points of other components and ``k`` for those of the own one, so links
    within a component can't crowd out links to another.  The descent goes on until a round joins nothing.
-4. *Audit.*  A bounded, hash-chosen sample of points is compared with all others; while the recall of links is below
-   the target, the start is repeated with further tables and the descent goes on.
+4. *Audit.*  A bounded, hash-chosen sample of points is compared with all others; links that it finds missing are added.
+   While the recall of links, or that of the sampled points that have any, is below the target, the start is repeated
+   with further tables and the descent goes on, and the next audit takes another sample.  If all tries stay below it,
+   all pairs are compared, block by block.
 5. *Counting.*  Every component is compared whole, block by block, so no link within it is lost however many there are.
+   So two points of one component that pass the threshold are a link of the result, as the audit counts them.
 
 Only pairs whose double-precision cosine reaches the threshold become links.
 """
@@ -182,10 +185,11 @@ def introduced(lists: DataFrame, points: DataFrame, k: int, threshold: float, ch
     return sorted_.mapInArrow(meet, EDGE)
 
 
-def audited(points: DataFrame, components: DataFrame, sample: int, threshold: float) -> float:
-    """Share of the sample's links, found by comparing it with all points, that lie within components."""
+def audited(points: DataFrame, components: DataFrame, sample: int, threshold: float, turn: int) -> tuple[float, DataFrame]:
+    """A sample of points is compared with all others: the share of its links that lie within components, or the mean
+    share of a point's links if that is less; and the missing links ``u, v``, one for each component that a task finds."""
     known = labelled(points, components)
-    queries = known.orderBy(F.xxhash64("p", F.lit("audit")), "p").limit(sample).collect()
+    queries = known.orderBy(F.xxhash64("p", F.lit("audit"), F.lit(turn)), "p").limit(sample).collect()
     held = points.sparkSession.sparkContext.broadcast(queries)  # at most ``sample`` vectors
 
     def compare(batches):
@@ -193,21 +197,68 @@ def audited(points: DataFrame, components: DataFrame, sample: int, threshold: fl
         for q in held.value:
             asked.setdefault(q["dim"], []).append(q)
         asked = {d: (np.array([q["vec"] for q in qs], np.float64), np.array([q["p"] for q in qs]), np.array([q["c"] for q in qs])) for d, qs in asked.items()}
-        true = found = 0
+        totals, told = {}, set()
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims):
                 if dim in asked:
                     part = batch.filter(pa.array(dims == dim))
                     q, names, labels = asked[dim]
+                    own, component = np.asarray(part.column("p")), np.asarray(part.column("c"))
                     hit = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ matrix(part.column("vec")).T >= threshold
-                    hit &= names[:, None] != np.asarray(part.column("p"))[None, :]
-                    true += int(hit.sum())
-                    found += int((hit & (labels[:, None] == np.asarray(part.column("c"))[None, :])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], ["true", "found"])
+                    hit &= names[:, None] != own[None, :]
+                    inside = hit & (labels[:, None] == component[None, :])
+                    for i in np.flatnonzero(hit.any(1)).tolist():
+                        true, found = totals.get(names[i], (0, 0))
+                        totals[names[i]] = true + int(hit[i].sum()), found + int(inside[i].sum())
+                    told |= {(int(names[i]), int(component[j])) for i, j in zip(*np.nonzero(hit & ~inside))}
+        rows = [(int(p), None, *n) for p, n in totals.items()] + [(u, v, 0, 0) for u, v in sorted(told)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4, ["u", "v", "true", "found"])
+
+    rows = checkpointed(known.mapInArrow(compare, "u long, v long, true long, found long"))
+    each = rows.where(F.col("v").isNull()).groupBy("u").agg(F.sum("true").alias("t"), F.sum("found").alias("f"))
+    row = each.agg(F.sum("t").alias("t"), F.sum("f").alias("f"), F.avg(F.col("f") / F.col("t")).alias("mean")).first()
+    # A component's name is one of its points.
+    return (min(row["f"] / row["t"], row["mean"]) if row["t"] else 1.0), rows.where(F.col("v").isNotNull()).select("u", "v")
+
+
+def all_ties(points: DataFrame, components: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``u, v``: points that links connect, from all pairs of points of two components; blocks against blocks."""
+    known = labelled(points, components).select(F.col("dim").alias("g"), "p", "c", "vec")
+    sized = known.groupBy("g").agg((F.floor(F.count("*") / block) + 1).cast("int").alias("blocks"))  # one row for each length
+    dealt = known.join(F.broadcast(sized), "g").withColumn("own", F.pmod(F.xxhash64("p", F.lit("block")), F.col("blocks")).cast("int"))
+    stored = F.transform(F.sequence(F.lit(0), F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(0).alias("role")))
+    asking = F.transform(F.sequence(F.col("own"), F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(1).alias("role")))
+    units = dealt.select("g", "p", "c", "vec", F.inline(F.concat(stored, asking))).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "role")
 
-    row = known.mapInArrow(compare, "true long, found long").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).first()
-    return (row["f"] or 0) / row["t"] if row["t"] else 1.0
+    def run(batches):
+        key, store, x = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, i, j, role, names, label = (np.asarray(batch.column(n)) for n in ("g", "i", "j", "role", "p", "c"))
+            cuts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (role[1:] != role[:-1]))).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(g)]):
+                if (now := (g[a], i[a], j[a])) != key:
+                    key, store, x = now, [], None
+                y = matrix(batch.slice(a, b - a).column("vec"))
+                if role[a] == 0:
+                    store.append((y, label[a:b]))
+                    continue
+                if x is None and store:
+                    x, component = (np.concatenate(z) for z in zip(*store))
+                if x is not None:
+                    at, to = np.nonzero((y @ x.T >= threshold) & (label[a:b, None] != component[None, :]))
+                    found = np.unique(np.stack((names[a:b][at], component[to])), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["u", "v"])
+
+    return units.mapInArrow(run, "u long, v long")
+
+
+def merged(components: DataFrame, ties: DataFrame) -> DataFrame:
+    """``components`` after further points are connected."""
+    known = components.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return checkpointed(connected_components(known.union(ties), "u", "v"))
 
 
 def counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -252,22 +303,28 @@ def embedding_components(
     """
     points = checkpointed(distinct_points(vectors, id_col, vector_col))
     n = points.count()
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / window)))) if n > window else 0
+    bits = min(40, int(np.ceil(np.log2(n / window)))) if n > window else 0
+    # A pair at the threshold has the same sign bits in a table with this chance; enough tables that all but a twentieth share one.
+    alike = (1 - np.arccos(np.clip(threshold, 0, 1)) / np.pi) ** bits
+    tables = max(tables, int(np.ceil(np.log(0.05) / np.log1p(-min(alike, 0.95)))))
     lists, components = None, points.select(F.col("p").alias("node"), F.col("p").alias("component")).limit(0)
     for attempt in range(tries):
-        fresh, turn = started(labelled(points, components), tables, seed + attempt, min(bits, 40), window, k, threshold), 0
+        fresh, turn = started(labelled(points, components), tables, seed + attempt, bits, window, k, threshold), 0
         while True:
             fresh = checkpointed(fresh)
             ties, pairs = fresh.where(F.col("sim").isNull()).select("u", "v"), fresh.where(F.col("sim").isNotNull())
             if not (still := ties.isEmpty()):
-                known = components.select(F.col("node").alias("u"), F.col("component").alias("v"))
-                components = checkpointed(connected_components(known.union(ties), "u", "v"))
+                components = merged(components, ties)
             if still and turn >= rounds:
                 break
             lists = checkpointed(nearest(pairs if lists is None else lists.drop("same").union(pairs), components, k))
             fresh, turn = introduced(lists, labelled(points, components), k, threshold), turn + 1
-        if audited(points, components, sample, threshold) >= recall:
+        found, missing = audited(points, components, sample, threshold, attempt)
+        components = merged(components, missing) if found < 1 else components
+        if found >= recall:
             break
+    else:
+        components = merged(components, all_ties(points, components, threshold, block))
     members = points.join(components, F.col("p") == F.col("node")).select("p", "w", "vec", F.col("component").alias("c"))
     compared = counted(members, threshold, block).select(F.col("p").alias("q"), "links")
     counts = points.join(compared, F.col("p") == F.col("q"), "left").select("p", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))

@@ -97,6 +97,16 @@ def test_embedding_links_across_full_lists(spark, size, window, others):
     assert embedding_result(spark, x, window=window) == embedding_truth(x)
 
 
+@pytest.mark.parametrize("tries, sample", [(1, 400), (0, 0)])
+def test_embedding_links_that_the_search_misses(spark, tries, sample):
+    """Windows of two points in one table find few links; the audit or all pairs bring the others, and chains are counted whole."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((260, 32))
+    x[:60] = x[0] + 0.04 * rng.standard_normal((60, 32)) + np.linspace(0, 1, 60)[:, None] * x[1]
+    x[60:160:2] = x[61:161:2] + 0.05 * rng.standard_normal((50, 32))
+    assert embedding_result(spark, x, window=2, tables=1, k=2, tries=tries, sample=sample, block=50) == embedding_truth(x)
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
