@@ -29,6 +29,8 @@ from .bpe import powers
 from .common import mixed, released, row_blocks, text_bytes
 
 BLOCK_BYTES = 2 << 20
+#: Low bits of a hash that give way to a place.
+PLACE_BITS = 22
 #: Widths, in windows, that anchors with many surroundings are split to.
 WIDTHS = (64, 16, 4, 1)
 BATCH = 6_000
@@ -47,6 +49,19 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
 
 
+def least_places(hashed: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of each ``width`` consecutive hashes; of equals, the first.  Places replace the hashes' low bits,
+    so long data is taken in overlapping pieces whose places fit them."""
+    kept = np.uint64(PLACE_BITS)
+    step = (1 << PLACE_BITS) - width
+    out = []
+    for start in range(0, len(hashed) - width + 1, step):
+        piece = hashed[start : start + step + width - 1]
+        ranked = (piece >> kept << kept) | np.arange(len(piece), dtype=np.uint64)
+        out.append(start + (sliding_least(ranked, width) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64))
+    return np.concatenate(out)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     """Per text and anchor: its text, key, hull, first and last window, and place (bytes within the text)."""
     n = len(data)
@@ -55,10 +70,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
         return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     power, inverse = powers(n + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])))
-    kept = np.uint64(22)
     hashed = mixed((sums[seed:] - sums[: n - seed + 1]) * inverse[: n - seed + 1])
-    ranked = (hashed >> kept << kept) | np.arange(len(hashed), dtype=np.uint64)
-    least = (sliding_least(ranked, length - seed + 1) & np.uint64((1 << 22) - 1)).astype(np.int64)
+    least = least_places(hashed, length - seed + 1)
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
     windows = np.arange(len(owner)) + (offsets[:-1] - np.concatenate(([0], np.cumsum(np.maximum(sizes - length + 1, 0))[:-1])))[owner]

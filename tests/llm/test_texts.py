@@ -178,6 +178,16 @@ def test_repeats_are_removed(docs, corpus, most):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
 
 
+def test_repeats_beyond_four_mebibytes(spark):
+    rng = np.random.default_rng(2)
+    text = lambda n: (rng.integers(97, 123, n, dtype=np.uint8)).tobytes().decode()
+    passage, over = text(700), (1 << 22) + 5000
+    rows = [(0, text(over) + passage + text(3000)), (1, text(50) + passage + text(60)), (2, text((1 << 22) - 350) + passage + text(10))]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), as_text=True).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got} == {i: (len(t), 700, 1) for i, t in rows}
+    assert {r.doc_id: r.kept for r in got} == {i: t.replace(passage, "") for i, t in rows}
+
+
 def test_nothing_to_remove(no_docs):
     assert suffix_dedup.without_repeats(no_docs).count() == 0
 
