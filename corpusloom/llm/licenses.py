@@ -1,14 +1,17 @@
 """License scans (DataFrame functions only).
 
-1. The lines of a file are compared with licence templates by the cosine of their TF-IDF vectors.  Document frequencies of
-   the templates' words are counted over all files; words of no template weigh as if no other file had them.
-2. A prefix of each template's heaviest words is chosen so that what is left can't reach the threshold: a line without
-   any of these words is not compared, and none that would match is missed.
+1. The lines of a file, and its spans of as many words as a template has, are compared with licence templates by the cosine of
+   their TF-IDF vectors.  Spans cross lines and start anywhere within them, so wrapped and embedded notices are found too.
+   Document frequencies of the templates' words are counted over all files; words of no template weigh as if no other file had them.
+2. A prefix of each template's heaviest words is chosen so that what is left can't reach the threshold: a line or span without
+   any of these words is not compared, and none that would match is missed.  Nor is a span whose words hold too little
+   of the template's weight to reach the threshold.
 3. A file without a licence of its own inherits from its nearest ancestor directory that has one, by joins on paths.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 
@@ -71,9 +74,42 @@ def telling_words(vectors: list[tuple[str, dict[str, float]]], threshold: float)
     return sorted(chosen)
 
 
+def spans(texts: DataFrame, vectors: list[tuple[str, dict[str, float]]], threshold: float) -> DataFrame:
+    """``_id, line, _words``: spans of the files' words, as long as a template, that may reach the threshold with it, and the
+    lines they start in."""
+    sizes = F.array(*[F.lit(len(words_of(t))) for _, t in TEMPLATES])
+    owners: dict[str, list[int]] = {}
+    for i, (_, vector) in enumerate(vectors):
+        for w in telling_words([(_, vector)], threshold):
+            owners.setdefault(w, []).append(i + 1)
+    owner = F.from_json(F.lit(json.dumps(owners)), "map<string,array<int>>")
+    squares = F.from_json(F.lit(json.dumps([{w: v * v for w, v in vector.items()} for _, vector in vectors])), "array<map<string,double>>")
+
+    def may(rows: str) -> Column:
+        """The words hold enough of the template's weight (Cauchy-Schwarz)."""
+        held = F.array_distinct(F.transform(rows, lambda x: x["w"]))
+        return F.aggregate(held, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(F.element_at(squares, F.col("t")), w), F.lit(0.0))) >= threshold * threshold - 1e-7
+
+    telling = F.array(*[F.lit(w) for w in sorted(owners)])
+    flat = F.flatten(F.transform(F.split("_text", "\n"), lambda text, i: F.transform(words(text), lambda w: F.struct(w.alias("w"), (i + 1).alias("line")))))
+    whole = texts.where(F.arrays_overlap(words(F.col("_text")), telling)).select("_id", flat.alias("_flat"))
+    told = F.filter(F.transform("_flat", lambda x, i: F.struct(i.alias("p"), F.try_element_at(owner, x["w"]).alias("ts"))), lambda h: h["ts"].isNotNull())
+
+    def near(p: Column, t: Column) -> Column:
+        """What spans around place ``p`` can hold; they start in its first ``starts`` words."""
+        size = F.element_at(sizes, t)
+        first = F.greatest(p - size + 1, F.lit(0))
+        return F.struct(t.alias("t"), (p - first + 1).alias("starts"), F.slice("_flat", first + 1, p - first + size).alias("near"))
+
+    around = whole.select("_id", F.inline(F.flatten(F.transform(told, lambda h: F.transform(h["ts"], lambda t: near(h["p"], t)))))).where(may("near"))
+    begun = around.select("_id", "t", "near", F.explode(F.sequence(F.lit(1), F.col("starts"))).alias("o"))
+    cut = begun.select("_id", "t", F.slice("near", F.col("o"), F.element_at(sizes, F.col("t"))).alias("span")).where(may("span"))
+    return cut.select("_id", F.element_at("span", 1)["line"].alias("line"), F.transform("span", lambda x: x["w"]).alias("_words"))
+
+
 def own_licenses(files: DataFrame, *, id_col: str, text_col: str, threshold: float = 0.75) -> DataFrame:
-    """``id_col, line`` (from 1), ``license, score`` for each file with a line whose cosine with a template reaches
-    ``threshold``: its best line, the first of equals.  Null and empty texts have none."""
+    """``id_col, line`` (from 1), ``license, score`` for each file with a line or span whose cosine with a template reaches
+    ``threshold``: its best one's (first) line, the first of equals.  Null and empty texts have none."""
     vocabulary = sorted({w for _, t in TEMPLATES for w in words_of(t)})
     known = F.array(*[F.lit(w) for w in vocabulary])
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -89,7 +125,7 @@ def own_licenses(files: DataFrame, *, id_col: str, text_col: str, threshold: flo
     lines = checkpointed(
         whole.select("_id", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
         .withColumn("_words", words(F.col("_line"))).where(F.arrays_overlap("_words", telling))
-        .select("_id", (F.col("line") + 1).alias("line"), "_words")
+        .select("_id", (F.col("line") + 1).alias("line"), "_words").union(spans(whole, vectors, threshold))
     )
     weights = F.from_json(F.lit("{" + ",".join(f'"{w}":{idf[w]!r}' for w in vocabulary) + "}"), "map<string,double>")
     counts = F.transform(F.array_distinct("_words"), lambda w: F.struct(w.alias("w"), (F.size(F.filter("_words", lambda x: x == w)) * F.coalesce(F.try_element_at(weights, w), F.lit(rare))).alias("v")))

@@ -184,6 +184,18 @@ def test_licenses(spark):
     assert got[8] == (None, "CC-BY-NC-4.0", "q")
 
 
+def test_wrapped_and_embedded_licenses(spark):
+    bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:\n */"
+    files = [
+        (1, "a/x", "code\n" + bsd + "\nmore code"), (2, "b/x", "Copyright 2021 Jane Roe. Released under the MIT License. See the file LICENSE for details."),
+        (3, "c/x", "one\nThis work is licensed under\nthe GNU General Public License,\nversion 3. And so on"), (4, "d/x", "the license of the software\nis under\nreview"),
+        (5, "b/y/z", "nothing"),
+    ] + [(i, f"e/{i}", f"the text of number {i} and of the use in forms") for i in range(6, 60)]
+    got = {r.doc_id: (r.own_license, r.line, r.license) for r in licenses.license_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got[1] == ("BSD-3-Clause", 3, "BSD-3-Clause") and got[2] == ("MIT", 1, "MIT") and got[3] == ("GPL-3.0", 2, "GPL-3.0")
+    assert got[4] == (None, None, None) and got[5] == (None, None, "MIT") and all(got[i][0] is None for i in range(6, 60))
+
+
 def test_license_cosines_against_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
