@@ -197,11 +197,10 @@ def chunk_page_assign(spark, d):
 
 @query()
 def chunk_block_range(spark, d):
-    """Blocks (lines) that match the first line of each chunk; containment and LCS."""
+    """Blocks of each chunk's page that match it; containment and LCS.  A line is a page of one block."""
     pages = textsearch.pages_of(t(spark, d, "documents"))
-    lines = pages.select("doc_id", F.col("page").alias("chunk"), F.lit(0).alias("page_number"), "text").where("chunk < 1")
-    blocks = pages.select("doc_id", F.lit(0).alias("page"), F.col("page").alias("block_order"), F.col("text").alias("block_content"))
-    return chunking.block_ranges(lines, blocks)
+    blocks = pages.select("doc_id", "page", F.col("page").alias("block_order"), F.col("text").alias("block_content"))
+    return chunking.block_ranges(chunking.with_page(chunks(spark, d), pages), blocks)
 
 
 @query("""SELECT doc_id, list_filter(n, lambda x: length(x) - length(replace(x, '.', '')) = list_max(list_transform(n, lambda y: length(y) - length(replace(y, '.', '')))))[1] AS clause_number

@@ -49,6 +49,24 @@ def test_runs(spark, small, name):
     assert plans.QUERIES[name](spark, small).count() > 0
 
 
+def test_block_ranges_of_all_chunks(spark, tmp_path):
+    """Every chunk whose first 200 characters one line holds has the first such line as its range."""
+    rows = [(i, "s", "\n".join(f"doc{i}line{n} " + " ".join(f"w{i}x{n}x{j}" for j in range(60 + 25 * i)) for n in range(30))) for i in range(4)] + [(9, "s", "short"), (10, "s", "\n".join(f"brief line {n}" for n in range(400)))]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for doc, _, text in rows:
+        seen, found = 0, {}
+        for n, line in enumerate(text.split("\n") if len(text) >= 20 else []):
+            found.setdefault(seen // 512, []).append(line)
+            seen += len(line.split())
+        for chunk, lines in found.items():
+            prefix = "\n".join(lines).strip(" ")[:200]
+            page = next((n for n, line in enumerate(text.split("\n")) if prefix in line), None)
+            want |= {(doc, chunk, page, page)} if page is not None else set()
+    got = {(r.doc_id, r.chunk, r.block_start, r.block_end) for r in plans.QUERIES["chunk_block_range"](spark, str(tmp_path)).collect()}
+    assert got == want and max(c for _, c, _, _ in got) > 3
+
+
 def test_entry(spark):
     import __spark_entry__
 
