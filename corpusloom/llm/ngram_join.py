@@ -2,110 +2,150 @@
 
 Documents become sets of hashed word shingles; equal sets are one *set* with many documents.
 
-1. *Signatures.*  Sets whose sizes may be similar share a level.  A level allows at most D differing shingles, so its
-   sets are split by shingle hash into D + 2 parts: two similar sets agree in at least two whole parts.  Each part's
-   hash is a signature.  (A set with more than one empty part also has signatures of its empty parts.)  For lower
-   similarities, parts would be small; there the first shingles of each set in one global order are its signatures.
-2. *Groups.*  Sets that share signatures are gathered around the smallest of them; each set is compared with the
-   centres it shares a signature with, and components of the links found so far are formed.
-3. *Bounds.*  Only pairs from different components can still matter.  A shingle that no other candidate holds must
-   differ in every pair, which rules out most sets; what is left falls into groups connected by signatures.
-4. *Token-group matrix.*  Groups are stored in blocks together with their shingle union; a query's overlap with the
-   union bounds its overlap with every member, and only blocks that qualify are opened and compared exactly.
+1. *Signatures.*  In one global (hashed) order of all shingles, two similar sets share several of their first few.  These
+   are dealt out by shingle once; those that one set alone has go at once, and so do sets with fewer shared ones than a
+   similar set must have.
+2. *Groups.*  Each set that is left joins the group of the leader it shares most signatures with.  Groups are cut into
+   blocks of bounded size, each of which also holds the leader.
+3. *Token-group matrix.*  A block is stored as groups of up to ``WIDTH`` sets with the union of their shingles, which
+   shingle is in which group, and who holds it.  A query's overlap with a group's union bounds its overlap with every
+   member, so only groups that reach the threshold are opened and counted exactly.  A query skips groups in which all
+   are linked with it already.
+4. *Between groups.*  Signatures whose sets are still in different components are kept, as long as their sets have enough of
+   them for a similar set to exist.  What they connect goes through the matrix again, block against block.
 5. Components of all links name each document's class.
 
-No step gathers a signature's or group's members in one row or task: hot signatures are reduced by partial
-aggregation, large groups are cut into blocks, and pairs of blocks are separate units of work.
+No step gathers a signature's or group's members in one row or task: runs of one signature are streamed, large groups
+are cut into blocks, and pairs of blocks are separate units of work.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, released, row_blocks, text_bytes
+from .common import mixed, ranges, released, row_blocks, text_bytes
 from .components import connected_components
 from .shingles import shingle_sets
 
 BLOCK_BYTES = 4 << 20
+#: Sets in a group of the matrix, and in a block of groups.
+WIDTH = 64
+BLOCK_SETS = 512
+#: Names of sets that a task remembers, so that copies send their signatures once a task.
+REMEMBERED = 1 << 20
 
 
-@lru_cache(4)
-def bands(percent: int) -> np.ndarray:
-    """First sizes of bands such that sets of similar sizes lie in the same band or in neighbours."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(out[-1] * 100 // percent + 1)
-    return np.array(out)
+def signatures(tokens: np.ndarray, values: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles in the order of ``values``; similar sets share ``1 + n // 20`` of them, n being the smaller one's size."""
+    few = len(tokens) - -(-len(tokens) * percent // 100) + 1 + len(tokens) // 20 if len(tokens) else 0
+    return tokens[np.argsort(values, kind="stable")[:few]]
 
 
-#: Bands in a level, besides the one it shares with the next.
-WIDTH = 3
+def named_sets(block, size: int, text_col: str):
+    """The sets of a block's texts, their shingles' places in the global order, and their 128-bit names."""
+    sets = shingle_sets(*text_bytes(block.column(text_col)), size)
+    mixes = [mixed(s) for s in sets]
+    one = np.array([m.sum(dtype=np.uint64) for m in mixes], np.uint64).view(np.int64)
+    two = np.array([mixed(m + np.uint64(7)).sum(dtype=np.uint64) for m in mixes], np.uint64).view(np.int64)
+    return sets, mixes, one, two
 
 
-def levels(size: int, percent: int) -> list[tuple[int, int]]:
-    """The levels of a set and how many shingles may differ between similar sets of each."""
-    start = bands(percent)
-    band = int(np.searchsorted(start, size, side="right")) - 1
-    out = [band // WIDTH] + ([band // WIDTH - 1] if band % WIDTH == 0 and band else [])
-    return [(j, (100 - percent) * 2 * (int(start[(j + 1) * WIDTH + 1]) - 1) // (100 + percent)) for j in out]
+def set_names(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """``_id, n, s1, s2``: size and name of each document's set."""
 
+    def run(batches):
+        for batch in batches:
+            for block in row_blocks(batch, text_col, BLOCK_BYTES):
+                sets, _, one, two = named_sets(block, size, text_col)
+                yield pa.RecordBatch.from_arrays([block.column(id_col), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two)], ["_id", "n", "s1", "s2"])
 
-#: From this similarity on, parts make better signatures than single shingles.
-PARTS_FROM = 85
+    return docs.select(id_col, text_col).mapInArrow(run, f"_id {dict(docs.dtypes)[id_col]}, n long, s1 long, s2 long")
 
 
-def signatures(tokens: np.ndarray, values: np.ndarray, percent: int) -> np.ndarray:
-    if percent < PARTS_FROM:
-        # In any one order of all shingles, similar sets share 1 + n // 20 of their first few, n being the smaller set's size.
-        few = len(tokens) - -(-len(tokens) * percent // 100) + 1 + len(tokens) // 20 if len(tokens) else 0
-        return tokens[np.argsort(values, kind="stable")[:few]]
-    found = []
-    for level, differ in levels(len(tokens), percent):
-        if differ == 0:  # only equal sets are similar
-            continue
-        parts = differ + 2
-        part = (tokens % np.uint64(parts)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part, values)
-        held = np.bincount(part, minlength=parts)
-        signature = mixed(sums + np.uint64(level * 1_000_003) + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        found.append(signature[held > 0] if (held == 0).sum() <= 1 else signature)
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
-
-
-def set_features(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, what: str) -> DataFrame:
-    """``id_col, n, s1, s2`` (a 128-bit name of the set), and ``sig`` or the set itself as ``tokens``."""
+def signature_rows(docs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
+    """``sig, s1``, at least once for each set."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for block in row_blocks(batch, text_col, BLOCK_BYTES):
+                sets, mixes, one, _ = named_sets(block, size, text_col)
+                sent, names = [], []
+                for tokens, values, name in zip(sets, mixes, one.tolist()):
+                    if name not in seen:
+                        sent.append(signatures(tokens, values, percent))
+                        names.append(name)
+                        if len(seen) < REMEMBERED:
+                            seen.add(name)
+                flat = np.concatenate([*sent, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(names, np.int64), [len(x) for x in sent]))], ["sig", "s1"])
+
+    return docs.select(text_col).mapInArrow(run, "sig long, s1 long")
+
+
+def token_sets(docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """``s1, n, tokens`` of each row's set."""
 
     def run(batches):
         for batch in batches:
             for block in row_blocks(batch, text_col, BLOCK_BYTES):
-                sets = shingle_sets(*text_bytes(block.column(text_col)), size)
-                mixes = [mixed(s) for s in sets]
-                one = np.array([m.sum(dtype=np.uint64) for m in mixes], np.uint64)
-                two = np.array([mixed(m + np.uint64(7)).sum(dtype=np.uint64) for m in mixes], np.uint64)
-                lists = [signatures(s, m, percent) for s, m in zip(sets, mixes)] if what == "sig" else sets
-                ends = np.cumsum([0, *map(len, lists)])
-                flat = np.concatenate([*lists, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+                sets, _, one, _ = named_sets(block, size, text_col)
+                ends = np.cumsum([0, *map(len, sets)])
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [block.column(id_col), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    [id_col, "n", "s1", "s2", what],
+                    [pa.array(one), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["s1", "n", "tokens"]
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, n long, s1 long, s2 long, {what} array<long>")
+    return docs.select(text_col).mapInArrow(run, "s1 long, n long, tokens array<long>")
 
 
-def similar(percent: int):
-    """Over columns n, m and i, the sizes of two sets and of their intersection."""
-    return F.col("i") * 100 >= (F.col("n") + F.col("m") - F.col("i")) * percent
+def met(rows: DataFrame) -> DataFrame:
+    """``sig, s1, hub`` for the signatures that several sets have; ``hub`` is the smallest of their names.
+
+    Rows are dealt out by signature and streamed in order, so a signature's sets are never held together.
+    """
+
+    def run(batches):
+        sig_, hub_, last_, held_ = None, None, None, 0  # of the run that may go on
+        for batch in batches:
+            sig, name = np.asarray(batch.column("sig")), np.asarray(batch.column("s1"))
+            if not len(sig):
+                continue
+            fresh = np.append(sig_ is None or sig[0] != sig_ or name[0] != last_, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1]))
+            sig, name = sig[fresh], name[fresh]
+            if not len(sig):
+                continue
+            opens = np.append(sig[0] != sig_, sig[1:] != sig[:-1])
+            first = np.flatnonzero(opens)
+            run_of = np.cumsum(opens)  # 0: the run of the last batch
+            hubs = np.concatenate(([0 if hub_ is None else hub_], name[first]))
+            sizes = np.bincount(run_of, minlength=len(hubs))
+            alone = sizes == 1
+            alone[0] = False
+            out = ~alone[run_of]
+            columns = [sig[out], name[out], hubs[run_of[out]]]
+            if sizes[0] and held_ == 1:
+                columns = [np.append(c, x) for c, x in zip(columns, (sig_, hub_, hub_))]
+            ends_alone = len(first) and alone[-1]
+            held_ = 1 if ends_alone else 2
+            sig_, last_, hub_ = sig[-1], name[-1], hubs[-1]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sig", "s1", "hub"])
+
+    return rows.select("sig", "s1").repartition("sig").sortWithinPartitions("sig", "s1").mapInArrow(run, "sig long, s1 long, hub long")
+
+
+def enough(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``s1`` of sets with as many of the signatures as they must share with a similar set, of at least n * percent / 100 shingles."""
+    held = shared.groupBy("s1").agg(F.count("*").alias("_k"))
+    return held.join(sizes, "s1").where(F.col("_k") >= 1 + F.floor(F.col("n") * percent / 2000)).select("s1")
 
 
 def ngram_jaccard_components(
-    docs: DataFrame, *, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1_500_000
+    docs: DataFrame, *, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1_000_000
 ) -> DataFrame:
     """``id_col, n_shingles, component_id``.
 
@@ -115,60 +155,40 @@ def ngram_jaccard_components(
     Repeated rows are copies like any others.  ``id_col`` must be integral; a null id names a component only if all
     its ids are null.
     """
-    features = released(set_features(docs, words, percent, id_col, text_col, "sig").withColumnRenamed(id_col, "_id"))
-    rows = features.where("n > 0").select("s1", F.explode("sig").alias("sig"))
-    hubs = released(rows.groupBy("sig").agg(F.min("s1").alias("hub"), F.max("s1").alias("top")).where("hub < top").select("sig", "hub"))
-    shared = released(rows.join(hubs, "sig").distinct())
-
-    if percent < PARTS_FROM:
-        # A similar set has at least n * percent / 100 shingles, so a set needs that many signatures that others have too.
-        sizes = features.select("s1", "n").distinct()
-        held = shared.groupBy("s1").agg(F.count("*").alias("k")).join(sizes, "s1").where(F.col("k") >= 1 + F.floor(F.col("n") * percent / 2000))
-        shared = released(shared.select("sig", "s1").join(held.select("s1"), "s1"))
-        hubs = shared.groupBy("sig").agg(F.min("s1").alias("hub"), F.max("s1").alias("top")).where("hub < top").select("sig", "hub")
-        shared = released(shared.join(hubs, "sig"))
+    features = released(set_names(docs, words, id_col, text_col))
+    sizes = features.where("n > 0").groupBy("s1").agg(F.min("n").alias("n"))
+    shared = released(met(signature_rows(docs, words, percent, text_col)))
+    shared = released(met(shared.select("sig", "s1").join(enough(shared, sizes, percent), "s1")))
 
     # Sets of the candidates, each from one of its documents.
-    chosen = features.join(shared.select("s1").distinct(), "s1").groupBy("s1").agg(F.min("_id").alias(id_col)).select(id_col).distinct()
-    chosen = chosen.withColumnRenamed(id_col, "_chosen")
-    texts = docs.select(id_col, text_col).join(chosen, F.col(id_col).eqNullSafe(F.col("_chosen"))).drop("_chosen")
-    sets = released(set_features(texts, words, percent, id_col, text_col, "tokens").select("s1", "n", "tokens").dropDuplicates(["s1"]))
-
-    pairs = shared.where("s1 != hub").select("s1", "hub").distinct()
-    other = sets.select(F.col("s1").alias("hub"), F.col("n").alias("m"), F.col("tokens").alias("others"))
-    links = released(
-        pairs.join(sets, "s1").join(other, "hub")
-        .withColumn("i", F.size(F.array_intersect("tokens", "others"))).where(similar(percent))
-        .select(F.col("s1").alias("a"), F.col("hub").alias("b"))
-    )
+    rows = features.groupBy("_id", "s1").agg(F.count("*").alias("_rows"))
+    chosen = rows.join(shared.select("s1").distinct(), "s1").groupBy("s1").agg(F.min_by(F.struct("_id", "_rows"), F.struct("_id")).alias("_one"))
+    chosen = released(chosen.groupBy(F.col("_one._id").alias("_chosen")).agg(F.max("_one._rows").alias("_rows"), F.count("*").alias("_sets")))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(chosen.select("_chosen"), F.col("_id").eqNullSafe(F.col("_chosen")))
+    sets = token_sets(texts, words, text_col)
+    # Only repeated ids can give a set twice.
+    sets = released(sets if chosen.where("_rows > 1 or _sets > 1").isEmpty() else sets.dropDuplicates(["s1"]))
+
+    links = released(grouped(shared, sets, percent, block_tokens))
     first = connected_components(links)
 
-    # Signatures whose sets are in different components, without the sets that can't be similar to any other.
+    # Signatures whose sets are in different components, and sets with enough of these.
     open_ = shared.select("sig", "s1").join(first.withColumnRenamed("node", "s1"), "s1", "left").select(
         "sig", "s1", F.coalesce("component", "s1").alias("c")
     )
     open_ = released(several(open_))
     for _ in range(2):
-        left = sets.join(open_.select("s1").distinct(), "s1")
-        private = (
-            left.select("s1", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("k"), F.min("s1").alias("s1"))
-            .where("k = 1").groupBy("s1").agg(F.count("*").alias("u"))
-        )
-        bound = left.select("s1", "n").join(private, "s1", "left").select("s1", "n", F.coalesce("u", F.lit(0)).alias("u"))
-        # Two sets differ in at least their private shingles: u <= (n + m)(100 - p) / (100 + p), m <= 100 n / p.
-        alive = bound.where(F.col("u") * (100 + percent) * percent <= F.col("n") * (percent + 100) * (100 - percent)).select("s1", "u")
-        open_ = released(several(open_.select("sig", "s1", "c").join(alive, "s1")))
+        open_ = released(several(open_.join(enough(open_, sizes, percent), "s1").select("sig", "s1", "c")))
     centres = open_.groupBy("sig").agg(F.min("s1").alias("b"))
     groups = connected_components(open_.join(centres, "sig").select(F.col("s1").alias("a"), "b"))
     members = (
-        open_.select("s1", "c", "u").distinct().join(groups.withColumnRenamed("node", "s1"), "s1").join(sets, "s1")
-        .select(F.col("component").alias("g"), "s1", "c", "u", "n", "tokens")
+        open_.select("s1", "c").distinct().join(groups.withColumnRenamed("node", "s1"), "s1").join(sets, "s1")
+        .select(F.col("component").alias("g"), "s1", "c", "n", "tokens")
     )
     more = compared(released(members), percent, block_tokens)
 
-    links = links.select("a", "b").union(more)
-    final = connected_components(links).select(F.col("node").alias("s1"), "component")
-    named = features.select("_id", "n", "s1", "s2").join(final, "s1", "left").withColumn(
+    final = connected_components(links.select("a", "b").union(more)).select(F.col("node").alias("s1"), "component")
+    named = features.join(final, "s1", "left").withColumn(
         "_key", F.when(F.col("component").isNotNull(), F.struct(F.col("component").alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(F.struct(F.col("s1").alias("a"), F.col("s2").alias("b")))
     )
     least = named.where("n > 0").groupBy("_key").agg(F.min("_id").alias("component_id"))
@@ -182,88 +202,151 @@ def several(rows: DataFrame) -> DataFrame:
     return rows.join(mixed_, "sig")
 
 
+def blocks_of(rows: DataFrame, block_tokens: int) -> DataFrame:
+    """``g, blocks``: into how many blocks a group is cut, by its sets and by their shingles."""
+    return rows.groupBy("g").agg((F.floor(F.greatest(F.sum("n") / block_tokens, F.count("*") / BLOCK_SETS)) + 1).cast("int").alias("blocks"))
+
+
+def grouped(shared: DataFrame, sets: DataFrame, percent: int, block_tokens: int) -> DataFrame:
+    """Links ``a, b`` that connect the sets within blocks of groups; a set's group is that of the hub it shares most signatures with."""
+    counts = shared.where("s1 != hub").groupBy("s1", "hub").agg(F.count("*").alias("k"))
+    best = counts.groupBy("s1").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("g")).join(sets.select("s1", "n"), "s1")
+    sized = blocks_of(best, block_tokens)
+    dealt = best.join(sized, "g").select("g", "s1", F.pmod(F.xxhash64("s1", F.lit("block")), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
+    leaders = sized.select("g", F.col("g").alias("s1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
+    units = dealt.union(leaders).join(sets, "s1").repartition("g", "block").sortWithinPartitions("g", "block", "role", "n", "s1")
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            g, block, names = (batch.column(c).to_pylist() for c in ("g", "block", "s1"))
+            for at, (now, tokens) in enumerate(zip(zip(g, block), token_lists(batch))):
+                if now != key:
+                    yield from answer(held)
+                    key, held = now, []
+                held.append((names[at], tokens.copy()))
+        yield from answer(held)
+
+    def answer(held):
+        if len(held) > 1:
+            found = linked(held, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    return units.select("g", "block", "s1", "tokens").mapInArrow(run, "a long, b long").distinct()
+
+
+def linked(members: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links that connect a block's sets as all their links do; the first of ``members`` asks first."""
+    groups = [TokenGroup(members[k : k + WIDTH]) for k in range(0, len(members), WIDTH)]
+    label = np.arange(len(members))
+    out = []
+    for i, (name, tokens) in enumerate(members):
+        for k, group in enumerate(groups):
+            at = slice(k * WIDTH, k * WIDTH + len(group.names))
+            if (label[at] == label[i]).all():
+                continue
+            for j in (np.flatnonzero(group.similar(tokens, percent)) + at.start).tolist():
+                if label[j] != label[i]:
+                    out.append((name, int(members[j][0])))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def token_lists(batch):
+    tokens = batch.column("tokens")
+    flat, ends = np.asarray(tokens.flatten()).view(np.uint64), np.asarray(tokens.offsets)
+    ends = (ends - ends[0]).tolist()
+    return (flat[a:b] for a, b in zip(ends, ends[1:]))
+
+
 def compared(members: DataFrame, percent: int, block_tokens: int) -> DataFrame:
     """Links ``a, b`` between members of one group ``g`` and of different components ``c``.
 
     A group is cut into blocks of about ``block_tokens`` shingles; each pair of its blocks is a unit of work.
     """
-    sized = members.groupBy("g").agg((F.floor(F.sum("n") / block_tokens) + 1).cast("int").alias("blocks"))
-    dealt = members.join(sized, "g").withColumn("own", F.pmod(F.xxhash64("s1", F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = members.join(blocks_of(members, block_tokens), "g").withColumn("own", F.pmod(F.xxhash64("s1", F.lit("block")), F.col("blocks")).cast("int"))
     # Stored in blocks j >= i, and a query of blocks i <= j.
     stored = F.transform(F.sequence(F.lit(0), F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(0).alias("role")))
     asking = F.transform(F.sequence(F.col("own"), F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(1).alias("role")))
     units = (
-        dealt.select("g", "s1", "c", "u", "n", "tokens", F.inline(F.concat(stored, asking)))
+        dealt.select("g", "s1", "c", "n", "tokens", F.inline(F.concat(stored, asking)))
         .repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "role", "n")
     )
 
     def run(batches):
-        key, block = None, None
-        store: list[tuple] = []
+        key, groups, store = None, None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("g", "i", "j", "role", "s1", "c", "u", "n")]
-            tokens = batch.column("tokens")
-            flat, ends = np.asarray(tokens.flatten()).view(np.uint64), np.asarray(tokens.offsets) - tokens.offsets[0].as_py()
-            queries: list[tuple] = []
-            for at, (g, i, j, role, s, c, u, n) in enumerate(zip(*columns)):
+            columns = [batch.column(c).to_pylist() for c in ("g", "i", "j", "role", "s1", "c")]
+            out = []
+            for g, i, j, role, s, c, tokens in zip(*columns, token_lists(batch)):
                 if (g, i, j) != key:
-                    yield from answer(queries, block)
-                    queries, store, block, key = [], [], None, (g, i, j)
-                own = (s, c, u, n, flat[ends[at] : ends[at + 1]])
+                    key, groups, store = (g, i, j), None, []
                 if role == 0:
-                    store.append(tuple(own[:4]) + (own[4].copy(),))
-                else:
-                    if block is None:
-                        block = [TokenGroup(store[k : k + 256]) for k in range(0, len(store), 256)]
-                    queries.append(own)
-            yield from answer(queries, block)
-
-    def answer(queries, block):
-        out = []
-        for k in range(0, len(queries), 256):
-            part = queries[k : k + 256]
-            for group in block:
-                out += group.links(part, percent)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+                    store.append((s, tokens.copy(), c))
+                    continue
+                if groups is None:
+                    groups = [TokenGroup(store[k : k + WIDTH]) for k in range(0, len(store), WIDTH)]
+                for group in groups:
+                    apart = group.components != c
+                    if apart.any():
+                        out += [(s, b) for b in group.names[apart & group.similar(tokens, percent)].tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
     return units.mapInArrow(run, "a long, b long").distinct()
 
 
 class TokenGroup:
-    """Members of a group with their shingle union."""
+    """Up to ``WIDTH`` sets: the union of their shingles, ascending, each with its holders."""
 
     def __init__(self, members: list[tuple]):
-        self.names, self.components, self.private, self.sizes = (np.array(x, np.int64) for x in list(zip(*members))[:4])
-        self.tokens = np.concatenate([m[4] for m in members])
-        self.owner = np.repeat(np.arange(len(members)), self.sizes)
-        self.union = np.unique(self.tokens)
-
-    def links(self, queries: list[tuple], percent: int) -> list[tuple[int, int]]:
-        names, components, private, sizes = (np.array(x, np.int64) for x in list(zip(*queries))[:4])
-        tokens = np.concatenate([q[4] for q in queries])
-        owner = np.repeat(np.arange(len(queries)), sizes)
+        self.names = np.array([m[0] for m in members], np.int64)
+        self.components = np.array([m[2] for m in members], np.int64) if len(members[0]) > 2 else self.names
+        self.sizes = np.array([len(m[1]) for m in members], np.int64)
+        tokens = np.concatenate([m[1] for m in members])
+        order = np.argsort(tokens, kind="stable")
+        self.holders = np.repeat(np.arange(len(members)), self.sizes)[order]
+        tokens = tokens[order]
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        self.union = tokens[first]
+        self.bounds = np.append(first, len(tokens))
+
+    def similar(self, tokens: np.ndarray, percent: int) -> np.ndarray:
+        """Which members are similar to the set ``tokens``."""
         at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
-        hit = self.union[at] == tokens
-        overlap = np.bincount(owner[hit], minlength=len(queries))
-        qualifies = overlap * 100 >= sizes * percent  # no member can have more in common
-        if not qualifies.any():
-            return []
-        used = hit & qualifies[owner]
-        wanted, place = np.unique(at[used], return_inverse=True)
-        left = np.zeros((len(queries), len(wanted)), np.float32)
-        left[owner[used], place] = 1
-        inner = np.minimum(np.searchsorted(self.union[wanted], self.tokens), len(wanted) - 1)
-        same = self.union[wanted][inner] == self.tokens
-        right = np.zeros((len(self.names), len(wanted)), np.float32)
-        right[self.owner[same], inner[same]] = 1
-        both = (left @ right.T).astype(np.int64)
-        found = both * 100 >= (sizes[:, None] + self.sizes[None, :] - both) * percent
-        found &= components[:, None] != self.components[None, :]
-        return [(int(names[a]), int(self.names[b])) for a, b in zip(*np.nonzero(found))]
+        at = at[self.union[at] == tokens]
+        if len(at) * 100 < len(tokens) * percent:  # no member can have more in common
+            return np.zeros(len(self.names), bool)
+        held = self.holders[ranges(self.bounds[at], self.bounds[at + 1] - self.bounds[at])]
+        both = np.bincount(held, minlength=len(self.names))
+        return both * 100 >= (len(tokens) + self.sizes - both) * percent
+
+
+#: Components are the closure of links over the distinct sets.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) END)) AS s FROM words
+), classes AS (SELECT s, min(r) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT c, n, unnest(s) AS t FROM classes),
+links AS (
+  SELECT a.c AS a, b.c AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.c < b.c AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON r.b = l.a),
+named AS (SELECT a AS c, min(b) AS k FROM reached GROUP BY a),
+owners AS (SELECT s.doc_id, s.r, len(s.s) AS n, n.k FROM sets s LEFT JOIN classes c ON s.s = c.s LEFT JOIN named n ON n.c = c.c)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN k IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY k) END AS component_id FROM owners
+"""
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """Classes of similar documents, over the whole table; see ``ngram_jaccard_components``."""
     from .common import table
 
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ from .bpe import op2_byte_bpe
 from .embedding_dedup import op10_embedding_dedup
 from .fingerprints import op5_fingerprints
 from .licenses import op4_license_scan
+from . import ngram_join
 from .ngram_join import op3_ngram_join
 from .packing import op9_packing
 from .pii import op8_pii
@@ -30,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_join": ngram_join.SQL}
