@@ -11,6 +11,7 @@ Conventions that hold for every operator of this subpackage:
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 import numpy as np
@@ -21,10 +22,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where it is unset, as in tests."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a local one if all of Spark runs here, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="loom-ckpt-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -43,6 +49,34 @@ def released(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread_join(rows: DataFrame, stats: DataFrame, keys: list[str], count: str, many: int = 2000) -> DataFrame:
+    """``rows`` with the columns of ``stats``, which has one row for each of some keys and in ``count`` how many rows have it.
+
+    Keys that have more than one in ``many`` of these rows are fewer than ``many``, so their stats are broadcast and their
+    rows stay spread out; the others meet in a shuffle.  ``stats`` is read several times and should be stored.
+    """
+    total = stats.agg(F.sum(count)).first()[0] or 0
+    more = [c for c in stats.columns if c not in keys]
+    hot = stats.where(F.col(count) > total / many).select(*[F.col(c).alias(f"_hot_{c}") for c in stats.columns])
+    cold = stats.select(*[F.col(c).alias(f"_cold_{c}") for c in stats.columns], F.lit(0).cast("long").alias("_cold_salt"))
+    is_hot = F.col(f"_hot_{count}").isNotNull()
+    dealt = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left")
+    # No stats have a salt besides 0, so rows of hot keys meet nothing in the shuffle.
+    dealt = dealt.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long")))
+    joined = dealt.join(cold, [F.col(k) == F.col(f"_cold_{k}") for k in keys] + [F.col("_salt") == F.col("_cold_salt")], "left")
+    return joined.where(is_hot | F.col(f"_cold_{count}").isNotNull()).select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in more])
+
+
+def kept_names(columns: list[str], taken: set[str]) -> list[str]:
+    """Names of kept columns in a result that has the columns ``taken``: those that clash get ``in_`` in front."""
+    out: list[str] = []
+    for c in columns:
+        while c in taken or c in out:
+            c = f"in_{c}"
+        out.append(c)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

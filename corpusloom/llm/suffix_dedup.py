@@ -22,11 +22,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import powers
-from .common import mixed, released, row_blocks, text_bytes
+from .common import checkpointed, kept_names, mixed, released, row_blocks, spread_join, text_bytes
+from .shingles import word_hashes
 
 BLOCK_BYTES = 2 << 20
 #: Low bits of a hash that give way to a place.
@@ -87,28 +89,54 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
 
 
 def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    """One row for each anchor of each row's text; texts shorter than ``length`` have none."""
+
     def run(batches):
         for batch in batches:
             for block in row_blocks(batch, "text", BLOCK_BYTES):
-                for part in [block]:
-                    owner, key, hull, lo, hi, at = anchors(*text_bytes(part.column("text")), length, seed)
-                    rows = pa.array(owner)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("id").take(rows), part.column("th").take(rows), pa.array(key.view(np.int64)), pa.array(hull.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in (lo, hi, at))],
-                        ["id", "th", "key", "hull", "lo", "hi", "at"],
-                    )
+                owner, key, hull, lo, hi, at = anchors(*text_bytes(block.column("text")), length, seed)
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [block.column("id").take(rows), block.column("th").take(rows), pa.array(key.view(np.int64)), pa.array(hull.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in (lo, hi, at))],
+                    ["id", "th", "key", "hull", "lo", "hi", "at"],
+                )
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, key long, hull long, lo long, hi long, at long")
 
 
+def passage_rows(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """``id, th, key``: each row's distinct anchors of ``seed`` words, at least one in every ``words`` words in sequence."""
+
+    def run(batches):
+        for batch in batches:
+            for block in row_blocks(batch, "text", BLOCK_BYTES):
+                owner, key, *_ = anchors(*word_hashes(*text_bytes(block.column("text"))), words, seed)
+                order = np.lexsort((key, owner))
+                owner, key = owner[order], key[order]
+                once = np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+                rows = pa.array(owner[once])
+                yield pa.RecordBatch.from_arrays([block.column("id").take(rows), block.column("th").take(rows), pa.array(key[once].view(np.int64))], ["id", "th", "key"])
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, key long")
+
+
+def shared_passages(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """``id, th, n_passages``: how many of a row's anchors of ``seed`` words other rows have too."""
+    rows = passage_rows(docs, words, seed)
+    counts = released(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = spread_join(rows, counts, ["key"], "n").select("id", "th", "key").distinct()  # repeated rows say the same
+    return released(shared.groupBy("id", "th").agg(F.count("*").alias("n_passages")))
+
+
 def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows with ``key`` and ``hull``: those whose hull recurs, and those that remain to be compared with others (``open``)
     together with one row for each recurring hull that they may match."""
-    several = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("hull").alias("a"), F.max("hull").alias("b")).where("n > 1").select("key", (F.col("a") < F.col("b")).alias("differ"))
+    several = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("hull").alias("a"), F.max("hull").alias("b")).where("rows > 1")
+    several = released(several.select("key", "rows", (F.col("a") < F.col("b")).alias("differ")))
     name = F.xxhash64("id", "th", "lo", "hi")
-    shared = released(rows.join(several, "key").withColumn("name", name))
-    hulls = shared.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("name").alias("chosen"))
-    told = released(shared.join(hulls, KEYS))
+    shared = released(spread_join(rows, several, ["key"], "rows").drop("rows").withColumn("name", name))
+    hulls = checkpointed(shared.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("name").alias("chosen")))
+    told = released(spread_join(shared, hulls, KEYS, "n"))
     repeated = told.where("n > 1")
     open_ = told.where("n = 1 and differ")
     stand = repeated.where("name = chosen and differ").dropDuplicates(KEYS).join(open_.select("key").distinct(), "key")
@@ -290,7 +318,8 @@ def repeated_spans(docs: DataFrame, length: int, seed: int, most: int) -> DataFr
 
 
 def without_repeats(
-    docs: DataFrame, *, length: int = 400, seed: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most: int = 6_000, as_text: bool = False
+    docs: DataFrame, *, length: int = 400, seed: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most: int = 6_000, as_text: bool = False,
+    passage_words: int = 0, passage_seed: int = 42,
 ) -> DataFrame:
     """Texts without the bytes of ``length``-byte strings that start anywhere else too.
 
@@ -298,25 +327,34 @@ def without_repeats(
     input; matches never cross documents; overlapping occurrences and occurrences in one document count.  A null
     text is empty; shorter texts are kept whole; repeated rows are repeats of one another.  ``most`` bounds the
     surroundings of one anchor that meet in one task.  With ``as_text``, ``kept`` is a string without the characters that a
-    cut has split.
+    cut has split.  A kept column that has the name of another column gets ``in_`` in front of it.
+
+    With ``passage_words``, also ``n_passages``: many passages are shorter than ``length`` bytes, and this counts the row's
+    strings of ``passage_seed`` words, chosen by content so that any ``passage_words`` words in sequence hold one, that other
+    rows have too.  It removes nothing.
     """
     keep = keep or [id_col]
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     named = named.select("id", "th", "text")
-    spans = repeated_spans(named, length, seed, most)
-    listed = released(spans.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    listed = listed.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans")
+    none = F.lit(None).cast("long")
+    told = repeated_spans(named, length, seed, most).distinct().select("id", "th", "s", "e", none.alias("k"))
+    if passage_words:
+        told = told.union(shared_passages(named, passage_words, passage_seed).select("id", "th", none, none, "n_passages"))
+    listed = released(told.groupBy("id", "th").agg(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "e"))).alias("_spans"), F.max("k").alias("_k")))
+    listed = listed.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_spans", "_k")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = docs.select(*[F.col(c) for c in keep], text.alias("_text"), F.col(id_col).alias("_own")).join(
+    added = ["n_bytes", "n_removed", "n_spans", "kept"] + (["n_passages"] if passage_words else [])
+    names = kept_names(keep, {*added, "_text", "_own", "_spans", "_k", "_id", "_th"})
+    whole = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], text.alias("_text"), F.col(id_col).alias("_own")).join(
         listed, F.col("_own").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_th")), "left"
-    ).select(*keep, "_text", "spans")
+    ).select(*names, "_text", "_spans", "_k")
 
     def run(batches):
         for batch in batches:
             for block in row_blocks(batch, "_text", BLOCK_BYTES):
                 data, offsets = text_bytes(block.column("_text"))
                 change = np.zeros(len(data) + 1, np.int32)
-                for i, own in enumerate(block.column("spans").to_pylist()):
+                for i, own in enumerate(block.column("_spans").to_pylist()):
                     for s in own or ():
                         change[offsets[i] + s["s"]] += 1
                         change[offsets[i] + s["e"]] -= 1
@@ -328,18 +366,38 @@ def without_repeats(
                 total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[offsets])
                 kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
                 kept = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*(block.column(c) for c in keep), pa.array(np.diff(offsets)), pa.array(total(gone)), pa.array(total(opens)), kept],
-                    [*keep, "n_bytes", "n_removed", "n_spans", "kept"],
-                )
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return whole.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+                columns = [pa.array(np.diff(offsets)), pa.array(total(gone)), pa.array(total(opens)), kept, pc.fill_null(block.column("_k"), 0)][: len(added)]
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), *columns], [*names, *added])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{n}` {kinds[c]}" for c, n in zip(keep, names))
+    more = ", n_passages long" if passage_words else ""
+    return whole.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{more}")
+
+
+#: Windows by their hash-free bytes; a byte goes if a window over it starts twice.
+SQL = """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sized AS (SELECT r, doc_id, b, octet_length(b) AS n FROM texts),
+starts AS (SELECT r, b, unnest(range(1, n - 398)) AS p FROM sized WHERE n >= 400),
+windows AS (SELECT r, p, md5(b[p : p + 399]) AS w FROM starts),
+twice AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM windows JOIN twice USING (w)),
+runs AS (SELECT r, p, sum(CASE WHEN q IS NULL OR p > q + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM hit),
+spans AS (SELECT r, k, min(p) AS s, max(p) + 399 AS e FROM runs GROUP BY r, k),
+listed AS (SELECT r, sum(e - s + 1) AS n_removed, count(*) AS n_spans, list(e ORDER BY s) AS es, list(s ORDER BY s) AS ss FROM spans GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN ss IS NULL THEN sha256(b) ELSE sha256(from_hex(array_to_string(list_transform(range(0, len(ss) + 1),
+    lambda i: hex(b[(CASE WHEN i = 0 THEN 1 ELSE es[i] + 1 END) : (CASE WHEN i = len(ss) THEN n ELSE ss[i + 1] - 1 END)])), ''))) END AS kept_sha256
+FROM sized LEFT JOIN listed USING (r)
+"""
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Sizes and checksums of texts without strings of 400 bytes that recur, and shared passages of over 50 words, over the
+    whole table; see ``without_repeats``."""
     from .common import table
 
-    return without_repeats(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    return without_repeats(table(spark, sf_dir, "documents"), passage_words=51).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages"
     )

@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, row_blocks, text_bytes
+from .bpe import span_hashes
+from .common import kept_names, mixed, row_blocks, text_bytes
 
 BUCKETS = 1 << 18
 BLOCK_BYTES = 2 << 20
 PREFIXES = (4, 5)
-BASE = 0x9E3779B97F4A7C15
-LONGEST = 40  # bytes of a word that are looked at
 
 _KIND = np.zeros(256, np.uint8)  # 0 between words, 1 in a word, 2 ends a sentence
 _KIND[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = 1
@@ -36,7 +35,8 @@ _LOWER[65:91] += 32
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per word its feature buckets (words x 3) and its sentence; per sentence its text, first and end byte.
 
-    Sentences without words are left out; none crosses two texts.
+    Words are runs of ASCII letters, digits and two-byte characters, of any length; characters of three or four bytes, whose
+    scripts often have no spaces, are words of their own.  Sentences without words are left out; none crosses two texts.
     """
     n = len(data)
     kind = _KIND[data]
@@ -45,6 +45,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     opens[1:] &= ~word[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     opens[first] = word[first]
+    opens |= data >= 0xE0
     closes = np.append(opens[1:] | ~word[1:], True) & word if n else word
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     breaks = np.cumsum(kind == 2)
@@ -54,17 +55,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     sentence = np.cumsum(new) - 1
     head = np.flatnonzero(new)
     low = _LOWER[data]
-    hashed = np.zeros((len(starts), 1 + len(PREFIXES)), np.uint64)
     sizes = ends - starts
-    value = np.zeros(len(starts), np.uint64)
-    live = np.arange(len(starts))
-    for i in range(int(min(sizes.max(initial=0), LONGEST))):
-        live = live[sizes[live] > i]
-        value[live] = value[live] * np.uint64(BASE) + low[starts[live] + i] + np.uint64(1)
+    hashed = np.zeros((len(starts), 1 + len(PREFIXES)), np.uint64)
+    if len(starts):
+        hashed[:, 0] = mixed(span_hashes(low, starts, ends) + sizes.astype(np.uint64))
         for j, size in enumerate(PREFIXES):
-            if i + 1 == size:
-                hashed[live, 1 + j] = value[live] + np.uint64(size)
-    hashed[:, 0] = value
+            long = sizes >= size
+            hashed[long, 1 + j] = mixed(span_hashes(low, starts[long], starts[long] + size) + np.uint64(1000 + size))
     buckets = (mixed(hashed) % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
     buckets[:, 1:][hashed[:, 1:] == 0] = 0  # shorter words have no such prefix
     return buckets, sentence, owner[head], starts[head], ends[np.append(head[1:], len(starts)) - 1] if len(head) else starts[head]
@@ -186,18 +183,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_positive: int = 3000, most_n
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (``id_col`` alone by default), ``score`` and the sentence that says most: ``worst_start``, ``worst_end`` (bytes of the UTF-8
-    text, null without words) and ``worst_score``.  A text without words scores 0; a null text counts as empty."""
+    text, null without words) and ``worst_score``.  A text without words scores 0; a null text counts as empty.  A kept column that has
+    the name of another column gets ``in_`` in front of it."""
     keep = keep or [id_col]
+    added = ["score", "worst_start", "worst_end", "worst_score"]
+    names = kept_names(keep, {*added, "_text"})
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{n}` {kinds[c]}" for c, n in zip(keep, names))
 
     def run(batches):
         weights, bias = held.value
         own = Model(weights, bias)
         for batch in batches:
-            for block in row_blocks(batch, text_col, BLOCK_BYTES):
-                buckets, sentence, owner, starts, ends = features(*(x := text_bytes(block.column(text_col))))
+            for block in row_blocks(batch, "_text", BLOCK_BYTES):
+                buckets, sentence, owner, starts, ends = features(*(x := text_bytes(block.column("_text"))))
                 n, offsets = block.num_rows, x[1]
                 p = own.sentences(buckets, sentence, len(owner))
                 total = noisy_or(p, owner, n)
@@ -208,13 +209,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 none = at < 0
                 pick = lambda a: pa.array(np.where(none, 0, a[at] if len(a) else 0), mask=none)
                 base = offsets[:-1]
-                columns = [block.column(c) for c in keep] + [
+                columns = [block.column(c) for c in names] + [
                     pa.array(total), pick(starts - base[owner]).cast(pa.int64()), pick(ends - base[owner]).cast(pa.int64()), pick(p.astype(np.float64)).cast(pa.float64()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "worst_start", "worst_end", "worst_score"])
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    wanted = list(dict.fromkeys([*keep, text_col]))
-    return docs.select(*wanted).mapInArrow(run, f"{schema}, score double, worst_start long, worst_end long, worst_score double")
+    return docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, score double, worst_start long, worst_end long, worst_score double")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
