@@ -64,11 +64,20 @@ def renewed(df: DataFrame, docs: DataFrame, text) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
+#: Columns that stages name; others may have any names, also those that operators give.
+OWN = ("doc_id", "text", "n_chars")
+
+
 def shipped(stage):
+    """``stage`` with the package at hand on executors, and with the documents' further columns under names of their own meanwhile."""
+
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        return stage(spark, docs, sf_dir)
+        names = docs.columns
+        inner = [c if c in OWN else f"_c{i}" for i, c in enumerate(names)]
+        out = stage(spark, docs.toDF(*inner), sf_dir)
+        return out.select(*inner).toDF(*names) if out.columns == inner else out
 
     return run
 
@@ -86,6 +95,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the whole table of documents; each one's result is stored and read again.  An empty table gives no
+    pieces; null texts are empty ones, and so give one piece with the end id alone."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
