@@ -30,12 +30,12 @@ from .common import mixed, ranges, released, row_blocks, text_bytes
 from .components import connected_components
 from .shingles import shingle_sets
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Sets in a group of the matrix, and in a block of groups.
 WIDTH = 64
 BLOCK_SETS = 512
 #: Names of sets that a task remembers, so that copies send their signatures once a task.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 16
 
 
 def signatures(tokens: np.ndarray, values: np.ndarray, percent: int) -> np.ndarray:

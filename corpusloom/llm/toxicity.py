@@ -21,7 +21,7 @@ from .bpe import span_hashes
 from .common import kept_names, mixed, row_blocks, text_bytes
 
 BUCKETS = 1 << 18
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 PREFIXES = (4, 5)
 
 _KIND = np.zeros(256, np.uint8)  # 0 between words, 1 in a word, 2 ends a sentence
@@ -188,6 +188,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     keep = keep or [id_col]
     added = ["score", "worst_start", "worst_end", "worst_score"]
     names = kept_names(keep, {*added, "_text"})
+    text = names[keep.index(text_col)] if text_col in keep else "_text"  # sent to the workers once
+    sent = [F.col(c).alias(n) for c, n in zip(keep, names)] + ([] if text_col in keep else [F.col(text_col).alias(text)])
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
     kinds = dict(docs.dtypes)
@@ -197,8 +199,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         weights, bias = held.value
         own = Model(weights, bias)
         for batch in batches:
-            for block in row_blocks(batch, "_text", BLOCK_BYTES):
-                buckets, sentence, owner, starts, ends = features(*(x := text_bytes(block.column("_text"))))
+            for block in row_blocks(batch, text, BLOCK_BYTES):
+                buckets, sentence, owner, starts, ends = features(*(x := text_bytes(block.column(text))))
                 n, offsets = block.num_rows, x[1]
                 p = own.sentences(buckets, sentence, len(owner))
                 total = noisy_or(p, owner, n)
@@ -214,7 +216,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    return docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, score double, worst_start long, worst_end long, worst_score double")
+    return docs.select(*sent).mapInArrow(run, f"{schema}, score double, worst_start long, worst_end long, worst_score double")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
