@@ -3,8 +3,8 @@
 Documents become sets of hashed word shingles; equal sets are one *set* with many documents.
 
 1. *Signatures.*  In one global (hashed) order of all shingles, two similar sets share several of their first few.  These
-   are dealt out by shingle once; those that one set alone has go at once, and so do sets with fewer shared ones than a
-   similar set must have.
+   are dealt out by shingle once; those that one set alone has go at once, and so do sets with fewer shared ones, or
+   more shingles of their own, than a similar set can have.
 2. *Groups.*  Each set that is left joins the group of the leader it shares most signatures with.  Groups are cut into
    blocks of bounded size, each of which also holds the leader.
 3. *Token-group matrix.*  A block is stored as groups of up to ``WIDTH`` sets with the union of their shingles, which
@@ -12,11 +12,12 @@ Documents become sets of hashed word shingles; equal sets are one *set* with man
    member, so only groups that reach the threshold are opened and counted exactly.  A query skips groups in which all
    are linked with it already.
 4. *Between groups.*  Signatures whose sets are still in different components are kept, as long as their sets have enough of
-   them for a similar set to exist.  What they connect goes through the matrix again, block against block.
+   them for a similar set to exist.  A set is sent to those blocks of other groups with which it shares enough, and goes
+   through their matrix.
 5. Components of all links name each document's class.
 
-No step gathers a signature's or group's members in one row or task: runs of one signature are streamed, large groups
-are cut into blocks, and pairs of blocks are separate units of work.
+No step gathers a signature's or group's members in one row or task: runs of one signature are streamed, and large groups
+are cut into blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, ranges, released, row_blocks, text_bytes
+from .common import checkpointed, mixed, ranges, released, row_blocks, text_bytes
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -169,7 +170,14 @@ def ngram_jaccard_components(
     # Only repeated ids can give a set twice.
     sets = released(sets if chosen.where("_rows > 1 or _sets > 1").isEmpty() else sets.dropDuplicates(["s1"]))
 
-    links = released(grouped(shared, sets, percent, block_tokens))
+    for _ in range(2):
+        alive = released(sets.select("s1", "n").join(private(sets), "s1", "left").where((F.col("n") - F.coalesce("u", F.lit(0))) * 100 >= F.col("n") * percent).select("s1"))
+        sets = released(sets.join(alive, "s1"))
+    shared = met(shared.select("sig", "s1").join(alive, "s1"))
+    shared = released(shared)
+
+    blocks = released(blocks_of_groups(shared, sets.select("s1", "n"), block_tokens))
+    links = released(within(blocks, sets, percent))
     first = connected_components(links)
 
     # Signatures whose sets are in different components, and sets with enough of these.
@@ -177,17 +185,10 @@ def ngram_jaccard_components(
         "sig", "s1", F.coalesce("component", "s1").alias("c")
     )
     open_ = released(several(open_))
-    for _ in range(2):
-        open_ = released(several(open_.join(enough(open_, sizes, percent), "s1").select("sig", "s1", "c")))
-    centres = open_.groupBy("sig").agg(F.min("s1").alias("b"))
-    groups = connected_components(open_.join(centres, "sig").select(F.col("s1").alias("a"), "b"))
-    members = (
-        open_.select("s1", "c").distinct().join(groups.withColumnRenamed("node", "s1"), "s1").join(sets, "s1")
-        .select(F.col("component").alias("g"), "s1", "c", "n", "tokens")
-    )
-    more = compared(released(members), percent, block_tokens)
+    open_ = released(several(open_.join(enough(open_, sizes, percent), "s1").select("sig", "s1", "c")))
+    more = between(open_, blocks.where("role = 1 or own"), sets, percent)
 
-    final = connected_components(links.select("a", "b").union(more)).select(F.col("node").alias("s1"), "component")
+    final = connected_components(links.union(more)).select(F.col("node").alias("s1"), "component")
     named = features.join(final, "s1", "left").withColumn(
         "_key", F.when(F.col("component").isNotNull(), F.struct(F.col("component").alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(F.struct(F.col("s1").alias("a"), F.col("s2").alias("b")))
     )
@@ -202,19 +203,27 @@ def several(rows: DataFrame) -> DataFrame:
     return rows.join(mixed_, "sig")
 
 
-def blocks_of(rows: DataFrame, block_tokens: int) -> DataFrame:
-    """``g, blocks``: into how many blocks a group is cut, by its sets and by their shingles."""
-    return rows.groupBy("g").agg((F.floor(F.greatest(F.sum("n") / block_tokens, F.count("*") / BLOCK_SETS)) + 1).cast("int").alias("blocks"))
+def private(sets: DataFrame) -> DataFrame:
+    """``s1, u``: how many shingles of a set no other one has."""
+    tokens = sets.select("s1", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("k"), F.min("s1").alias("s1"))
+    return tokens.where("k = 1").groupBy("s1").agg(F.count("*").alias("u"))
 
 
-def grouped(shared: DataFrame, sets: DataFrame, percent: int, block_tokens: int) -> DataFrame:
-    """Links ``a, b`` that connect the sets within blocks of groups; a set's group is that of the hub it shares most signatures with."""
+def blocks_of_groups(shared: DataFrame, sizes: DataFrame, block_tokens: int) -> DataFrame:
+    """``g, block, s1, role, own``: the blocks of groups.  A set's group is that of the hub it shares most signatures with; the hub
+    leads it (``role`` 0) in each of its blocks, and ``own`` says where it is in no other group."""
     counts = shared.where("s1 != hub").groupBy("s1", "hub").agg(F.count("*").alias("k"))
-    best = counts.groupBy("s1").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("g")).join(sets.select("s1", "n"), "s1")
-    sized = blocks_of(best, block_tokens)
-    dealt = best.join(sized, "g").select("g", "s1", F.pmod(F.xxhash64("s1", F.lit("block")), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
-    leaders = sized.select("g", F.col("g").alias("s1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
-    units = dealt.union(leaders).join(sets, "s1").repartition("g", "block").sortWithinPartitions("g", "block", "role", "n", "s1")
+    best = checkpointed(counts.groupBy("s1").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("g")).join(sizes, "s1"))
+    sized = best.groupBy("g").agg((F.floor(F.greatest(F.sum("n") / block_tokens, F.count("*") / BLOCK_SETS)) + 1).cast("int").alias("blocks"))
+    dealt = best.join(sized, "g").select("g", F.pmod(F.xxhash64("s1", F.lit("block")), F.col("blocks")).cast("int").alias("block"), "s1", F.lit(1).alias("role"), F.lit(True).alias("own"))
+    free = sized.join(best.select(F.col("s1").alias("g"), F.lit(True).alias("led")), "g", "left")
+    leaders = free.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("g").alias("s1"), F.lit(0).alias("role"), "led")
+    return dealt.union(leaders.select("g", "block", "s1", "role", F.col("led").isNull() & (F.col("block") == 0)))
+
+
+def within(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` that connect the sets of each block."""
+    units = blocks.join(sets, "s1").repartition("g", "block").sortWithinPartitions("g", "block", "role", "n", "s1")
 
     def run(batches):
         key, held = None, []
@@ -236,6 +245,43 @@ def grouped(shared: DataFrame, sets: DataFrame, percent: int, block_tokens: int)
     return units.select("g", "block", "s1", "tokens").mapInArrow(run, "a long, b long").distinct()
 
 
+def between(open_: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between sets of different components ``c`` and blocks: a set is sent to those blocks of which it holds as many
+    signatures as it must share with a similar set."""
+    place = blocks.select("s1", F.struct("g", "block").alias("to"))
+    held = released(open_.join(place, "s1"))
+    wanted = held.select("sig", "to").distinct()
+    counts = held.select("sig", "s1", F.col("to").alias("at")).join(wanted, "sig").where("at < to").groupBy("s1", "to").agg(F.count("*").alias("_k"))
+    asked = counts.join(sets.select("s1", "n"), "s1").where(F.col("_k") >= 1 + F.floor(F.col("n") * percent / 2000)).select("s1", "to", F.lit(1).alias("role"))
+    asked = checkpointed(asked)
+    names = held.select("s1", "c").distinct()
+    stored = place.join(asked.select("to").distinct(), "to").select("s1", "to", F.lit(0).alias("role"))
+    units = stored.union(asked).join(names, "s1").join(sets, "s1").select("to.g", "to.block", "role", "s1", "c", "n", "tokens")
+    units = units.repartition("g", "block").sortWithinPartitions("g", "block", "role", "n", "s1")
+
+    def run(batches):
+        key, groups, store = None, None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("g", "block", "role", "s1", "c")]
+            out = []
+            for g, block, role, s, c, tokens in zip(*columns, token_lists(batch)):
+                if (g, block) != key:
+                    key, groups, store = (g, block), None, []
+                if role == 0:
+                    store.append((s, tokens.copy(), c))
+                    continue
+                if groups is None:
+                    groups = [TokenGroup(store[k : k + WIDTH]) for k in range(0, len(store), WIDTH)]
+                for group in groups:
+                    apart = group.components != c
+                    if apart.any():
+                        out += [(s, b) for b in group.names[apart & group.similar(tokens, percent)].tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+
+    return units.mapInArrow(run, "a long, b long").distinct()
+
+
 def linked(members: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """Links that connect a block's sets as all their links do; the first of ``members`` asks first."""
     groups = [TokenGroup(members[k : k + WIDTH]) for k in range(0, len(members), WIDTH)]
@@ -260,43 +306,6 @@ def token_lists(batch):
     return (flat[a:b] for a, b in zip(ends, ends[1:]))
 
 
-def compared(members: DataFrame, percent: int, block_tokens: int) -> DataFrame:
-    """Links ``a, b`` between members of one group ``g`` and of different components ``c``.
-
-    A group is cut into blocks of about ``block_tokens`` shingles; each pair of its blocks is a unit of work.
-    """
-    dealt = members.join(blocks_of(members, block_tokens), "g").withColumn("own", F.pmod(F.xxhash64("s1", F.lit("block")), F.col("blocks")).cast("int"))
-    # Stored in blocks j >= i, and a query of blocks i <= j.
-    stored = F.transform(F.sequence(F.lit(0), F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(0).alias("role")))
-    asking = F.transform(F.sequence(F.col("own"), F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(1).alias("role")))
-    units = (
-        dealt.select("g", "s1", "c", "n", "tokens", F.inline(F.concat(stored, asking)))
-        .repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "role", "n")
-    )
-
-    def run(batches):
-        key, groups, store = None, None, []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("g", "i", "j", "role", "s1", "c")]
-            out = []
-            for g, i, j, role, s, c, tokens in zip(*columns, token_lists(batch)):
-                if (g, i, j) != key:
-                    key, groups, store = (g, i, j), None, []
-                if role == 0:
-                    store.append((s, tokens.copy(), c))
-                    continue
-                if groups is None:
-                    groups = [TokenGroup(store[k : k + WIDTH]) for k in range(0, len(store), WIDTH)]
-                for group in groups:
-                    apart = group.components != c
-                    if apart.any():
-                        out += [(s, b) for b in group.names[apart & group.similar(tokens, percent)].tolist()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
-
-    return units.mapInArrow(run, "a long, b long").distinct()
-
-
 class TokenGroup:
     """Up to ``WIDTH`` sets: the union of their shingles, ascending, each with its holders."""
 
