@@ -159,24 +159,21 @@ def ngram_jaccard_components(
     features = released(set_names(docs, words, id_col, text_col))
     sizes = features.where("n > 0").groupBy("s1").agg(F.min("n").alias("n"))
     shared = released(met(signature_rows(docs, words, percent, text_col)))
-    shared = released(met(shared.select("sig", "s1").join(enough(shared, sizes, percent), "s1")))
+    able = released(enough(shared, sizes, percent))
 
     # Sets of the candidates, each from one of its documents.
     rows = features.groupBy("_id", "s1").agg(F.count("*").alias("_rows"))
-    chosen = rows.join(shared.select("s1").distinct(), "s1").groupBy("s1").agg(F.min_by(F.struct("_id", "_rows"), F.struct("_id")).alias("_one"))
+    chosen = rows.join(able, "s1").groupBy("s1").agg(F.min_by(F.struct("_id", "_rows"), F.struct("_id")).alias("_one"))
     chosen = released(chosen.groupBy(F.col("_one._id").alias("_chosen")).agg(F.max("_one._rows").alias("_rows"), F.count("*").alias("_sets")))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(chosen.select("_chosen"), F.col("_id").eqNullSafe(F.col("_chosen")))
     sets = token_sets(texts, words, text_col)
     # Only repeated ids can give a set twice.
     sets = released(sets if chosen.where("_rows > 1 or _sets > 1").isEmpty() else sets.dropDuplicates(["s1"]))
 
-    for _ in range(2):
-        alive = released(sets.select("s1", "n").join(private(sets), "s1", "left").where((F.col("n") - F.coalesce("u", F.lit(0))) * 100 >= F.col("n") * percent).select("s1"))
-        sets = released(sets.join(alive, "s1"))
-    shared = met(shared.select("sig", "s1").join(alive, "s1"))
-    shared = released(shared)
-
-    blocks = released(blocks_of_groups(shared, sets.select("s1", "n"), block_tokens))
+    few = sets.select("s1", "n").join(private(sets), "s1", "left").where((F.col("n") - F.coalesce("u", F.lit(0))) * 100 >= F.col("n") * percent)
+    sets = released(sets.join(few.select("s1"), "s1"))
+    shared = released(met(shared.select("sig", "s1").join(sets.select("s1"), "s1")))
+    blocks = blocks_of_groups(shared, sets.select("s1", "n"), block_tokens)
     links = released(within(blocks, sets, percent))
     first = connected_components(links)
 

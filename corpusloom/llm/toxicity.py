@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,23 +86,24 @@ def noisy_or(p: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
 
 
 def train(
-    texts: list[str], labels: np.ndarray, *, rounds: int = 200, rate: float = 0.1, decay: float = 0.05, at_least: int = 3, evidence: float = 3.0
+    texts: list[str] | pa.Array, labels: np.ndarray, *, rounds: int = 200, rate: float = 0.1, decay: float = 0.05, at_least: int = 3, evidence: float = 3.0
 ) -> Model:
     """Adam on the noisy-or's cross-entropy.
 
     A feature is used if at least ``at_least`` texts have it and toxic ones have it more often than chance says, by
-    ``evidence`` standard deviations; the others keep weight 0.  Equal texts count once.  With labels of one kind only,
+    ``evidence`` standard deviations; the others keep weight 0.  Equal texts count once, as toxic if one of them is.  With labels of one kind only,
     the model is a constant.
     """
     weights = np.zeros(BUCKETS, np.float64)
-    once = dict(zip(texts, np.asarray(labels, np.float64).tolist()))
-    texts, labels = list(once), np.array(list(once.values()))
+    once = pa.table({"text": pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "label": np.asarray(labels, np.float64)})
+    once = once.group_by("text").aggregate([("label", "max")]).sort_by("text").combine_chunks()
+    texts, labels = once.column("text").chunk(0) if len(once) else [], once.column("label_max").to_numpy()
     if len(texts) == 0 or labels.min() == labels.max():
         return Model(weights, 2.0 if len(texts) and labels[0] == 1 else -12.0)
     parts, having, toxic = [], np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
     count = 0
     for lo, hi in text_blocks(texts):
-        buckets, sentence, owner, _, _ = features(*text_bytes(pa.array(texts[lo:hi], pa.string())))
+        buckets, sentence, owner, _, _ = features(*text_bytes(texts[lo:hi]))
         pairs = np.unique(owner[sentence][:, None] * BUCKETS + buckets)
         having += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
         toxic += np.bincount(pairs % BUCKETS, weights=labels[lo + pairs // BUCKETS], minlength=BUCKETS)
@@ -144,13 +146,13 @@ def train(
     return Model(weights, float(bias))
 
 
-def text_blocks(texts: list[str], most: int = BLOCK_BYTES):
+def text_blocks(texts: pa.Array, most: int = BLOCK_BYTES):
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t) > most:
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > start and held + size > most:
             yield start, i
             start, held = i, 0
-        held += len(t)
+        held += size
     if start < len(texts):
         yield start, len(texts)
 
@@ -176,9 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_positive: int = 3000, most_n
         return train([], np.zeros(0))
     wanted = docs.sparkSession.createDataFrame(chosen, known.select(id_col, "_toxic").schema)
     # The sample's ids: at most most_positive + most_negative rows.
-    rows = docs.select(id_col, text_col).join(F.broadcast(wanted), id_col).select(id_col, "_toxic", text_col).distinct().collect()
-    rows.sort(key=lambda r: (r[0], r[2] or ""))
-    return train([r[2] or "" for r in rows], np.array([r[1] for r in rows]))
+    rows = docs.select(id_col, text_col).join(F.broadcast(wanted), id_col).select(F.coalesce(text_col, F.lit("")).alias("text"), "_toxic").toArrow()
+    return train(rows.column("text").combine_chunks(), rows.column("_toxic").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
