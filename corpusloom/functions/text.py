@@ -202,3 +202,9 @@ def unit_box(box: Column, width: Column, height: Column) -> Column:
     """A pixel box x0, y0, x1, y1 in shares of the page, within 0 and 1."""
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     return F.when((F.size(box) == 4) & (width > 0) & (height > 0), F.transform(box, lambda v, i: clamp(v / F.when(i % 2 == 0, width).otherwise(height))))
+
+
+def unit_polygon(points: Column, width: Column, height: Column) -> Column:
+    """Corners in shares of the page; points without two numbers are left out, and all are where the size is unknown."""
+    whole = F.filter(F.coalesce(points, F.array().cast("array<array<double>>")), lambda p: F.size(p) >= 2)
+    return F.when((width > 0) & (height > 0), F.transform(whole, lambda p: F.array(F.get(p, F.lit(0)) / width, F.get(p, F.lit(1)) / height))).otherwise(F.array().cast("array<array<double>>"))

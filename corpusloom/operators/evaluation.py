@@ -73,3 +73,15 @@ def class_scores(texts: DataFrame, keywords: dict[str, list[str]], *, text_col:
     for name, s in reversed(list(zip(keywords, scores))):
         label = F.when((s == top) & (s > 0), name).otherwise(label)
     return texts.withColumn("class", label)
+
+
+def ranked(runs: DataFrame, by: str, value: str, most: int) -> DataFrame:
+    """``by, score, runs, place``: the ``most`` configurations of the highest mean, rounded to four digits, then by name."""
+    means = runs.groupBy(by).agg(F.round(F.avg(value), 4).alias("score"), F.count("*").alias("runs"))
+    best = means.orderBy(F.desc("score"), by).limit(most)  # one window over at most ``most`` rows
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), by)).cast("long"))
+
+
+def diversity(results: DataFrame, by: str, source: str) -> DataFrame:
+    """``by, results, sources, single_source``."""
+    return results.groupBy(by).agg(F.count("*").alias("results"), F.count_distinct(source).alias("sources"), (F.count_distinct(source) <= 1).alias("single_source"))

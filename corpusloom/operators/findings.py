@@ -63,8 +63,3 @@ def linked(findings: DataFrame, *strategies: DataFrame, id_col: str = "item_id")
     best = found.groupBy(id_col).agg(F.min(F.struct("strategy", "rank", "doc_id")).alias("b"))
     return findings.join(best, id_col, "left").withColumn("doc_id", F.col("b.doc_id")).withColumn("strategy", F.col("b.strategy")).drop("b")
 
-
-def name_rank(doc_name: Column, numbers: Column, names: Column) -> Column:
-    """0: a number is in the document's name; 1: a name is; 2: neither."""
-    inside = lambda xs: F.exists(F.coalesce(xs, F.array().cast("array<string>")), lambda x: F.contains(F.lower(doc_name), F.lower(x)))
-    return F.when(inside(numbers), 0).when(inside(names), 1).otherwise(2)

@@ -54,7 +54,7 @@ def scored(
                     s = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0))
                 s = np.round(s, digits) + 0.0
                 ids = np.asarray(batch.column(id_col).take(pa.array(at)))
-                groups = np.asarray(batch.column(group_col).take(pa.array(at)).fill_null(-1)) if group_col else np.zeros(len(at), np.int64)
+                groups = np.asarray(batch.column(group_col).take(pa.array(at)).dictionary_encode(null_encoding="encode").indices) if group_col else np.zeros(len(at), np.int64)
                 for name, row in zip(names, s):
                     keep = []
                     for g in np.unique(groups):

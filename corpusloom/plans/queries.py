@@ -175,6 +175,8 @@ def has_vectors_split(spark, d):
     return maintenance.collection_status(states)
 
 
+#: Normal form of a text, for characters of the driver's tables.
+NORM = r"regexp_replace(replace(lower({}), 'ß', 'ss'), '[\s!-/:-@\[-`{{-~。！？、；：（）【】「」『』《》·…—–]', '', 'g')"
 CHUNKS = """SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY pos) AS text, sum(n)::BIGINT AS n_tokens FROM (
  SELECT *, floor(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 512)::BIGINT AS chunk FROM (
  SELECT doc_id, pos, line, len(regexp_extract_all(line, '\\S+')) AS n FROM (SELECT doc_id, u.pos, u.line FROM documents, (SELECT unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line) u WHERE length(text) >= 20))) GROUP BY 1, 2"""
@@ -195,7 +197,9 @@ def chunk_page_assign(spark, d):
     return chunking.with_page(chunks(spark, d), textsearch.pages_of(t(spark, d, "documents"))).select("doc_id", "chunk", F.col("page_number").cast("long").alias("page_number"))
 
 
-@query()
+@query(f"""WITH c AS ({CHUNKS}), p AS ({PAGES}), a AS (SELECT c.doc_id, c.chunk, c.text, min(p.page) AS page FROM c JOIN p ON c.doc_id = p.doc_id AND substr(trim(c.text, ' '), 1, 200) <> '' AND contains(p.text, substr(trim(c.text, ' '), 1, 200)) GROUP BY 1, 2, 3),
+n AS (SELECT a.doc_id, chunk, a.page, {NORM.format("a.text")} AS x, {NORM.format("p.text")} AS y FROM a JOIN p ON a.doc_id = p.doc_id AND a.page = p.page)
+SELECT doc_id, chunk, page AS block_start, page AS block_end FROM n WHERE x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x))""")
 def chunk_block_range(spark, d):
     """Blocks of each chunk's page that match it; containment and LCS.  A line is a page of one block."""
     pages = textsearch.pages_of(t(spark, d, "documents"))
@@ -335,11 +339,11 @@ def flag_guard(spark, d):
 @query("""WITH h AS (SELECT item_id, doc_id, 0 AS strategy FROM benchmark b JOIN documents d ON contains(d.text, b.text)), w AS (SELECT item_id, doc_id, 1 AS strategy FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))),
 m AS (SELECT item_id, min({'s': strategy, 'd': doc_id}) AS x FROM (SELECT * FROM h UNION ALL SELECT * FROM w) GROUP BY 1) SELECT item_id, x.d AS doc_id, x.s AS strategy FROM benchmark LEFT JOIN m USING (item_id)""")
 def link_documents(spark, d):
-    """Passages linked to documents that hold them, or else their first 40 characters.  The passages are a bounded table."""
+    """Passages linked to documents that hold them, or else their first 40 characters."""
     docs, items = t(spark, d, "documents"), t(spark, d, "benchmark")
-    right = F.broadcast(items.withColumnRenamed("text", "passage"))
-    whole = docs.join(right, F.contains("text", "passage")).select("item_id", "doc_id", F.col("doc_id").alias("rank"))
-    start = docs.join(right, F.contains("text", F.substring("passage", 1, 40))).select("item_id", "doc_id", F.col("doc_id").alias("rank"))
+    found = textsearch.holding(docs.select("doc_id", "text"), items.select("item_id", F.col("text").alias("passage"), F.substring("text", 1, 40).alias("needle")))
+    start = found.select("item_id", "doc_id", F.col("doc_id").alias("rank"), F.contains("text", "passage").alias("whole"))
+    whole, start = start.where("whole").drop("whole"), start.drop("whole")
     return findings.linked(items.select("item_id"), whole, start)
 
 
@@ -438,8 +442,8 @@ def retrieved(spark, d):
     items = t(spark, d, "benchmark")
     words = F.slice(F.split("text", " "), 1, 5)
     expected = items.select(F.col("item_id").alias("case_id"), F.lit(0).alias("expected_id"), words.alias("keywords"))
-    start = items.select(F.col("item_id").alias("case_id"), F.substring("text", 1, 20).alias("s"))
-    found = t(spark, d, "documents").join(F.broadcast(start), F.contains("text", "s"))
+    start = items.select(F.col("item_id").alias("case_id"), F.substring("text", 1, 20).alias("needle"))
+    found = textsearch.holding(t(spark, d, "documents").select("doc_id", "text"), start)
     rank = F.row_number().over(evaluation.Window.partitionBy("case_id").orderBy("doc_id"))
     return found.select("case_id", rank.alias("rank"), F.col("text").alias("content")), expected
 

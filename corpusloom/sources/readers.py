@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.text import unit_box
+from ..functions.text import unit_box, unit_polygon
 
 #: Extension -> file type; fixed values.
 FILE_TYPES = {"pdf": "pdf", "docx": "docx", "doc": "docx", "md": "md", "markdown": "md", "txt": "txt"}
@@ -90,7 +90,7 @@ def ocr_pages(lines: DataFrame, *, id_col: str = "doc_id", line_col: str = "line
     def block(b, i):
         return F.struct(
             F.coalesce(b["block_order"], i).alias("block_order"), b["block_label"].alias("block_label"), F.coalesce(b["block_content"], F.lit("")).alias("block_content"),
-            unit_box(b["block_bbox"], F.col("width"), F.col("height")).alias("bbox_norm"),
+            unit_box(b["block_bbox"], F.col("width"), F.col("height")).alias("bbox_norm"), unit_polygon(b["block_polygon"], F.col("width"), F.col("height")).alias("polygon_norm"),
         )
 
     return sized.withColumn("blocks", F.transform(F.coalesce("raw", F.array()), block)).drop("raw")
