@@ -5,7 +5,8 @@ hash of any span by one subtraction and one multiplication, so two spans compare
 common extension of two positions is found by binary search (``SpanIndex``).
 
 The fingerprint keeps the prefix array at a few content-defined positions: code-point windows whose hash ends in
-enough zero bits are anchors, and the number of bits is the smallest that leaves at most ``MOST`` anchors.  As anchors
+enough zero bits are anchors, and the number of bits is the smallest (``FIRST_BITS`` at least, none at least in short texts) that
+leaves at most ``MOST`` anchors.  As anchors
 depend on their window alone, an edit moves only the anchors near it, and as the hashes compose, a fingerprint can be
 coarsened to another's number of bits.  ``likeness`` aligns two fingerprints by longest common extensions over
 these prefix arrays and returns the share of characters in common runs, from 0 to 1.
@@ -31,6 +32,7 @@ WINDOW = 8
 MOST = 48
 FIRST_BITS = 3
 LAST_BITS = 24
+TINY = 3 * WINDOW
 BLOCK_CHARS = 1 << 20
 
 
@@ -104,18 +106,23 @@ def fingerprints(texts: list[str]) -> list[str]:
     at = np.arange(max(0, n - WINDOW + 1))
     value = (index.words[WINDOW:] - index.words[: n - WINDOW + 1]) * index.unword[: len(at)] if len(at) else np.zeros(0, np.uint64)
     value = (value * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - LAST_BITS)
-    at = np.flatnonzero((value & np.uint64((1 << FIRST_BITS) - 1)) == 0)
+    short, tiny = sizes < MOST << FIRST_BITS, sizes < TINY
+    at = np.flatnonzero(((value & np.uint64((1 << FIRST_BITS) - 1)) == 0) | np.repeat(short, sizes)[: len(value)])
     own = np.searchsorted(ends, at, side="right")
-    inside = (at + WINDOW <= ends[own]) & (at > starts[own])
+    inside = (at + WINDOW <= ends[own]) & (at > starts[own]) & ~tiny[own]
     at, own = at[inside], own[inside]
     low = value[at]
     low = low & (~low + np.uint64(1))
     bits = np.where(low == 0, LAST_BITS, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64))
     held = np.bincount(own * (LAST_BITS + 1) + bits, minlength=len(texts) * (LAST_BITS + 1)).reshape(len(texts), LAST_BITS + 1)
     more = held[:, ::-1].cumsum(axis=1)[:, ::-1]
-    need = np.concatenate((more[:, FIRST_BITS:] <= MOST, np.ones((len(texts), 1), bool)), axis=1).argmax(axis=1) + FIRST_BITS
+    need = np.concatenate((more <= MOST, np.ones((len(texts), 1), bool)), axis=1).argmax(axis=1)
+    need = np.where(short, need, np.maximum(need, FIRST_BITS))
     keep = bits >= need[own]
-    at, own, bits = at[keep], own[keep], bits[keep]
+    each = np.flatnonzero(np.repeat(tiny, sizes))  # no window fits well: every character is a chunk
+    whole = np.searchsorted(ends, each, side="right")
+    each, whole = each[each > starts[whole]], whole[each > starts[whole]]
+    at, own, bits = np.concatenate((at[keep], each)), np.concatenate((own[keep], whole)), np.concatenate((bits[keep], np.zeros(len(each), np.int64)))
 
     cuts = np.concatenate((starts, at))
     whose = np.concatenate((np.arange(len(texts)), own))
