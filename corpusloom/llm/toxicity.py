@@ -5,7 +5,7 @@ word, and its first four and five bytes); the document's is their noisy-or, ``1
 labelled, so the sentences' scores are trained through the noisy-or, which also says which sentences offend.
 
 Training reads a bounded sample of labelled rows, chosen by a hash of the id (``most_positive`` and ``most_negative``),
-on the driver.  Scoring is one pass over the texts without a shuffle.
+in one task.  Scoring is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -178,8 +178,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_positive: int = 3000, most_n
         return train([], np.zeros(0))
     wanted = docs.sparkSession.createDataFrame(chosen, known.select(id_col, "_toxic").schema)
     # The sample's ids: at most most_positive + most_negative rows.
-    rows = docs.select(id_col, text_col).join(F.broadcast(wanted), id_col).select(F.coalesce(text_col, F.lit("")).alias("text"), "_toxic").toArrow()
-    return train(rows.column("text").combine_chunks(), rows.column("_toxic").to_numpy())
+    sample = docs.select(id_col, text_col).join(F.broadcast(wanted), id_col).select(F.coalesce(text_col, F.lit("")).alias("text"), "_toxic")
+    return trained(sample)
+
+
+def trained(sample: DataFrame) -> Model:
+    """A model of the bounded ``sample`` (``text, _toxic``), trained in one task; the driver gets the weights that are not 0."""
+
+    def run(batches):
+        held = list(batches)
+        texts = pa.chunked_array([b.column("text") for b in held], pa.string()).combine_chunks()
+        model = train(texts, np.concatenate([np.zeros(0), *[np.asarray(b.column("_toxic")) for b in held]]))
+        at = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(model.weights[at], model.bias))], ["bucket", "weight"])
+
+    rows = sample.select("text", F.col("_toxic").cast("int").alias("_toxic")).repartition(1).mapInArrow(run, "bucket int, weight double").collect()
+    if not rows:
+        return train([], np.zeros(0))
+    weights = np.zeros(BUCKETS, np.float64)
+    for bucket, weight in rows:
+        if bucket >= 0:
+            weights[bucket] = weight
+    return Model(weights, next(weight for bucket, weight in rows if bucket < 0))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
