@@ -29,8 +29,8 @@ from .common import ranges, row_blocks, text_bytes
 OTHER, LETTER, NUMBER, BLANK, SPACE = range(5)  # BLANK is U+0020, SPACE other white space
 #: Code points with the property White_Space, U+0020 aside; fixed values.
 WHITE = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-BLOCK_BYTES = 4 << 20
-CACHED_SLICES = 600_000
+BLOCK_BYTES = 1 << 20
+CACHED_SLICES = 300_000
 
 
 @lru_cache(1)
