@@ -12,8 +12,9 @@ Documents become sets of hashed word shingles; equal sets are one *set* with man
    member, so only groups that reach the threshold are opened and counted exactly.  A query skips groups in which all
    are linked with it already.
 4. *Between groups.*  Signatures whose sets are still in different components are kept, as long as their sets have enough of
-   them for a similar set to exist.  A set is sent to those blocks of other groups with which it shares enough, and goes
-   through their matrix.
+   them for a similar set to exist.  Two similar sets share that many, so they also share one when each keeps all but its
+   most frequent ones; a signature that very many sets have is seldom kept.  A set is sent to those other blocks where a kept
+   one is held by sets of another component and a fitting size, and goes through their matrix.
 5. Components of all links name each document's class.
 
 No step gathers a signature's or group's members in one row or task: runs of one signature are streamed, and large groups
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, mixed, ranges, released, row_blocks, text_bytes
@@ -183,7 +184,7 @@ def ngram_jaccard_components(
     )
     open_ = released(several(open_))
     open_ = released(several(open_.join(enough(open_, sizes, percent), "s1").select("sig", "s1", "c")))
-    more = between(open_, blocks.where("role = 1 or own"), sets, percent)
+    more = between(rarest(open_, sets.select("s1", "n"), percent), blocks.where("role = 1 or own"), sets, percent)
 
     final = connected_components(links.union(more)).select(F.col("node").alias("s1"), "component")
     named = features.join(final, "s1", "left").withColumn(
@@ -195,9 +196,17 @@ def ngram_jaccard_components(
 
 
 def several(rows: DataFrame) -> DataFrame:
-    """Rows whose signature still has sets of more than one component."""
-    mixed_ = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    return rows.join(mixed_, "sig")
+    """``sig, s1, c, m`` of the signatures that still have sets of more than one component; ``m`` is how many sets have one."""
+    mixed_ = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("sig", "m")
+    return rows.select("sig", "s1", "c").join(mixed_, "sig")
+
+
+def rarest(open_: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``sig, s1, c, n``: of a set's k signatures the first k - t + 1, rare ones first, where t is how many of them it shares with
+    any similar set.  Two sets that share t then have one in common among those they keep."""
+    own = Window.partitionBy("s1")  # the signatures of one text
+    ranked = open_.join(sizes, "s1").withColumn("_r", F.row_number().over(own.orderBy("m", "sig"))).withColumn("_k", F.count("*").over(own))
+    return ranked.where(F.col("_r") <= F.col("_k") - F.floor(F.col("n") * percent / 2000)).select("sig", "s1", "c", "n")
 
 
 def private(sets: DataFrame) -> DataFrame:
@@ -243,14 +252,16 @@ def within(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def between(open_: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` between sets of different components ``c`` and blocks: a set is sent to those blocks of which it holds as many
-    signatures as it must share with a similar set."""
+    """Links ``a, b`` between sets of different components ``c`` and blocks: a set is sent to those blocks in which one of its
+    signatures is held by sets of another component, of sizes that a similar set can have."""
     place = blocks.select("s1", F.struct("g", "block").alias("to"))
     held = released(open_.join(place, "s1"))
-    wanted = held.select("sig", "to").distinct()
-    counts = held.select("sig", "s1", F.col("to").alias("at")).join(wanted, "sig").where("at < to").groupBy("s1", "to").agg(F.count("*").alias("_k"))
-    asked = counts.join(sets.select("s1", "n"), "s1").where(F.col("_k") >= 1 + F.floor(F.col("n") * percent / 2000)).select("s1", "to", F.lit(1).alias("role"))
-    asked = checkpointed(asked)
+    bound = lambda f, c, name: f(c).alias(name)
+    wanted = held.groupBy("sig", "to").agg(bound(F.min, "c", "c_lo"), bound(F.max, "c", "c_hi"), bound(F.min, "n", "n_lo"), bound(F.max, "n", "n_hi"))
+    others = (F.col("c_lo") != F.col("c")) | (F.col("c_hi") != F.col("c"))
+    fitting = (F.col("n") * 100 >= F.col("n_lo") * percent) & (F.col("n_hi") * 100 >= F.col("n") * percent)
+    met_ = held.withColumnRenamed("to", "at").join(wanted, "sig").where((F.col("at") < F.col("to")) & others & fitting)
+    asked = checkpointed(met_.select("s1", "to").distinct().withColumn("role", F.lit(1)))
     names = held.select("s1", "c").distinct()
     stored = place.join(asked.select("to").distinct(), "to").select("s1", "to", F.lit(0).alias("role"))
     units = stored.union(asked).join(names, "s1").join(sets, "s1").select("to.g", "to.block", "role", "s1", "c", "n", "tokens")
