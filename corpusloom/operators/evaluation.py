@@ -45,15 +45,33 @@ def drift(a: Column, b: Column) -> Column:
     return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1e-4)) * 100
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """1-based; ties share the mean of their ranks."""
-    ordered = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(ordered) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def average_ranks(rows: DataFrame, value: str, *by: str, ranges: int = 128) -> DataFrame:
+    """``by, value, rank``, one row for each value of each group: 1-based ranks, nulls first; ties share the mean of theirs.
+
+    ``value`` is numeric.  Values are counted first and ranked within ``ranges`` ranges of about equal size, to which the
+    numbers of the ranges below are added, so no task ranks a whole group and a common value is one row.
+    """
+    counted = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    bounds = sorted(set(counted.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+    at = F.aggregate(F.array(*[F.lit(float(x)) for x in bounds]), F.lit(0), lambda n, x: n + (F.col(value) > x).cast("int")) if bounds else F.lit(0)
+    dealt = counted.withColumn("_range", F.coalesce(at, F.lit(-1)))
+    whole = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_size"))
+    below = F.sum("_size").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_size")
+    offsets = whole.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_range").alias("_at"), below.alias("_below"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy(value)) - F.col("_n")
+    ranked = dealt.withColumn("_inside", inside).join(offsets, [*same, F.col("_range") == F.col("_at")])
+    return ranked.select(*by, value, (F.col("_below") + F.col("_inside") + (F.col("_n") + 1) / 2).alias("rank"))
 
 
 def spearman(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    """``by, rho``: the correlation of average ranks, within each group of ``by``."""
-    ranked = rows.withColumn("_a", average_rank(a, *by)).withColumn("_b", average_rank(b, *by))
+    """``by, rho``: the correlation of average ranks, within each group of ``by``.  ``a`` and ``b`` are numeric."""
+    ranked = rows.select(*by, F.col(a).alias("_va"), F.col(b).alias("_vb"))
+    for v, name in (("_va", "_a"), ("_vb", "_b")):
+        ranks = average_ranks(ranked.select(*by, v), v, *by)
+        ranks = ranks.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col(v).alias("_v"), F.col("rank").alias(name))
+        same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]
+        ranked = ranked.join(ranks, [*same, F.col(v).eqNullSafe(F.col("_v"))]).drop("_v", *[f"_{i}" for i in range(len(by))])
     return ranked.groupBy(*by).agg(F.round(F.corr("_a", "_b"), 4).alias("rho"))
 
 

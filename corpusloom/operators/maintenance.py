@@ -59,12 +59,16 @@ def collection_status(states: DataFrame) -> DataFrame:
 
 
 def failure_line(rows: DataFrame, *by: str, most: int = 3) -> DataFrame:
-    """``by, summary``: failures over all, with the first ``most`` by name."""
-    failed = F.when(F.col("outcome") != "ok", F.struct(F.col("name").alias("n"), F.col("outcome").alias("o")))
-    agg = rows.groupBy(*by).agg(F.array_sort(F.collect_list(failed)).alias("f"), F.count("*").alias("total"))
-    shown = F.array_join(F.transform(F.slice("f", 1, most), lambda x: F.concat(x["n"], F.lit(": "), x["o"])), "；")
-    more = F.when(F.size("f") > most, "；…").otherwise("")
-    return agg.select(*by, F.concat(F.size("f").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" ("), shown, more, F.lit(")")).alias("summary"))
+    """``by, summary``: failures over all, with the first ``most`` by name.  Lists hold ``most`` failures, however many there are."""
+    failed = F.col("outcome") != "ok"
+    sized = rows.groupBy(*by).agg(F.count_if(failed).alias("f"), F.count("*").alias("total"))
+    ranked = rows.where(failed).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("name", "outcome"))).where(F.col("_r") <= most)
+    line = F.concat(F.col("name"), F.lit(": "), F.col("outcome"))
+    named = ranked.groupBy(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)]).agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("line")))).alias("first"))
+    joined = sized.join(named, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)], "left")
+    shown = F.coalesce(F.array_join(F.transform("first", lambda x: x["line"]), "；"), F.lit(""))
+    more = F.when(F.col("f") > most, "；…").otherwise("")
+    return joined.select(*by, F.concat(F.col("f").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" ("), shown, more, F.lit(")")).alias("summary"))
 
 
 #: State after a restart; fixed values.

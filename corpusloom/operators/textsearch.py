@@ -44,14 +44,25 @@ def top_hits(hits: DataFrame, most: int = 5) -> DataFrame:
 
 
 def keyword_union(pages: DataFrame, keywords: list[str], most: int = 5) -> DataFrame:
-    """Documents that any keyword finds, once each, in keyword order: ``doc_id, keyword, ord``."""
-    found = None
-    for i, keyword in enumerate(keywords):
-        part = first_pages(pages, keyword).select("kb_id", "doc_id", F.lit(keyword).alias("keyword"), F.lit(i).alias("_k"))
-        found = part if found is None else found.union(part)
-    once = found.groupBy("doc_id").agg(F.min(F.struct("_k", "kb_id", "keyword")).alias("m"))
+    """Documents that any keyword finds, once each, in keyword order: ``doc_id, keyword, ord``.
+
+    One pass over the pages: each names its first keyword that matches as in ``first_pages``.
+    """
+    asked = [(i, k) for i, k in enumerate(keywords) if k]
+    if not asked:
+        return pages.select("doc_id", F.lit("").alias("keyword"), F.lit(0).cast("long").alias("ord")).limit(0)
+    given = pages.sparkSession.createDataFrame(asked, "k int, keyword string")
+    forms = {r["k"]: r["form"] for r in given.select("k", standard_form("keyword").alias("form"), tolerant_search(F.col("keyword")).alias("tolerant")).collect() if r["tolerant"] and r["form"]}
+    told = pages.withColumn("_form", standard_form("text")) if forms else pages
+    first = None
+    for i, k in reversed(asked):
+        hit = F.contains(F.lower("text"), F.lit(k.lower()))
+        hit = hit | F.contains("_form", F.lit(forms[i])) if i in forms else hit
+        first = F.when(hit, i).otherwise(first) if first is not None else F.when(hit, i)
+    once = told.select("doc_id", "kb_id", first.alias("_k")).where(F.col("_k").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("_k", "kb_id")).alias("m"))
     ranked = once.orderBy("m._k", "m.kb_id", "doc_id").limit(most)
-    return ranked.select("doc_id", F.col("m.keyword").alias("keyword"), F.row_number().over(Window.orderBy("m._k", "m.kb_id", "doc_id")).cast("long").alias("ord"))
+    named = F.get(F.array(*[F.lit(k) for k in keywords]), F.col("m._k"))
+    return ranked.select("doc_id", named.alias("keyword"), F.row_number().over(Window.orderBy("m._k", "m.kb_id", "doc_id")).cast("long").alias("ord"))
 
 
 def holding(docs: DataFrame, needles: DataFrame, *, text_col: str = "text", needle: str = "needle") -> DataFrame:

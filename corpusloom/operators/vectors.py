@@ -1,75 +1,120 @@
-"""Exact nearest neighbours of a bounded set of queries, with the rankings built on them.
+"""Exact nearest neighbours of a stated set of queries, with the rankings built on them.
 
-Queries are broadcast after a check of their number and meet the corpus block by block in Arrow batches; each task
-keeps a query's best rows of each group alone, so the shuffle holds queries x k rows a task, not pairs.
+Queries are broadcast in blocks of bounded size and meet the corpus in Arrow batches.  Of each batch a query's best rows
+of each group alone are kept, and before the shuffle Spark's limit of window groups keeps a task's best: the shuffle
+holds queries x groups x k rows a task, not pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-class TooManyQueries(ValueError):
-    pass
+#: Queries that meet a batch of the corpus at once; bounds the matrix of scores.
+QUERY_ROWS = 512
 
 
 def scored(
     queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "cosine", query_id: str = "query_id", id_col: str = "vec_id", vector_col: str = "embedding",
     group_col: str | None = None, digits: int = 4, most_queries: int = 100_000, other_than_self: bool = False,
 ) -> DataFrame:
-    """``query_id, [group,] id, score, rank``: the ``k`` best rows of each query (and group), by the score rounded to
-    ``digits`` and then by id.  ``metric`` is ``cosine`` (descending) or ``l2`` (ascending).  Null vectors and vectors of
-    another length than the query's have no score.  More than ``most_queries`` queries are refused."""
-    asked = queries.where(F.col(vector_col).isNotNull()).select(query_id, vector_col).limit(most_queries + 1).collect()
-    if len(asked) > most_queries:
-        raise TooManyQueries(f"more than {most_queries} queries")
-    held = queries.sparkSession.sparkContext.broadcast([(r[0], np.array(r[1], np.float64)) for r in asked])
+    """``query_id, id, [group,] score, rank``: the ``k`` best rows of each query (and group), by the score rounded to
+    ``digits`` and then by id.  ``metric`` is ``cosine`` (descending) or ``l2`` (ascending).
+
+    Vectors that are null or hold null or non-finite components, and vectors of another length than the query's, have no
+    score; zero vectors have a cosine of 0.  More than ``most_queries`` queries are taken in blocks of about that number,
+    by a hash of the query, each against the whole corpus; in that case queries that are equal in id and vector are asked once.
+    """
+    wanted = queries.where(F.col(vector_col).isNotNull()).select(query_id, vector_col)
+    asked = wanted.limit(most_queries + 1).collect()
+    if len(asked) <= most_queries:
+        blocks = [asked]
+    else:
+        del asked
+        once = wanted.distinct()
+        n = -(-once.count() // most_queries)
+        blocks = (once.where(F.pmod(F.xxhash64(query_id, vector_col), F.lit(n)) == b).collect() for b in range(n))
     columns = [id_col] + [group_col] * (group_col is not None)
     types = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
-    query_type = queries.schema[query_id].dataType
-    schema = f"{query_id} {query_type.simpleString()}, " + ", ".join(f"{c} {types[c]}" for c in columns) + ", score double"
-    sign = 1 if metric == "cosine" else -1
+    schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, " + ", ".join(f"{c} {types[c]}" for c in columns) + ", score double"
+    found = None
+    for block in blocks:
+        run = compared(by_length(queries.sparkSession, block), k, metric, query_id, columns, vector_col, digits, other_than_self)
+        part = corpus.select(*columns, vector_col).mapInArrow(run, schema)
+        found = part if found is None else found.union(part)
+    order = [F.desc("score") if metric == "cosine" else F.asc("score"), F.asc(id_col)]
+    window = Window.partitionBy(query_id, *columns[1:]).orderBy(*order)
+    return found.withColumn("rank", F.row_number().over(window).cast("long")).where(F.col("rank") <= k)
+
+
+def by_length(spark, rows):
+    """A broadcast of names and matrices of the finite vectors, by their length."""
+    parts: dict[int, list] = {}
+    for name, vector in rows:
+        v = np.array(vector, np.float64)
+        if np.isfinite(v).all():
+            parts.setdefault(len(v), []).append((name, v))
+    return spark.sparkContext.broadcast({n: ([name for name, _ in own], np.stack([v for _, v in own])) for n, own in parts.items()})
+
+
+def compared(held, k: int, metric: str, query_id: str, columns: list[str], vector_col: str, digits: int, other_than_self: bool):
+    """A task over batches of the corpus: each query's ``k`` best rows of each batch and group."""
 
     def run(batches):
-        by_length: dict[int, list] = {}
-        for name, vector in held.value:
-            by_length.setdefault(len(vector), []).append((name, vector))
         for batch in batches:
             vectors = batch.column(vector_col)
             lengths = np.array([len(v) if v.is_valid else -1 for v in vectors])
-            for length, own in by_length.items():
+            for length, (names, q) in held.value.items():
                 at = np.flatnonzero(lengths == length)
                 if not len(at):
                     continue
                 x = np.asarray(vectors.take(pa.array(at)).flatten(), np.float64).reshape(len(at), length)
-                names, q = [n for n, _ in own], np.stack([v for _, v in own])
-                if metric == "cosine":
-                    scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                    s = np.divide(q @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0)
-                else:
-                    s = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0))
-                s = np.round(s, digits) + 0.0
-                ids = np.asarray(batch.column(id_col).take(pa.array(at)))
-                groups = np.asarray(batch.column(group_col).take(pa.array(at)).dictionary_encode(null_encoding="encode").indices) if group_col else np.zeros(len(at), np.int64)
-                for name, row in zip(names, s):
-                    keep = []
-                    for g in np.unique(groups):
-                        inside = np.flatnonzero((groups == g) & ((ids != name) if other_than_self else True))
-                        keep.append(inside[np.lexsort((ids[inside], -sign * row[inside]))[:k]])
-                    rows = np.concatenate(keep)
-                    take = pa.array(at[rows])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(rows)), *(batch.column(c).take(take) for c in columns), pa.array(row[rows])], [query_id, *columns, "score"]
-                    )
-
-    found = corpus.select(*columns, vector_col).mapInArrow(run, schema)
-    order = [F.desc("score") if metric == "cosine" else F.asc("score"), F.asc(id_col)]
-    window = Window.partitionBy(query_id, *columns[1:]).orderBy(*order)
-    return found.withColumn("rank", F.row_number().over(window).cast("long")).where(F.col("rank") <= k)
+                sound = np.isfinite(x).all(1)
+                at, x = at[sound], x[sound]
+                ids = batch.column(columns[0]).take(pa.array(at))
+                order = np.asarray(pc.array_sort_indices(ids, null_placement="at_start"))  # so that equal scores stand in the order of ids
+                at, x, ids = at[order], x[order], np.asarray(ids.take(pa.array(order)))
+                groups = np.asarray(batch.column(columns[1]).take(pa.array(at)).dictionary_encode(null_encoding="encode").indices) if len(columns) > 1 else np.zeros(len(at), np.int64)
+                members = [np.flatnonzero(groups == g) for g in np.unique(groups)]
+                asked = pa.array(names)
+                for start in range(0, len(q), QUERY_ROWS):
+                    part = slice(start, start + QUERY_ROWS)
+                    s = scores(q[part], x, metric, digits)
+                    key = -s if metric == "cosine" else s.copy()
+                    if other_than_self:
+                        key[np.array(names[part])[:, None] == ids[None, :]] = np.inf
+                    best = [(i, inside[j]) for inside in members for i, j in [least(key[:, inside], k)]]
+                    if not best:
+                        continue
+                    i, j = (np.concatenate(z) for z in zip(*best))
+                    rows = pa.array(at[j])
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(start + i)), *(batch.column(c).take(rows) for c in columns), pa.array(s[i, j])], [query_id, *columns, "score"])
+
+    return run
+
+
+def scores(q: np.ndarray, x: np.ndarray, metric: str, digits: int) -> np.ndarray:
+    if metric == "cosine":
+        scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        s = np.divide(q @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+    else:
+        s = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0))
+    return np.round(s, digits) + 0.0
+
+
+def least(key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``k`` least finite entries, the first of equal ones."""
+    bound = np.partition(key, k - 1, axis=1)[:, k - 1 : k] if key.shape[1] > k else np.full((len(key), 1), np.inf)
+    i, j = np.nonzero((key <= bound) & (key < np.inf))
+    order = np.lexsort((j, key[i, j], i))
+    i, j = i[order], j[order]
+    first = np.searchsorted(i, i)  # where each row starts
+    kept = np.arange(len(i)) - first < k
+    return i[kept], j[kept]
 
 
 def merged(hits: DataFrame, k: int, *, query_id: str = "query_id", id_col: str = "vec_id") -> DataFrame:

@@ -508,15 +508,14 @@ def chat_history(spark, d):
     return messages.history(t(spark, d, "conversations"))
 
 
-@query("SELECT conv_id, string_agg(substr(text, 1, 20), '' ORDER BY turn) AS text FROM conversations GROUP BY 1")
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1")
 def assembled_messages(spark, d):
-    return messages.assembled(t(spark, d, "conversations").withColumn("text", F.substring("text", 1, 20)), "conv_id", order="turn", text="text")
+    return messages.assembled(t(spark, d, "conversations"), "conv_id", order="turn", text="text")
 
 
-@query("SELECT conv_id, turn, role, substr(text, 1, 100) AS content FROM conversations")
+@query("SELECT conv_id, turn, role, substr(text, 1, 10000) AS content FROM conversations")
 def trimmed_trace(spark, d):
-    c = t(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
-    return messages.trimmed_trace(c, content=100)
+    return messages.trimmed_trace(t(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content")))
 
 
 @query("SELECT * FROM (VALUES (1, 1, 'Law', 'd1', 3, 'body one'), (1, 3, 'Act', 'd2', 0, 'x')) v(id, n, name, doc_id, page, body)")

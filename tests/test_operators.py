@@ -20,10 +20,59 @@ def test_rank_order_and_ties(spark):
         assert [r.vec_id for r in got if r.query_id == q] == want
 
 
-def test_too_many_queries(spark):
-    e = spark.createDataFrame([(i, [1.0]) for i in range(5)], "vec_id long, embedding array<float>")
-    with pytest.raises(vectors.TooManyQueries):
-        vectors.scored(e.withColumnRenamed("vec_id", "query_id"), e, 1, most_queries=3)
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_queries_in_blocks(spark, metric):
+    """Blocks of queries give what one block gives; groups, ties, text ids, null and non-finite vectors."""
+    rng = np.random.default_rng(3)
+    rows = [(f"v{i % 90:02}", "ab"[i % 2] if i % 7 else None, [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(120)]
+    rows += [("n1", "a", None), ("n2", "a", [1.0, float("nan"), 0.0]), ("n3", "a", [float("inf"), 0.0, 0.0]), ("n4", "b", [1.0])]
+    e = spark.createDataFrame(rows, "vec_id string, g string, embedding array<float>").repartition(3)
+    queries = [(name, v) for name, _, v in rows[:40] + rows[-4:]]
+    asked = spark.createDataFrame(queries, "query_id string, embedding array<float>")
+    ask = lambda **more: sorted(map(tuple, vectors.scored(asked, e, 4, metric=metric, group_col="g", other_than_self=True, **more).collect()), key=str)
+    got = ask()
+    assert got == ask(most_queries=7)
+    want = []
+    sound = lambda v: v is not None and np.isfinite(v).all()
+    for query, u in (q for q in queries if sound(q[1])):
+        for g in ("a", "b", None):
+            found = []
+            for name, group, v in rows:
+                if group == g and name != query and sound(v) and len(v) == len(u):
+                    x, y = np.array(u), np.array(v)
+                    scale = np.linalg.norm(x) * np.linalg.norm(y)
+                    found.append((name, round(x @ y / scale if scale else 0.0, 4) if metric == "cosine" else round(float(np.linalg.norm(x - y)), 4)))
+            found.sort(key=lambda f: (-f[1] if metric == "cosine" else f[1], f[0]))
+            want += [(query, f[0], g, float(f[1] + 0.0), r + 1) for r, f in enumerate(found[:4])]
+    assert got == sorted(want, key=str)
+
+
+def test_keywords_in_one_pass(spark):
+    pages = spark.createDataFrame(
+        [("k", 1, 0, "Has KEY"), ("k", 1, 1, "iec-61547"), ("a", 2, 0, "iec 61547"), ("b", 3, 0, None), ("b", 3, 1, "nothing"), ("c", 4, 0, "key"), ("c", 4, 0, "key")], "kb_id string, doc_id long, page long, text string"
+    )
+    got = textsearch.keyword_union(pages, ["", "IEC61547", "key"], most=9)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [(2, "IEC61547", 1), (1, "IEC61547", 2), (4, "key", 3)]
+    assert textsearch.keyword_union(pages, [""]).count() == 0 and textsearch.keyword_union(pages.limit(0), ["key"]).count() == 0
+
+
+def test_failure_lines_hold_few(spark):
+    rows = [("x", f"n{i:02}", "bad" if i % 2 else "ok") for i in range(20)] + [(None, "m", "bad"), ("y", "z", "ok")]
+    got = {r.g: r.summary for r in maintenance.failure_line(spark.createDataFrame(rows, "g string, name string, outcome string"), "g").collect()}
+    assert got == {"x": "10/20 (n01: bad；n03: bad；n05: bad；…)", None: "1/1 (m: bad)", "y": "0/1 ()"}
+
+
+def test_average_ranks(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 7, 7, 7, *range(30)])) for _ in range(600)]
+    got = {(r.g, r.v): r["rank"] for r in evaluation.average_ranks(spark.createDataFrame(rows, "g string, v long"), "v", "g", ranges=8).collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        own = sorted(-1 if v is None else v for h, v in rows if h == g)
+        for v in set(own):
+            at = [i + 1 for i, w in enumerate(own) if w == v]
+            want[g, None if v == -1 else v] = sum(at) / len(at)
+    assert got == want
 
 
 def test_embedding_failures_are_rows(spark):
