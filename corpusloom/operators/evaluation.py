@@ -66,9 +66,9 @@ def average_ranks(rows: DataFrame, value: str, *by: str, ranges: int = 128) -> D
 
 def spearman(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     """``by, rho``: the correlation of average ranks, within each group of ``by``.  ``a`` and ``b`` are numeric."""
-    ranked = rows.select(*by, F.col(a).alias("_va"), F.col(b).alias("_vb"))
+    base = ranked = rows.select(*by, F.col(a).alias("_va"), F.col(b).alias("_vb"))
     for v, name in (("_va", "_a"), ("_vb", "_b")):
-        ranks = average_ranks(ranked.select(*by, v), v, *by)
+        ranks = average_ranks(base.select(*by, v), v, *by)
         ranks = ranks.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col(v).alias("_v"), F.col("rank").alias(name))
         same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]
         ranked = ranked.join(ranks, [*same, F.col(v).eqNullSafe(F.col("_v"))]).drop("_v", *[f"_{i}" for i in range(len(by))])
