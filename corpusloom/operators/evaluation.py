@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,8 +53,9 @@ def average_ranks(rows: DataFrame, value: str, *by: str, ranges: int = 128) -> D
     numbers of the ranges below are added, so no task ranks a whole group and a common value is one row.
     """
     counted = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    bounds = sorted(set(counted.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
-    at = F.aggregate(F.array(*[F.lit(float(x)) for x in bounds]), F.lit(0), lambda n, x: n + (F.col(value) > x).cast("int")) if bounds else F.lit(0)
+    found = counted.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 8 * ranges)).first()[0]
+    bounds = sorted({float(x) for x in found or [] if math.isfinite(x)})
+    at = F.expr(f"aggregate(array({', '.join(f'{x!r}D' for x in bounds)}), 0, (n, x) -> n + CAST(`{value}` > x AS INT))") if bounds else F.lit(0)
     dealt = counted.withColumn("_range", F.coalesce(at, F.lit(-1)))
     whole = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_size"))
     below = F.sum("_size").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_size")
