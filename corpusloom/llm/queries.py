@@ -6,7 +6,9 @@ from .bpe import op2_byte_bpe
 from .embedding_dedup import op10_embedding_dedup
 from .fingerprints import op5_fingerprints
 from .licenses import op4_license_scan
-from . import ngram_join
+from . import importance, ngram_join
+from .importance import op12_importance_resampling
+from .merkle import op13_merkle_manifest
 from .ngram_join import op3_ngram_join
 from .packing import op9_packing
 from .pii import op8_pii
@@ -27,8 +29,10 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_packing": op9_packing,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ngram_join.SQL}
+    return {"op3_ngram_join": ngram_join.SQL, "op12_importance_resampling": importance.SQL}
