@@ -111,7 +111,7 @@ def tree(rows: DataFrame, group: str, order: list[Column], keep: int) -> tuple[D
         return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_()])], ["g", "n", "level", "idx", "digest", "ragged"])
 
     nodes = checkpointed(leaves.select(group, "n", "pos", "digest").mapInArrow(subtrees, "g string, n long, level int, idx long, digest string, ragged boolean"))
-    every = nodes.where((F.col("level") >= keep) | ~F.col("ragged"))
+    every = nodes.where(~F.col("ragged"))  # ragged nodes that are kept stand there too
     made = None
     for level in range(height(largest)):
         pending = nodes.where(F.col("ragged") & (F.col("level") == level)).drop("ragged")

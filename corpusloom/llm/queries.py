@@ -6,6 +6,7 @@ from .bpe import op2_byte_bpe
 from .embedding_dedup import op10_embedding_dedup
 from .fingerprints import op5_fingerprints
 from .licenses import op4_license_scan
+from .lm import op11_lm_scoring
 from . import importance, ngram_join
 from .importance import op12_importance_resampling
 from .merkle import op13_merkle_manifest
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_packing": op9_packing,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_lm_scoring": op11_lm_scoring,
         "op12_importance_resampling": op12_importance_resampling,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
