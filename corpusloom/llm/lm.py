@@ -30,7 +30,7 @@ BLOCK_BYTES = 4 << 20
 #: Tokens of the corpus to a bucket of questions.
 BUCKET_TOKENS = 500_000
 #: Tokens that one lane of the traversal goes through; longer texts are cut into lanes that overlap by a context.
-LANE = 256
+LANE = 128
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Numbers of words: 0 unknown, 1 the start of a text, others from 2.
@@ -128,11 +128,11 @@ def answered_words(asked: DataFrame, buckets: int) -> DataFrame:
 
 
 def with_numbers(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
-    """Blocks with ``numbers`` and ``counts`` of their words in place of the words."""
+    """Blocks with ``numbers`` and ``counts`` of their words in place of the words, which from here on stand in the order of their numbers."""
     kind = dict(blocks.dtypes)["ids"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.select(["words"]).to_pylist()[0]
+        row = left.select(["words", "tokens", "n"]).to_pylist()[0]
         told = {r["bucket"]: r for r in right.to_pylist()}
         place = np.fromiter((crc32(w) % buckets for w in row["words"]), np.int64, len(row["words"]))
         numbers, counts = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
@@ -141,10 +141,16 @@ def with_numbers(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFra
         for part in np.split(order, cuts[1:]):
             r = told[int(place[part[0]])]
             numbers[part], counts[part] = unpacked(r["numbers"], len(part)), unpacked(r["counts"], len(part))
-        kept = left.select(["block", "ids", "train", "sizes", "tokens", "n"])
-        return kept.append_column("w", pa.array([len(numbers)])).append_column("numbers", pa.array([packed(numbers)], pa.binary())).append_column("counts", pa.array([packed(counts)], pa.binary()))
+        rank = np.argsort(numbers, kind="stable")
+        to = np.empty_like(rank)
+        to[rank] = np.arange(len(rank))
+        kept = left.select(["block", "ids", "train", "sizes", "n"])
+        new = {"tokens": to[unpacked(row["tokens"], row["n"])], "numbers": numbers[rank], "counts": counts[rank]}
+        for name, values in new.items():
+            kept = kept.append_column(name, pa.array([packed(values)], pa.binary()))
+        return kept.append_column("w", pa.array([len(numbers)]))
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"block long, ids {kind}, train array<boolean>, sizes array<int>, tokens binary, n long, w long, numbers binary, counts binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"block long, ids {kind}, train array<boolean>, sizes array<int>, n long, tokens binary, numbers binary, counts binary, w long")
 
 
 # ---- n-grams ----------------------------------------------------------------------------------------
@@ -188,12 +194,15 @@ class Block:
         """For each order: n-grams that others may have, as columns of words' numbers, and their bucket; by bucket and then by number."""
         for m, (_, _, _, count, shared, tuples) in enumerate(self.grams, 2):
             at = np.flatnonzero(shared)
+            # In the order of words' numbers, but for the start, whose number is the least: its n-grams stand last.
+            begin = int(np.searchsorted(tuples[at, 0], len(self.numbers) - 1))
+            at = np.roll(at, len(at) - begin)
             columns = [self.numbers[tuples[at, j]] for j in range(m)]
             place = np.zeros(len(at), np.uint64)
             for c in columns:
                 place = mixed(place * np.uint64(31) + c.astype(np.uint64))
             place = (place % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort([*columns[::-1], place])
+            order = np.argsort(place.astype(np.uint16) if buckets <= 1 << 16 else place, kind="stable")
             yield m, at[order], [c[order] for c in columns], place[order], count[at[order]]
 
 
@@ -302,6 +311,8 @@ class Automaton:
             open_ = np.arange(len(alive))
             while len(open_):
                 key = s[open_] * self.words + word[open_]
+                near = np.argsort(key)  # neighbours in the table are looked up one after another
+                open_, key = open_[near], key[near]
                 found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 hit = self.keys[found] == key
                 done, rest = open_[hit], open_[~hit]
