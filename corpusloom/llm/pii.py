@@ -34,21 +34,59 @@ MORE = ["secret", "number", "spelled"]
 CONTEXT = r"(?i)(key|token|secret|passw|tel|phone|call|fax|mobil|contact|mail|write|reach)"
 
 
+#: Sums and maxima of what precedes are taken in blocks of so many elements, pieces of text out of blocks of so many characters: work grows
+#: with the matches and the text, not with their product.
+ELEMENTS, CHARACTERS = 64, 4096
+
+
+def let(x: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def before(values: Column, largest: bool = False) -> Column:
+    """For each of an array of integers the sum, or the largest, of 0 and those before it."""
+    join = (lambda a, x: F.greatest(a, x)) if largest else (lambda a, x: a + x)
+    total = lambda v, first: F.aggregate(v, first, join)
+
+    def in_blocks(v):
+        count = F.floor((F.size(v) - 1) / ELEMENTS).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count), lambda b: F.slice(v, b * ELEMENTS + 1, F.lit(ELEMENTS)))
+        inside = lambda block, start: F.transform(block, lambda _, j: total(F.slice(block, F.lit(1), j), start))
+        return let(blocks, lambda bs: let(F.transform(bs, lambda b: total(b, F.lit(0))), lambda sums: F.flatten(
+            F.transform(bs, lambda b, i: let(total(F.slice(sums, F.lit(1), i), F.lit(0)), lambda start: inside(b, start)))
+        )))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, in_blocks(v)).otherwise(F.array().cast("array<int>")))
+
+
+def text_blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARACTERS}}}"), F.lit(0))
+
+
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` of a text in blocks."""
+    at = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    i, j = (F.floor(x / CHARACTERS).cast("int") for x in (start, end))
+    long = F.concat(F.substr(at(i), start % CHARACTERS + 1), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substr(at(j), F.lit(1), end % CHARACTERS))
+    return F.when(i == j, F.substr(at(i), start % CHARACTERS + 1, end - start)).otherwise(long)
+
+
 def empty() -> Column:
     return F.array().cast("array<struct<start:int,end:int,text:string>>")
 
 
 def spans_of(text: Column, pattern: str, may: Column) -> Column:
-    """Matches in order as ``start, end, text``.  A match is the first occurrence of its string from the last match's
-    end on, as the pattern would have matched an earlier one."""
-    def step(acc, m):
-        start = F.call_function("locate", m, text, acc["at"] + 1) - 1
-        end = start + F.char_length(m)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), m.alias("text")))).alias("out"))
-
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    first = F.struct(F.lit(0).alias("at"), empty().alias("out"))
-    return F.when(may, F.aggregate(found, first, step, lambda acc: acc["out"])).otherwise(empty())
+    """Matches in order as ``start, end, text``.  The text is cut into what precedes each match and the match; the lengths, summed, are the
+    places."""
+    cut = F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")  # the rest of the text comes with an empty match
+    of = lambda group: F.regexp_extract_all(text, cut, F.lit(group))
+    lengths = lambda gaps, found: F.transform(gaps, lambda g, i: F.char_length(g) + F.char_length(F.get(found, i)))
+    placed = let(F.transform(of(1), lambda g: g), lambda gaps: let(of(2), lambda found: let(before(lengths(gaps, found)), lambda ats: F.filter(
+        F.transform(found, lambda m, i: let(F.get(ats, i) + F.char_length(F.get(gaps, i)), lambda start: F.struct(start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("text")))),
+        lambda s: s["text"] != "",
+    ))))
+    return F.when(may, placed).otherwise(empty())
 
 
 def digits(x: Column) -> Column:
@@ -90,6 +128,10 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def proposals(text: Column) -> Column:
     """``kind`` (index in MORE), ``start, end, text, f``: proposals with their features."""
+    return let(text_blocks(text), lambda blocks: proposals_in(text, blocks))
+
+
+def proposals_in(text: Column, blocks: Column) -> Column:
     numeric = F.rlike(text, F.lit("[0-9]"))
     spelled = F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")) | (F.contains(text, F.lit(" at ")) & F.contains(text, F.lit("dot")))
     found = [spans_of(text, p, may) for p, may in ((SECRET, numeric), (NUMBER, numeric), (SPELLED, spelled))]
@@ -101,16 +143,16 @@ def proposals(text: Column) -> Column:
 
     def features(c):
         t = c["text"]
-        before = F.substr(text, F.greatest(c["start"] - 23, F.lit(1)), F.least(c["start"], F.lit(24)))
-        after = F.substr(text, c["end"] + 1, F.lit(1))
+        ahead = piece(blocks, F.greatest(c["start"] - 24, F.lit(0)), c["start"])
+        after = piece(blocks, c["end"], c["end"] + 1)
         return F.struct(
             c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), t.alias("text"),
             F.array(
                 c["kind"].cast("double"), F.char_length(t).cast("double"), count(t, "[0-9]"), count(t, "[A-Z]"), count(t, "[a-z]"),
-                count(t, r"[^A-Za-z0-9]"), F.size(F.array_distinct(F.split(t, ""))).cast("double"), F.rlike(before, F.lit(CONTEXT)).cast("double"),
+                count(t, r"[^A-Za-z0-9]"), F.size(F.array_distinct(F.split(t, ""))).cast("double"), F.rlike(ahead, F.lit(CONTEXT)).cast("double"),
                 F.rlike(t, F.lit("^(AKIA|sk|pk|gh|xox|eyJ)")).cast("double"), F.rlike(after, F.lit("[A-Za-z0-9]")).cast("double"),
                 count(t, "[0-9][A-Za-z]|[A-Za-z][0-9]"), F.rlike(t, F.lit(r"[(\[]")).cast("double"),
-                F.rlike(before, F.lit(r"[A-Za-z0-9.,/-]\x20?$")).cast("double"),
+                F.rlike(ahead, F.lit(r"[A-Za-z0-9.,/-]\x20?$")).cast("double"),
             ).alias("f"),
         )
 
@@ -220,42 +262,78 @@ def tree_column(f: Column, start: float, trees: list) -> Column:
     return reduce(lambda a, t: a + node(t[0], t[1], leaf(t[2]), leaf(t[3])), trees, F.lit(start))
 
 
-def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``pii``: an array of ``start, rank, end, kind`` by start and rank (the order of KINDS and MORE), and
-    ``pii_base``, the spans of the base kinds alone.  Columns of these names are replaced.  A null text has no spans."""
+def find_pii(docs: DataFrame, *, text_col: str = "text", spans: str = "pii", base_spans_col: str = "pii_base") -> DataFrame:
+    """``docs`` with ``spans``: an array of ``start, rank, end, kind`` by start and rank (the order of KINDS and MORE), and
+    ``base_spans_col``, the spans of the base kinds alone.  ``docs`` must not have columns of these names.  A null text has no spans; repeated rows stay, and
+    no rows give none.  Work grows with the text and its matches, so texts may be long.
+    """
+    clash = {spans, base_spans_col} & set(docs.columns)
+    if clash:
+        raise ValueError(f"the rows have columns {sorted(clash)}; name others for the spans")
     start, trees, cut = fitted(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = base_spans(text)
-    staged = docs.withColumn("_base", F.struct(*[base[k].alias(k) for k in KINDS])).withColumn("_more", proposals(text))
-    tagged = lambda spans, k: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("rank"), s["end"].alias("end"), F.lit(KINDS[k]).alias("kind")))
-    staged = staged.withColumn("pii_base", F.array_sort(F.concat(*[tagged(F.col("_base")[k], i) for i, k in enumerate(KINDS)])))
-    scored = F.transform("_more", lambda c: F.struct((-tree_column(c["f"], start, trees)).alias("bad"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
+    inner = unused(docs, "_found")
+    staged = docs.withColumn(inner, F.struct(*[base[k].alias(k) for k in KINDS], proposals(text).alias("more")))
+    tagged = lambda of, k: F.transform(of, lambda s: span(s["start"], F.lit(k), s["end"], F.lit(KINDS[k])))
+    staged = staged.withColumn(base_spans_col, F.array_sort(F.concat(*[tagged(F.col(inner)[k], i) for i, k in enumerate(KINDS)])))
     names = F.array(*[F.lit(m) for m in MORE])
+    scored = F.filter(F.transform(F.col(inner)["more"], lambda c: F.struct(
+        c["start"].alias("start"), (c["kind"] + len(KINDS)).alias("rank"), c["end"].alias("end"), F.element_at(names, c["kind"] + 1).alias("kind"), (-tree_column(c["f"], start, trees)).alias("bad"),
+    )), lambda c: c["bad"] <= -cut)
+    known = F.transform(base_spans_col, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(0.0).alias("bad")))
+    return staged.withColumn(spans, F.array_sort(chosen(F.array_sort(F.concat(known, scored))))).drop(inner)
+
+
+def span(start: Column, rank: Column, end: Column, kind: Column) -> Column:
+    return F.struct(start.alias("start"), rank.alias("rank"), end.alias("end"), kind.alias("kind"))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def chosen(candidates: Column) -> Column:
+    """Of spans by start, those of the base kinds and the proposals, best first, that overlap neither these nor a better one.  What may overlap
+    stands together between places that no span crosses, so each such stretch is settled alone."""
     overlaps = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    # Best first; a proposal that overlaps what is chosen already is dropped.
+    plain = lambda c: span(c["start"], c["rank"], c["end"], c["kind"])
+
+    def best(stretch):
+        base = F.transform(F.filter(stretch, lambda c: c["rank"] < len(KINDS)), plain)
+        more = F.array_sort(F.transform(F.filter(stretch, lambda c: c["rank"] >= len(KINDS)), lambda c: F.struct(c["bad"].alias("bad"), c["start"].alias("start"), c["end"].alias("end"), c["rank"].alias("rank"), c["kind"].alias("kind"))))
+        settled = F.aggregate(more, base, lambda acc, c: F.when(F.exists(acc, lambda s: overlaps(s, c)), acc).otherwise(F.concat(acc, F.array(plain(c)))))
+        return F.when(F.size(stretch) == 1, F.transform(stretch, plain)).otherwise(settled)
+
+    def in_stretches(all_):
+        reach = before(F.transform(all_, lambda c: c["end"]), largest=True)
+        opens = let(reach, lambda r: F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: F.get(all_, i)["start"] >= F.get(r, i)))
+        return let(opens, lambda at: F.flatten(F.transform(at, lambda i, k: let(F.slice(all_, i + 1, F.coalesce(F.get(at, k + 1), F.size(all_)) - i), best))))
+
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    chosen = F.aggregate(
-        F.array_sort(F.filter(scored, lambda c: c["bad"] <= -cut)), none,
-        lambda acc, c: F.when(
-            F.exists(F.col("pii_base"), lambda s: overlaps(s, c)) | F.exists(acc, lambda s: overlaps(s, c)), acc
-        ).otherwise(F.concat(acc, F.array(F.struct(c["start"].alias("start"), (c["kind"] + len(KINDS)).alias("rank"), c["end"].alias("end"), F.element_at(names, c["kind"] + 1).alias("kind"))))),
-    )
-    return staged.withColumn("pii", F.array_sort(F.concat("pii_base", chosen))).drop("_base", "_more")
+    return let(candidates, lambda all_: F.when(F.size(all_) > 0, in_stretches(all_)).otherwise(none))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with every span that ``find_pii`` reports replaced by its kind in brackets; of overlapping spans the
-    first counts.  Null texts stay null."""
-    found = find_pii(docs.withColumn("_whole", F.col(text_col)), text_col="_whole")
-    text = F.col("_whole")
+    first counts.  Null texts stay null, other columns as they are, also those that have names of spans."""
+    names = [unused(docs, n) for n in ("_spans", "_base")]
+    found = find_pii(docs, text_col=text_col, spans=names[0], base_spans_col=names[1])
+    text = F.col(text_col)
+
+    def hidden(spans):
+        def with_reach(reach, blocks):
+            shown = F.filter(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), F.get(reach, i).alias("from"), s["kind"].alias("kind"))), lambda s: s["start"] >= s["from"])
+            last = F.greatest(F.get(reach, F.size(spans) - 1), F.element_at(spans, -1)["end"])
+            parts = F.transform(shown, lambda s: F.concat(piece(blocks, s["from"], s["start"]), F.lit("["), s["kind"], F.lit("]")))
+            return F.array_join(F.concat(parts, F.array(piece(blocks, last, F.char_length(text)))), "")
 
-    def step(acc, s):
-        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), piece.alias("out")))
+        return let(before(F.transform(spans, lambda s: s["end"]), largest=True), lambda reach: let(text_blocks(text), lambda blocks: with_reach(reach, blocks)))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("pii", first, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text))))
-    return found.withColumn(text_col, F.when(F.size("pii") > 0, done).otherwise(text)).drop("_whole", "pii", "pii_base")
+    done = let(F.col(names[0]), lambda spans: F.when(F.size(spans) > 0, hidden(spans)).otherwise(text))
+    return found.select(*[F.when(text.isNotNull(), done).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def joined(spans: str) -> Column:
@@ -263,6 +341,7 @@ def joined(spans: str) -> Column:
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
+    """Spans of personal data in ``documents``, counts of the base kinds and a digest of their spans."""
     from .common import table
 
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
