@@ -162,10 +162,14 @@ def license_scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "p
 
     A directory's licence is that of its licensed file of the smallest id (the smallest path breaks ties).  ``license`` is the file's own or the
     nearest directory's (``inherited_from``, null for its own).  A null path lies in the root.
+
+    Ids need not be unique: rows are told apart by id, path and text, and rows that agree in all three have the same result each.  No rows give none; only the
+    named columns are read.
     """
-    own = checkpointed(own_licenses(files, id_col=id_col, text_col=text_col, threshold=threshold)).withColumnRenamed(id_col, "_key")
-    narrow = files.select(id_col, path_col)
-    named = narrow.join(own, narrow[id_col].eqNullSafe(own["_key"]), "left").drop("_key")
+    told = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    key = F.sha2(F.concat(*[told(F.col(c).cast("string")) for c in (id_col, path_col, text_col)]).cast("binary"), 256)
+    own = checkpointed(own_licenses(files.select(key.alias("_row"), F.col(text_col)), id_col="_row", text_col=text_col, threshold=threshold))
+    named = files.select(id_col, path_col, key.alias("_row")).join(own, "_row", "left").drop("_row")
     placed = named.where(F.col("license").isNotNull()).withColumn("dir", F.element_at(ancestors(F.coalesce(F.col(path_col), F.lit(""))), 1))
     owners = placed.groupBy("dir").agg(F.min(F.struct(F.col(id_col), F.col(path_col), F.col("license"))).alias("o")).select("dir", F.col("o.license").alias("dir_license"))
     out = inherited(named, owners, path_col=path_col)
@@ -176,6 +180,7 @@ def license_scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "p
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Licences of ``documents``, their own or their directory's."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")

@@ -184,6 +184,17 @@ def test_licenses(spark):
     assert got[8] == (None, "CC-BY-NC-4.0", "q")
 
 
+def test_licenses_of_repeated_ids(spark):
+    """Ids that stand in several rows don't share licences; equal rows have one each; clashing names and no rows."""
+    rows = [(1, "a/x", "Released under the MIT License."), (1, "a/y", "This work is licensed under CC BY 4.0."), (1, "b/z", "nothing"), (None, None, None), (1, "a/x", "Released under the MIT License."), (1, "a/x", "nothing here")]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, path string, text string, line int, license string")
+    got = sorted(str((r.path, r.own_license is not None, r.own_license and r.own_license.split("-")[0], r.inherited_from)) for r in licenses.license_scan(df).collect())
+    names = {r.path: r.own_license for r in licenses.license_scan(df.where("text like '%MIT%' or text like '%CC%'")).collect()}
+    assert names["a/x"] != names["a/y"]
+    assert got == sorted(map(str, [("a/x", True, names["a/x"].split("-")[0], None)] * 2 + [("a/y", True, names["a/y"].split("-")[0], None), ("b/z", False, None, None), (None, False, None, None), ("a/x", False, None, "a")]))
+    assert licenses.license_scan(df.limit(0)).count() == 0
+
+
 def test_wrapped_and_embedded_licenses(spark):
     bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:\n */"
     files = [
