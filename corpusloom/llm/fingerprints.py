@@ -8,7 +8,8 @@ The fingerprint keeps the prefix array at a few content-defined positions: code-
 enough zero bits are anchors, and the number of bits is the smallest (``FIRST_BITS`` at least, none at least in short texts) that
 leaves at most ``MOST`` anchors.  As anchors
 depend on their window alone, an edit moves only the anchors near it, and as the hashes compose, a fingerprint can be
-coarsened to another's number of bits.  ``likeness`` aligns two fingerprints by longest common extensions over
+coarsened to another's number of bits.  Stretches that have hardly an anchor, as in texts that repeat themselves, are cut at equal steps from
+where they start (a power of two that gives at most ``MOST`` in the whole text), so that what they share from there on still aligns.  ``likeness`` aligns two fingerprints by longest common extensions over
 these prefix arrays and returns the share of characters in common runs, from 0 to 1.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import below_count, long_list
+from .common import below_count, long_list, ranges
 
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
@@ -33,6 +34,8 @@ MOST = 48
 FIRST_BITS = 3
 LAST_BITS = 24
 TINY = 3 * WINDOW
+#: Levels of cuts at equal steps, from here on by how often two divides the step's number; stretches of more than so many steps are cut.
+STEPS, LONG = 25, 8
 BLOCK_CHARS = 1 << 20
 
 
@@ -127,9 +130,14 @@ def fingerprints(texts: list[str]) -> list[str]:
     cuts = np.concatenate((starts, at))
     whose = np.concatenate((np.arange(len(texts)), own))
     level = np.concatenate((np.full(len(texts), 31), bits)).astype(np.uint64)
-    order = np.lexsort((cuts, whose))
-    cuts, whose, level = cuts[order], whose[order], level[order]
-    stops = np.where(np.append(whose[1:] != whose[:-1], True), ends[whose], np.append(cuts[1:], n))
+    cuts, whose, level, stops = in_order(cuts, whose, level, ends)
+    step = (1 << step_bits(sizes))[whose]
+    more_cuts = np.where(stops - cuts > LONG * step, (stops - cuts - 1) // step, 0)
+    if more_cuts.any():
+        of, number = np.repeat(np.arange(len(cuts)), more_cuts), ranges(np.ones(len(cuts), np.int64), more_cuts)
+        twos = np.log2((number & -number).astype(np.float64)).astype(np.uint64)
+        added = np.uint64(STEPS) + np.minimum(twos, np.uint64(30 - STEPS))
+        cuts, whose, level, stops = in_order(np.concatenate((cuts, cuts[of] + number * step[of])), np.concatenate((whose, whose[of])), np.concatenate((level, added)), ends)
     chunks = np.empty((len(cuts), 2), "<u4")
     chunks[:, 0] = ((stops - cuts).astype(np.uint64) | level << np.uint64(27)) & np.uint64(0xFFFFFFFF)
     chunks[:, 1] = index.prime_hash(cuts, stops)
@@ -141,15 +149,30 @@ def fingerprints(texts: list[str]) -> list[str]:
     ]
 
 
-def coarsened(chunks: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
-    """Lengths and hashes of chunks, those whose anchors have fewer zero bits joined to what precedes them."""
+def in_order(cuts, whose, level, ends):
+    """Cuts by text and place, and where the chunk of each ends."""
+    order = np.lexsort((cuts, whose))
+    cuts, whose, level = cuts[order], whose[order], level[order]
+    last = np.append(whose[1:] != whose[:-1], True) if len(whose) else np.zeros(0, bool)
+    return cuts, whose, level, np.where(last, ends[whose], np.append(cuts[1:], 0)[: len(cuts)])
+
+
+def step_bits(sizes):
+    """Of each size the least power of two whose multiples cut it into at most ``MOST``."""
+    return np.ceil(np.log2(np.maximum(np.asarray(sizes, np.float64) / MOST, 1))).astype(np.int64)
+
+
+def coarsened(chunks: np.ndarray, bits: int, twos: int = 0) -> tuple[list[int], list[int]]:
+    """Lengths and hashes of chunks, those whose anchors have fewer zero bits, and those at steps that a ``twos`` times larger power doesn't
+    divide, joined to what precedes them."""
     level, size, value = chunks[:, 0] >> 27, (chunks[:, 0] & 0x7FFFFFF).astype(np.int64), chunks[:, 1].astype(np.int64)
-    if (level >= bits).all():
+    kept = np.where(level < STEPS, level >= bits, level >= min(STEPS + twos, 31))
+    if kept.all():
         return size.tolist(), value.tolist()
     sizes: list[int] = []
     values: list[int] = []
-    for b, n, h in zip(level.tolist(), size.tolist(), value.tolist()):
-        if b >= bits or not sizes:
+    for b, n, h in zip(kept.tolist(), size.tolist(), value.tolist()):
+        if b or not sizes:
             sizes.append(n)
             values.append(h)
         else:
@@ -168,7 +191,8 @@ def likeness(a: str, b: str) -> float:
         return 0.0
     x, y = (np.frombuffer(base64.b64decode(v), "<u4").reshape(-1, 2) for v in (x, y))
     bits = max(int(bits_a), int(bits_b))
-    (size_a, hash_a), (size_b, hash_b) = coarsened(x, bits), coarsened(y, bits)
+    twos_a, twos_b = step_bits([int(n), int(m)]).tolist()
+    (size_a, hash_a), (size_b, hash_b) = coarsened(x, bits, max(0, twos_b - twos_a)), coarsened(y, bits, max(0, twos_a - twos_b))
     chunks_a, chunks_b = list(zip(size_a, hash_a)), list(zip(size_b, hash_b))
     where: dict[tuple[int, int], list[int]] = {}
     for j, c in enumerate(chunks_b):
@@ -265,7 +289,7 @@ def edited_fingerprints(docs: DataFrame, n_ranges: int | None = None, *, id_col:
     """Each text's fingerprint, that of its edited text, and how like they and the next text's are.
 
     The edited text has its last ``n_chars // 4`` code points replaced by as many first ones (or all) of the next text
-    by ascending id, after the last by the first's.  Returns ``id_col, n_chars, edited_sha256, fingerprint,
+    by ascending id, after the last by the first's; no rows give none.  Returns ``id_col, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``.  A null text is empty; a single row is its own successor.
     """
     spark = docs.sparkSession
@@ -306,6 +330,7 @@ def edited_fingerprints(docs: DataFrame, n_ranges: int | None = None, *, id_col:
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of ``documents`` and of their edited texts, and how alike they are."""
     from .common import table
 
     return edited_fingerprints(table(spark, sf_dir, "documents"))

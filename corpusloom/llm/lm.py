@@ -288,9 +288,8 @@ class Automaton:
             target = (base[m] + np.arange(len(prefix)) if m < order else (base[m - 1] + suffix)) if order > 1 else 0
             keys.append((state * words + word)[seen]), weights.append(np.log10(p[seen])), targets.append(target[seen])
             shorter, mass, suffix_of = p, counts[m - 2], suffix
-        keys, weights, targets = np.concatenate(keys), np.concatenate(weights), np.concatenate(targets)
-        order_ = np.argsort(keys, kind="stable")
-        self.keys, self.weights, self.targets = keys[order_], weights[order_], targets[order_]
+        # States grow from part to part, and each part is in order, so the whole is.
+        self.keys, self.weights, self.targets = np.concatenate(keys), np.concatenate(weights), np.concatenate(targets)
         self.words, self.order = words, order
         self.start = int(of_word[-1])
 

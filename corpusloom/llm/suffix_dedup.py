@@ -65,11 +65,12 @@ def least_places(hashed: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
-    """Per text and anchor: its text, key, hull, first and last window, and place (bytes within the text)."""
+    """Per text and anchor: its text, key, hull, first and last window, and place (bytes within the text); ``to`` and ``weight``: texts that repeat
+    themselves have the same anchor and hull over and over, and such a run is one entry, with its last window and how many it stands for."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none, none, none
     power, inverse = powers(n + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])))
     hashed = mixed((sums[seed:] - sums[: n - seed + 1]) * inverse[: n - seed + 1])
@@ -78,30 +79,33 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     owner = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
     windows = np.arange(len(owner)) + (offsets[:-1] - np.concatenate(([0], np.cumsum(np.maximum(sizes - length + 1, 0))[:-1])))[owner]
     if not len(windows):
-        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none, none, none
     at = least[windows]
     first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])))
     last = np.append(first[1:], len(at)) - 1
     at, owner, lo, hi = at[first], owner[first], windows[first], windows[last]
     hull = mixed((sums[hi + length] - sums[lo]) * inverse[lo] + mixed(((at - lo) * 1_000_003 + (hi - lo)).astype(np.uint64)))
-    base = offsets[owner]
-    return owner, hashed[at], hull, lo - base, hi - base, at - base
+    base, key = offsets[owner], hashed[at]
+    head = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]) | (hull[1:] != hull[:-1])))
+    tail = np.append(head[1:], len(key)) - 1
+    to = (hi - base)[tail]
+    return *(x[head] for x in (owner, key, hull, lo - base, hi - base, at - base)), to, tail - head + 1
 
 
 def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """One row for each anchor of each row's text; texts shorter than ``length`` have none."""
+    """One row for each anchor, or run of equal ones, of each row's text; texts shorter than ``length`` have none."""
 
     def run(batches):
         for batch in batches:
             for block in row_blocks(batch, "text", BLOCK_BYTES):
-                owner, key, hull, lo, hi, at = anchors(*text_bytes(block.column("text")), length, seed)
+                owner, key, hull, *places = anchors(*text_bytes(block.column("text")), length, seed)
                 rows = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("id").take(rows), block.column("th").take(rows), pa.array(key.view(np.int64)), pa.array(hull.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in (lo, hi, at))],
-                    ["id", "th", "key", "hull", "lo", "hi", "at"],
+                    [block.column("id").take(rows), block.column("th").take(rows), pa.array(key.view(np.int64)), pa.array(hull.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in places)],
+                    ["id", "th", "key", "hull", "lo", "hi", "at", "to", "weight"],
                 )
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, key long, hull long, lo long, hi long, at long")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, key long, hull long, lo long, hi long, at long, to long, weight long")
 
 
 def passage_rows(docs: DataFrame, words: int, seed: int) -> DataFrame:
@@ -131,16 +135,16 @@ def shared_passages(docs: DataFrame, words: int, seed: int) -> DataFrame:
 def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows with ``key`` and ``hull``: those whose hull recurs, and those that remain to be compared with others (``open``)
     together with one row for each recurring hull that they may match."""
-    several = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("hull").alias("a"), F.max("hull").alias("b")).where("rows > 1")
+    several = rows.groupBy("key").agg(F.sum("weight").alias("rows"), F.min("hull").alias("a"), F.max("hull").alias("b")).where("rows > 1")
     several = released(several.select("key", "rows", (F.col("a") < F.col("b")).alias("differ")))
     name = F.xxhash64("id", "th", "lo", "hi")
     shared = released(spread_join(rows, several, ["key"], "rows").drop("rows").withColumn("name", name))
-    hulls = checkpointed(shared.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("name").alias("chosen")))
+    hulls = checkpointed(shared.groupBy(*KEYS).agg(F.sum("weight").alias("n"), F.min("name").alias("chosen")))
     told = released(spread_join(shared, hulls, KEYS, "n"))
     repeated = told.where("n > 1")
     open_ = told.where("n = 1 and differ")
     stand = repeated.where("name = chosen and differ").dropDuplicates(KEYS).join(open_.select("key").distinct(), "key")
-    columns = [c for c in rows.columns if c not in ("differ", "name", "n", "chosen")]
+    columns = [c for c in rows.columns if c not in ("differ", "name", "n", "chosen", "to", "weight")]  # of a run, one hull is compared
     return repeated, released(open_.select(*columns).union(stand.select(*columns)))
 
 
@@ -302,7 +306,7 @@ def resolved(rows: DataFrame, length: int, seed: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int, seed: int, most: int) -> DataFrame:
     """``id, th, s, e`` of windows' runs that recur; ``docs`` has ``id, th, text``."""
-    spans = lambda rows: rows.select("id", "th", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    spans = lambda rows: rows.select("id", "th", F.col("lo").alias("s"), (F.col("to") + length).alias("e"))
     repeated, open_ = settled(anchor_rows(docs, length, seed))
     found = spans(repeated)
     open_ = released(surroundings(docs, open_, length, seed))
@@ -312,7 +316,8 @@ def repeated_spans(docs: DataFrame, length: int, seed: int, most: int) -> DataFr
         if large.isEmpty():
             break
         found = found.union(resolved(open_.join(counts, "key", "left_anti"), length, seed))
-        repeated, open_ = settled(released(narrowed(large, width, length, seed)))
+        parts = narrowed(large, width, length, seed).select("*", F.col("hi").alias("to"), F.lit(1).cast("long").alias("weight"))
+        repeated, open_ = settled(released(parts))
         found = found.union(spans(repeated))
     return found.union(resolved(open_, length, seed))
 
@@ -324,7 +329,7 @@ def without_repeats(
     """Texts without the bytes of ``length``-byte strings that start anywhere else too.
 
     Returns ``keep`` (``id_col`` alone by default) and ``n_bytes, n_removed, n_spans`` (maximal removed runs) and ``kept`` (binary).  Strings are judged on the
-    input; matches never cross documents; overlapping occurrences and occurrences in one document count.  A null
+    input; matches never cross documents; overlapping occurrences and occurrences in one document count.  No rows give none; a null
     text is empty; shorter texts are kept whole; repeated rows are repeats of one another.  ``most`` bounds the
     surroundings of one anchor that meet in one task.  With ``as_text``, ``kept`` is a string without the characters that a
     cut has split.  A kept column that has the name of another column gets ``in_`` in front of it.

@@ -241,6 +241,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Toxicity of ``documents``, learnt from ``labels`` of ids that are not held out."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")

@@ -196,3 +196,37 @@ def test_collection_order():
     strings = [b"abc", b"ab", b"abd", b"", b"b", b"abc"]
     rank, lcp = suffix_dedup.collection_order(strings, np.array([1, 1, 1, 1, 1, 2]))
     assert rank.tolist() == [2, 1, 3, 0, 4, 5] and lcp.tolist() == [-1, 0, 2, 2, 0, -1]
+
+
+@pytest.mark.parametrize("text", ["ab" * 5000, "0123456789" * 500, "one line that comes again and again\n" * 300, "a" * 400_000, "ab" * 100, "0123456789abcdef" * 6])
+def test_likeness_of_repetitive_texts(text):
+    """Three quarters of the text stay, and so its likeness to the edited text is near three quarters, whatever takes the place of the rest."""
+    rng = np.random.default_rng(7)
+    other = "".join(rng.choice(list("abcdefghijklmnop "), len(text)))
+    edited = text[: len(text) - len(text) // 4] + other[: len(text) // 4]
+    shorter = text[: len(text) - len(text) // 4] + other[:20]
+    a, b, c, d = fingerprints.fingerprints([text, edited, other, shorter])
+    assert 0.6 < fingerprints.likeness(a, b) <= 0.8 and fingerprints.likeness(a, c) < 0.05
+    assert fingerprints.likeness(a, d) > 0.6 and fingerprints.likeness(a, a) == 1
+
+
+def test_repeats_in_texts_of_low_entropy(spark):
+    """Texts that repeat themselves give a row for each run, not for each byte; results equal a plain search, also where others share a part."""
+    rng = np.random.default_rng(11)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    texts = ["a" * 3000, "ab" * 900, "a" * 99 + "b" + "a" * 150, noise(300) + "xyz" * 70 + noise(200), "xyz" * 40 + noise(100), "c" * 101, "c" * 100 + "d", noise(90) + "e" * 100, ("0123456789" * 12 + noise(30)) * 3, "a" * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for most in (6000, 3):
+        got = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.without_repeats(df, length=100, seed=20, most=most).collect()}
+        starts = collections.Counter(t[i : i + 100] for t in texts for i in range(len(t) - 99))
+        for i, t in enumerate(texts):
+            gone = [False] * len(t)
+            for p in range(len(t) - 99):
+                if starts[t[p : p + 100]] > 1:
+                    gone[p : p + 100] = [True] * 100
+            assert got[i] == "".join(c for c, g in zip(t, gone) if not g), i
+    data = np.frombuffer(b"a" * 4_000_000 + b"xyz" * 200_000, np.uint8)
+    owner, *_, weight = suffix_dedup.anchors(data, np.array([0, 4_000_000, 4_600_000]), 400, 50)
+    assert len(owner) < 10 and weight.sum() > 4_000_000
+    long = spark.createDataFrame([(1, "a" * 4_000_000), (2, "b")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.without_repeats(long).collect()} == {1: (4_000_000, 1), 2: (0, 0)}
