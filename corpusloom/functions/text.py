@@ -193,11 +193,6 @@ def lines_with(s: Column, prefix: str) -> Column:
     return F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(prefix))), lambda x: F.trim(F.substr(x, F.lit(len(prefix) + 1))))
 
 
-def truncated(s: Column, tokens: int = 512) -> Column:
-    """At most four characters a token."""
-    return F.substring(s, 1, tokens * 4)
-
-
 def unit_box(box: Column, width: Column, height: Column) -> Column:
     """A pixel box x0, y0, x1, y1 in shares of the page, within 0 and 1."""
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))

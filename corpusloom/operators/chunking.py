@@ -53,9 +53,3 @@ def block_ranges(chunks: DataFrame, blocks: DataFrame, *, id_col: str = "doc_id"
     if fuzzy:
         matched = matched.union(pairs.where(~inside).where(fuzzy_matcher()("_a", "_b")).select(id_col, chunk_col, "block_order"))
     return matched.groupBy(id_col, chunk_col).agg(F.min("block_order").alias("block_start"), F.max("block_order").alias("block_end"))
-
-
-def highlighted(ranges: DataFrame, blocks: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """Blocks whose order lies in a range, on its page."""
-    right = blocks.withColumnRenamed(id_col, "_id")
-    return ranges.join(right, (F.col(id_col) == F.col("_id")) & (F.col("page_number") == F.col("page")) & F.col("block_order").between(F.col("block_start"), F.col("block_end"))).drop("_id", "page")

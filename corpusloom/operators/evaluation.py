@@ -105,3 +105,8 @@ def ranked(runs: DataFrame, by: str, value: str, most: int) -> DataFrame:
 def diversity(results: DataFrame, by: str, source: str) -> DataFrame:
     """``by, results, sources, single_source``."""
     return results.groupBy(by).agg(F.count("*").alias("results"), F.count_distinct(source).alias("sources"), (F.count_distinct(source) <= 1).alias("single_source"))
+
+
+def report_lines(cases: DataFrame) -> DataFrame:
+    """``case_id, line``: what a report prints of each case."""
+    return cases.select("case_id", F.format_string("[%d] P=%.4f R=%.4f RR=%.4f", F.col("case_id"), "precision", "recall", "rr").alias("line"))

@@ -126,3 +126,19 @@ def report(targets: DataFrame, outcomes: DataFrame, *by: str, key: str = "doc_id
         F.count("*").alias("total"), F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"),
         F.array_sort(F.collect_list(F.when(bad, F.struct(F.col(key).alias("key"), F.col("reason").alias("reason"))))).alias("failures"),
     )
+
+
+def appended(held: DataFrame, new: DataFrame, *by: str, key: str = "doc_id") -> DataFrame:
+    """``by, key, ord``: a collection's ids with the new ones that it lacks after them, in the order of their ids.  Repeated ids count once."""
+    keys = [*by, key]
+    old = held.select(*keys).distinct().withColumn("_new", F.lit(0))
+    fresh = new.select(*keys).distinct().join(old.select(*keys), keys, "left_anti").withColumn("_new", F.lit(1))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_new", key)) - 1
+    return old.union(fresh).select(*keys, place.cast("long").alias("ord"))
+
+
+def summarized(docs: DataFrame, by: str, name: str, most: int = 30) -> DataFrame:
+    """``by, total, names, more``: the first ``most`` names of each collection, and how many there are besides."""
+    ranked = docs.select(by, name).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(name))).where(F.col("_r") <= most)
+    first = ranked.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", name))), lambda x: x[name]).alias("names"))
+    return docs.groupBy(by).agg(F.count("*").alias("total")).join(first, by).select(by, "total", "names", F.greatest(F.col("total") - most, F.lit(0)).alias("more"))

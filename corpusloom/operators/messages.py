@@ -41,3 +41,9 @@ def sessions(events: DataFrame, key: str, *, ts: str = "ts", seconds: int = 7200
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     age = (at - F.min(at).over(Window.partitionBy(key))).cast("double") / 1_000_000
     return events.withColumn("age_s", age).withColumn("expired", F.col("age_s") > seconds)
+
+
+def first_by_name(sources: DataFrame, *by: str, order: str, name: str = "name") -> DataFrame:
+    """``sources`` of which, within ``by``, the first by ``order`` stays of each name; a source without a name stays."""
+    key = F.coalesce(F.nullif(F.col(name), F.lit("")), F.concat(F.lit("\u0000"), F.col(order).cast("string")))
+    return sources.withColumn("_r", F.row_number().over(Window.partitionBy(*by, key).orderBy(order))).where("_r = 1").drop("_r")

@@ -68,16 +68,6 @@ def outline(chapters_: DataFrame, *, id_col: str = "doc_id", most: int = 10) ->
     return chapters_.groupBy(id_col).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("outline"))
 
 
-def located(text: Column, number: Column, title: Column) -> Column:
-    """Where a chapter starts (0-based), or -1: its heading with number and title, its title as a heading, its number at a
-    line's start, its title anywhere, whichever is found first in this order."""
-    at = lambda needle: F.nullif(F.instr(text, needle), F.lit(0))
-    line = F.concat(F.lit("\n"), text)
-    start = lambda needle: F.nullif(F.instr(line, F.concat(F.lit("\n"), needle)), F.lit(0))
-    found = F.coalesce(at(F.concat(F.lit("# "), number, F.lit(" "), title)), at(F.concat(F.lit("# "), title)), start(F.concat(number, F.lit(" "))), at(title))
-    return F.coalesce(found, F.lit(0)) - 1
-
-
 def markdown(items: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Documents rebuilt from typed items (``pos, kind, level, text``): headings by level, tables in markers, blank items and
     repeats of the item before left out."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, standard_form, tolerant_search
+from .keywords import holding  # noqa: F401
 
 
 def pages_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group_col: str = "source") -> DataFrame:
@@ -63,18 +64,3 @@ def keyword_union(pages: DataFrame, keywords: list[str], most: int = 5) -> DataF
     ranked = once.orderBy("m._k", "m.kb_id", "doc_id").limit(most)
     named = F.get(F.array(*[F.lit(k) for k in keywords]), F.col("m._k"))
     return ranked.select("doc_id", named.alias("keyword"), F.row_number().over(Window.orderBy("m._k", "m.kb_id", "doc_id")).cast("long").alias("ord"))
-
-
-def holding(docs: DataFrame, needles: DataFrame, *, text_col: str = "text", needle: str = "needle") -> DataFrame:
-    """``docs`` joined with the ``needles`` that their texts hold.
-
-    Between its first and last blank a needle has whole words, which any text that holds it has too; the longest is the
-    key of an equi-join, and containment is checked for those that meet.  Needles without such a word, if there are any, are
-    compared with all texts.
-    """
-    inner = F.transform(F.filter(F.split(needle, " "), lambda w, i: (i > 0) & (i < F.size(F.split(needle, " ")) - 1)), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
-    keyed = needles.withColumn("_key", F.nullif(F.array_max(inner)["w"], F.lit("")))
-    words = docs.withColumn("_key", F.explode(F.array_distinct(F.split(text_col, " "))))
-    found = words.join(keyed.where(F.col("_key").isNotNull()), "_key").where(F.contains(text_col, needle)).drop("_key")
-    rest = keyed.where(F.col("_key").isNull()).drop("_key")
-    return found if rest.isEmpty() else found.unionByName(docs.join(rest, F.contains(text_col, needle)))

@@ -1,6 +1,6 @@
 """Exact nearest neighbours of a stated set of queries, with the rankings built on them.
 
-Queries are broadcast in blocks of bounded size and meet the corpus in Arrow batches.  Of each batch a query's best rows
+Queries of a checked size are broadcast and meet the corpus in Arrow batches; more of them meet it in groups.  Of each batch a query's best rows
 of each group alone are kept, and before the shuffle Spark's limit of window groups keeps a task's best: the shuffle
 holds queries x groups x k rows a task, not pairs.
 """
@@ -20,45 +20,78 @@ QUERY_ROWS = 512
 
 def scored(
     queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "cosine", query_id: str = "query_id", id_col: str = "vec_id", vector_col: str = "embedding",
-    group_col: str | None = None, digits: int = 4, most_queries: int = 100_000, other_than_self: bool = False,
+    group_col: str | None = None, digits: int = 4, most_bytes: int = 64 << 20, other_than_self: bool = False,
 ) -> DataFrame:
     """``query_id, id, [group,] score, rank``: the ``k`` best rows of each query (and group), by the score rounded to
     ``digits`` and then by id.  ``metric`` is ``cosine`` (descending) or ``l2`` (ascending).
 
     Vectors that are null or hold null or non-finite components, and vectors of another length than the query's, have no
-    score; zero vectors have a cosine of 0.  More than ``most_queries`` queries are taken in blocks of about that number,
-    by a hash of the query, each against the whole corpus; in that case queries that are equal in id and vector are asked once.
+    score; zero vectors have a cosine of 0.  Queries of at most ``most_bytes`` in all are broadcast and the corpus is read once; more
+    of them, which are counted first, meet it in groups of both sides that Spark deals out.
     """
     wanted = queries.where(F.col(vector_col).isNotNull()).select(query_id, vector_col)
-    asked = wanted.limit(most_queries + 1).collect()
-    if len(asked) <= most_queries:
-        blocks = [asked]
-    else:
-        del asked
-        once = wanted.distinct()
-        n = -(-once.count() // most_queries)
-        blocks = (once.where(F.pmod(F.xxhash64(query_id, vector_col), F.lit(n)) == b).collect() for b in range(n))
     columns = [id_col] + [group_col] * (group_col is not None)
     types = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
-    schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, " + ", ".join(f"{c} {types[c]}" for c in columns) + ", score double"
-    found = None
-    for block in blocks:
-        run = compared(by_length(queries.sparkSession, block), k, metric, query_id, columns, vector_col, digits, other_than_self)
-        part = corpus.select(*columns, vector_col).mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
+    schema = f"`{query_id}` {queries.schema[query_id].dataType.simpleString()}, " + ", ".join(f"`{c}` {types[c]}" for c in columns) + ", score double"
+    given = corpus.select(*columns, vector_col)
+    size = wanted.agg(F.sum(8 * F.size(vector_col))).first()[0] or 0
+    if size <= most_bytes:
+        held = queries.sparkSession.sparkContext.broadcast(by_length(wanted.toArrow()))
+        found = given.mapInArrow(compared(held, k, metric, query_id, columns, vector_col, digits, other_than_self), schema)
+    else:
+        found = in_groups(wanted, given, -(-size // most_bytes), most_bytes, schema, lambda held: compared(held, k, metric, query_id, columns, vector_col, digits, other_than_self))
     order = [F.desc("score") if metric == "cosine" else F.asc("score"), F.asc(id_col)]
     window = Window.partitionBy(query_id, *columns[1:]).orderBy(*order)
     return found.withColumn("rank", F.row_number().over(window).cast("long")).where(F.col("rank") <= k)
 
 
-def by_length(spark, rows):
-    """A broadcast of names and matrices of the finite vectors, by their length."""
-    parts: dict[int, list] = {}
-    for name, vector in rows:
-        v = np.array(vector, np.float64)
-        if np.isfinite(v).all():
-            parts.setdefault(len(v), []).append((name, v))
-    return spark.sparkContext.broadcast({n: ([name for name, _ in own], np.stack([v for _, v in own])) for n, own in parts.items()})
+def in_groups(wanted: DataFrame, given: DataFrame, blocks: int, most_bytes: int, schema: str, compare) -> DataFrame:
+    """Each of ``blocks`` blocks of queries against each block of the corpus, both of about ``most_bytes``, one pair a group."""
+    vector_col = wanted.columns[1]
+    parts = -(-(given.agg(F.sum(8 * F.size(vector_col))).first()[0] or 1) // most_bytes)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = wanted.withColumn("_q", F.pmod(F.xxhash64(*wanted.columns), F.lit(blocks)).cast("int")).select("*", every(parts).alias("_p"))
+    right = given.withColumn("_p", F.pmod(F.xxhash64(*given.columns), F.lit(parts)).cast("int")).select("*", every(blocks).alias("_q"))
+    names = given.columns
+
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        held = Here(by_length(q.select(wanted_columns)))
+        rows = [pa.RecordBatch.from_arrays([x.column(c).combine_chunks() for c in names], names)] if x.num_rows else []
+        found = list(compare(held)(rows))
+        if found:
+            return pa.Table.from_batches(found)
+        return pa.table({wanted_columns[0]: q.column(wanted_columns[0]).slice(0, 0), **{c: x.column(c).slice(0, 0) for c in names if c != vector_col}, "score": pa.array([], pa.float64())})
+
+    wanted_columns = wanted.columns
+    return left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInArrow(run, schema)
+
+
+class Here:
+    """Stands for a broadcast whose value is at hand."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def by_length(queries: pa.Table) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """Names and matrices of the finite vectors of a table of names and vectors, by their length."""
+    names, vectors = (queries.column(i).combine_chunks() for i in (0, 1))
+    out = {}
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), -1))
+    for n in np.unique(lengths[lengths >= 0]).tolist():
+        at = np.flatnonzero(lengths == n)
+        x = rows_of(vectors.take(pa.array(at)), n)
+        sound = np.isfinite(x).all(1)
+        if sound.any():
+            out[n] = (names.take(pa.array(at[sound])), x[sound])
+    return out
+
+
+def rows_of(vectors, dim: int) -> np.ndarray:
+    """A matrix of an Arrow column of vectors of one length; null components become NaN."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), dim)
 
 
 def compared(held, k: int, metric: str, query_id: str, columns: list[str], vector_col: str, digits: int, other_than_self: bool):
@@ -67,12 +100,12 @@ def compared(held, k: int, metric: str, query_id: str, columns: list[str], vecto
     def run(batches):
         for batch in batches:
             vectors = batch.column(vector_col)
-            lengths = np.array([len(v) if v.is_valid else -1 for v in vectors])
-            for length, (names, q) in held.value.items():
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), -1))
+            for length, (asked, q) in held.value.items():
                 at = np.flatnonzero(lengths == length)
                 if not len(at):
                     continue
-                x = np.asarray(vectors.take(pa.array(at)).flatten(), np.float64).reshape(len(at), length)
+                x = rows_of(vectors.take(pa.array(at)), length)
                 sound = np.isfinite(x).all(1)
                 at, x = at[sound], x[sound]
                 ids = batch.column(columns[0]).take(pa.array(at))
@@ -80,13 +113,13 @@ def compared(held, k: int, metric: str, query_id: str, columns: list[str], vecto
                 at, x, ids = at[order], x[order], np.asarray(ids.take(pa.array(order)))
                 groups = np.asarray(batch.column(columns[1]).take(pa.array(at)).dictionary_encode(null_encoding="encode").indices) if len(columns) > 1 else np.zeros(len(at), np.int64)
                 members = [np.flatnonzero(groups == g) for g in np.unique(groups)]
-                asked = pa.array(names)
+                names = np.asarray(asked)
                 for start in range(0, len(q), QUERY_ROWS):
                     part = slice(start, start + QUERY_ROWS)
                     s = scores(q[part], x, metric, digits)
                     key = -s if metric == "cosine" else s.copy()
                     if other_than_self:
-                        key[np.array(names[part])[:, None] == ids[None, :]] = np.inf
+                        key[names[part][:, None] == ids[None, :]] = np.inf
                     best = [(i, inside[j]) for inside in members for i, j in [least(key[:, inside], k)]]
                     if not best:
                         continue
@@ -137,14 +170,15 @@ def rank_funnel(hits: DataFrame, k: int, rerank=None, rerank_top: int = 5, *, qu
     return merged(first.withColumn("score", rerank), min(k, rerank_top), query_id=query_id, id_col=id_col)
 
 
-def hyperplane_codes(vectors: DataFrame, *, bits: int = 16, dim: int, seed: int = 0, vector_col: str = "embedding") -> DataFrame:
-    """``vectors`` with ``code``: the signs of random projections, for approximate search by equal codes."""
-    planes = np.random.default_rng(seed).standard_normal((bits, dim))
-    dot = lambda p: F.aggregate(F.zip_with(vector_col, F.array(*[F.lit(float(x)) for x in p]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    code = F.lit(0).cast("long")
-    for i, p in enumerate(planes):
-        code = code + F.when(dot(p) > 0, F.lit(1 << i)).otherwise(F.lit(0))
-    return vectors.withColumn("code", code)
+def reranked(hits: DataFrame, answers: DataFrame, k: int, *, query_id: str = "query_id", id_col: str = "vec_id") -> DataFrame:
+    """``hits`` (``query_id, id, score, rank``) by a re-ranker's ``answers`` (``query_id, index, relevance``), whose index is a candidate's place from 0: the best ``k`` of
+    those it names, and ``source`` ``rerank``.  A query that it has failed for (no answers, or none that names a candidate) keeps its first ``k`` in their order, ``source`` ``first``."""
+    given = answers.where(F.col("relevance").isNotNull()).select(F.col(query_id).alias("_q"), (F.col("index") + 1).cast("long").alias("_at"), F.col("relevance").cast("double").alias("_r"))
+    named = hits.join(given.groupBy("_q", "_at").agg(F.max("_r").alias("_r")), (F.col(query_id) == F.col("_q")) & (F.col("rank") == F.col("_at")), "left").drop("_q", "_at")
+    served = F.max(F.col("_r").isNotNull()).over(Window.partitionBy(query_id))
+    told = named.withColumn("_served", served).where(~F.col("_served") | F.col("_r").isNotNull()).withColumn("_s", F.when(F.col("_served"), F.col("_r")).otherwise(-F.col("rank").cast("double")))
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("_s"), "rank")).cast("long")
+    return told.withColumn("_place", place).where(F.col("_place") <= k).select(query_id, id_col, F.when(F.col("_served"), F.col("_r")).otherwise(F.col("score")).alias("score"), F.col("_place").alias("rank"), F.when(F.col("_served"), "rerank").otherwise("first").alias("source"))
 
 
 def embedded(texts: DataFrame, embed, *, dim: int, text_col: str = "text", retries: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import show
 from ..functions import text as X
 from ..operators import evaluation, ingest, linking, messages, stores, textsearch, vectors
 from ..sources import readers
-from .queries import CASES, CHUNKS, DOT, NORM, PAGES, QUERIES, SQL, hits, query, retrieved, t  # noqa: F401
+from .queries import CASES, CHUNKS, DOT, LEVELS, NORM, PAGES, QUERIES, SQL, hits, query, retrieved, t  # noqa: F401
 
 # ---- scans ----------------------------------------------------------------------------------------------
 
@@ -69,12 +69,12 @@ def layout_fields(spark, d):
     return stores.shown_blocks(line_blocks(spark, d))
 
 
-@query("""SELECT doc_id, 0::BIGINT AS page, sha256(substr(text, 1, 50)) AS content_hash, 0::BIGINT AS block_order, 0.125::DOUBLE AS x0, least(1.0, n_chars / 1024)::DOUBLE AS y1, 0.5::DOUBLE AS corner, 2::BIGINT AS corners FROM documents""")
+@query("""SELECT doc_id, 0::BIGINT AS page, sha256(text) AS content_hash, 0::BIGINT AS block_order, 0.125::DOUBLE AS x0, least(1.0, n_chars / 1024)::DOUBLE AS y1, 0.5::DOUBLE AS corner, 2::BIGINT AS corners FROM documents""")
 def ocr_blocks(spark, d):
     """Blocks of OCR output with boxes and polygons in shares of the page; each document is a line of one page and one block."""
     docs = t(spark, d, "documents")
     numbers = lambda *x: F.array(*[F.lit(float(v)) if isinstance(v, int) else v.cast("double") for v in x])
-    block = F.struct(F.lit("text").alias("block_label"), F.substring("text", 1, 50).alias("block_content"), numbers(64, 0, 256, F.col("n_chars")).alias("block_bbox"), F.array(numbers(64, 512), numbers(256), numbers(256, 512)).alias("block_polygon"))
+    block = F.struct(F.lit("text").alias("block_label"), F.col("text").alias("block_content"), numbers(64, 0, 256, F.col("n_chars")).alias("block_bbox"), F.array(numbers(64, 512), numbers(256), numbers(256, 512)).alias("block_polygon"))
     page = F.struct(F.struct(F.lit("x").alias("text")).alias("markdown"), F.struct(F.array(F.lit(512), F.lit(1024)).alias("image_size"), F.array(block).alias("parsing_res_list")).alias("prunedResult"))
     lines = docs.select("doc_id", F.lit(0).alias("ord"), F.to_json(F.struct(F.struct(F.array(page).alias("layoutParsingResults")).alias("result"))).alias("line"))
     out = readers.ocr_pages(lines).select("doc_id", "page", F.explode("blocks").alias("b"))
@@ -239,9 +239,6 @@ def standard_form_documents(spark, d):
     return t(spark, d, "documents").select("doc_id", X.content_hash(X.standard_form("text")).alias("form_hash"))
 
 
-LEVELS = " ".join(f"WHEN regexp_matches(l, '{p}') THEN {n}" for p, n in X.HEADING_RULES)
-
-
 @query(f"SELECT doc_id, page, CASE WHEN length(l) BETWEEN 2 AND 80 AND NOT contains('{X.TITLE_ENDS}', right(l, 1)) THEN CASE {LEVELS} END END::INT AS level FROM (SELECT doc_id, page, trim(text, ' ') AS l FROM ({PAGES}))")
 def line_levels(spark, d):
     """Heading levels of all lines."""
@@ -270,11 +267,16 @@ def range_rectangles(spark, d):
     return out.select("doc_id", "block_order", "r.x", "r.y", "r.w")
 
 
-@query(f"SELECT doc_id, page, page / 1000 * 800 AS y FROM ({PAGES}) WHERE {NORM.format('substr(text, 1, 30)')} <> '' AND page % 7 <> 6")
+_CHANGED = "regexp_replace(text, '(?s)(.{8}).', '\\1§', 'g')"
+
+
+@query(f"""WITH n AS (SELECT doc_id, page, {NORM.format('text')} AS b, {NORM.format(_CHANGED)} AS a, {NORM.format(f"replace({_CHANGED}, '§', '')")} AS c FROM ({PAGES}) WHERE page % 7 <> 6)
+SELECT doc_id, page, page / 1000 * 800 AS y FROM n WHERE a <> '' AND b <> '' AND (contains(b, a) OR contains(a, b) OR (least(length(a), length(b)) >= 4 AND length(c) / greatest(length(a), length(b)) >= 0.85))""")
 def highlight_rectangles(spark, d):
-    """Rectangles of the blocks that hold a highlight, the first 30 characters of a line; a line is a page of one block."""
+    """Rectangles of the blocks that hold a highlight: all lines, of which every ninth character is another; a line is a page of one block.  What line and
+    highlight have in common is what was not changed, so SQL can tell where the longest common subsequence is long enough."""
     blocks = line_blocks(spark, d).withColumn("page", F.col("block_order"))
-    asked = textsearch.pages_of(t(spark, d, "documents")).select("doc_id", "page", F.substring("text", 1, 30).alias("highlight"))
+    asked = textsearch.pages_of(t(spark, d, "documents")).select("doc_id", "page", F.regexp_replace("text", "(?s)(.{8}).", "$1§").alias("highlight"))
     return linking.highlight_rectangles(asked, blocks, F.lit(600.0), F.lit(800.0)).select("doc_id", "page", "r.y")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunking, evaluation, findings, maintenance, messages, structure, textsearch, vectors
+from ..operators import chunking, evaluation, findings, maintenance, messages, sections, structure, textsearch, vectors
 from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +30,26 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def values(spark: SparkSession, rows: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {rows}")
+# ---- the pages' articles as Markdown, and forms for characters of the driver's tables --------------------------
+
+PAGE_TEXT = r"regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<h1>', chr(10) || '{mark} ', 'g'), '</h1>|<p>|<br>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+ARTICLES = f"SELECT page_id, {PAGE_TEXT.format(mark='#')} AS text FROM pages"
+SUB_ARTICLES = f"SELECT page_id, {PAGE_TEXT.format(mark='##')} AS text FROM pages"
+
+
+def page_texts(spark, d, mark="#"):
+    """The articles of the pages, with a line for each heading and paragraph."""
+    inner = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)
+    marked = F.regexp_replace(F.regexp_replace(inner, "<h1>", f"\n{mark} "), "</h1>|<p>|<br>", "\n")
+    return t(spark, d, "pages").select("page_id", F.regexp_replace(marked, "<[^>]*>", "").alias("text"))
+
+
+#: Normal form of a text, for characters of the driver's tables.
+NORM = r"regexp_replace(replace(lower({}), 'ß', 'ss'), '[\s!-/:-@\[-`{{-~。！？、；：（）【】「」『』《》·…—–]', '', 'g')"
+#: Standard form.
+FORM = r"regexp_replace(replace(lower({}), 'ß', 'ss'), '[\s\x{{3000}}\x{{a0}}\-./]+', '', 'g')"
+#: Lines of texts, from 0.
+LINES = "(SELECT unnest(range(0, len(string_split({0}, chr(10))))) AS pos, unnest(string_split({0}, chr(10))) AS line)"
 
 
 # ---- vectors: every vector whose id is divisible by 50 is a query ---------------------------------------
@@ -103,11 +121,12 @@ def text_search_top(spark, d):
     return textsearch.top_hits(textsearch.first_pages(textsearch.pages_of(t(spark, d, "documents")), "version"))
 
 
-@query("SELECT * FROM (VALUES ('kb', 1, 0, 'see IEC 61547 there'), ('kb', 2, 1, 'iec-61547'), ('kb', 4, 0, 'IEC61547 first')) v(kb_id, doc_id, page, content)")
+@query(f"""WITH f AS (SELECT *, {FORM.format("text")} AS form FROM ({PAGES})), h AS (SELECT *, instr(lower(text), 'of-the') - 1 AS e, instr(form, 'ofthe') - 1 AS l FROM f),
+g AS (SELECT *, CASE WHEN e >= 0 THEN e ELSE floor(l * length(text) / greatest(length(form), 1)) END::INT AS p0, row_number() OVER (PARTITION BY kb_id, doc_id ORDER BY page) AS r FROM h WHERE e >= 0 OR l >= 0)
+SELECT kb_id, doc_id, page, {SNIPPET.format(n=6)} AS content FROM g WHERE r = 1""")
 def text_search_tolerant(spark, d):
-    """Standard numbers match across white space, dashes, dots and slashes."""
-    pages = values(spark, "('kb', 1, 0, 'see IEC 61547 there'), ('kb', 2, 0, 'nothing'), ('kb', 2, 1, 'iec-61547'), ('kb', 3, 0, 'IEC 6154'), ('kb', 4, 0, 'IEC61547 first'), ('kb', 4, 1, 'IEC 61547') AS v(kb_id, doc_id, page, text)")
-    return textsearch.first_pages(pages, "IEC61547")
+    """Keywords with something to strip match across white space, dashes, dots and slashes."""
+    return textsearch.first_pages(textsearch.pages_of(t(spark, d, "documents")), "of-the")
 
 
 @query("""WITH k AS (SELECT * FROM (VALUES ('apache', 0), ('mit license', 1), ('gnu', 2)) v(keyword, k)),
@@ -117,23 +136,29 @@ def keyword_union(spark, d):
     return textsearch.keyword_union(textsearch.pages_of(t(spark, d, "documents")), ["apache", "mit license", "gnu"])
 
 
-@query("SELECT * FROM (VALUES (1, 'abc123', 'gb/t20145'), (2, 'abc123', 'gbt20145')) v(id, a, b)".replace("'gb/t20145'", "'gbt20145'"))
+@query(f"SELECT conv_id, turn, sha256({NORM.format('text')}) AS a, sha256({FORM.format('text')}) AS b FROM conversations")
 def text_normalized(spark, d):
-    rows = values(spark, r"(1, '（ＡＢＣ）１２３。', 'GB/T 20145'), (2, ' A-b.C 1 2 3 ', 'gbt-20145') AS v(id, s, n)")
-    return rows.select("id", X.normalized("s").alias("a"), X.standard_form("n").alias("b"))
+    """Normal and standard forms of all turns."""
+    return t(spark, d, "conversations").select("conv_id", "turn", X.content_hash(X.normalized("text")).alias("a"), X.content_hash(X.standard_form("text")).alias("b"))
 
 
-@query("SELECT * FROM (VALUES (1, 'IEC 61547'), (2, 'GB 7000.202'), (3, 'GBT 20145')) v(id, number)")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'IEC ' || n_chars WHEN 1 THEN 'GB ' || n_chars || '.' || doc_id ELSE 'GBT ' || lang END AS number FROM documents")
 def standard_numbers(spark, d):
-    rows = values(spark, "(1, 'IEC61547'), (2, ' GB  7000-.202'), (3, 'GBT 20145') AS v(id, s)")
-    return rows.select("id", X.standard_number(F.col("s")).alias("number"))
+    """Numbers made of documents' fields, in several spellings, in tidy form."""
+    n, i = F.col("n_chars").cast("string"), F.col("doc_id").cast("string")
+    spelled = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("IEC"), n)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" GB\u3000 "), n, F.lit("-."), i)).otherwise(F.concat(F.lit("GBT\t"), "lang", F.lit(" ")))
+    return t(spark, d, "documents").select("doc_id", X.standard_number(spelled).alias("number"))
 
 
-@query("SELECT * FROM (VALUES (1, 21, true, true), (2, 3, true, true), (3, 0, false, false), (4, 4, true, false)) v(id, lcs, by_min, by_max)")
+@query(f"""WITH l AS (SELECT doc_id, page, length(text) AS n, length(text) // 7 AS k, length(text) // 10 AS more FROM ({PAGES}) WHERE text <> '')
+SELECT doc_id, page, (n - k)::INT AS lcs, k = 0 OR (n >= 4 AND (n - k) / n >= 0.85) AS by_min, k = 0 OR (n >= 4 AND (n - k) / (n + more) >= 0.85) AS by_max FROM l""")
 def fuzzy_match(spark, d):
-    """Longest common subsequences over the shorter or the longer length."""
-    rows = values(spark, "(1, 'abcdefghijklmnopqrstuv', 'abcdefghijkXmnopqrstuv'), (2, 'abc', 'xabcx'), (3, '', 'abc'), (4, 'abcd', 'a1b2c3d4') AS v(id, a, b)")
-    return rows.select("id", X.lcs_len("a", "b").alias("lcs"), X.fuzzy_matcher("min")("a", "b").alias("by_min"), X.fuzzy_matcher("max")("a", "b").alias("by_max"))
+    """Longest common subsequences of all lines with themselves, every seventh character another and a tail added: what is left of the line, over
+    the shorter or the longer length."""
+    lines = textsearch.pages_of(t(spark, d, "documents")).where("text <> ''")
+    other = F.concat(F.regexp_replace("text", "(?s)(.{6}).", "$1\u0001"), F.repeat(F.lit("\u0002"), F.floor(F.char_length("text") / 10).cast("int")))
+    pairs = lines.select("doc_id", "page", "text", other.alias("b"))
+    return pairs.select("doc_id", "page", X.lcs_len("text", "b").alias("lcs"), X.fuzzy_matcher("min")("text", "b").alias("by_min"), X.fuzzy_matcher("max")("text", "b").alias("by_max"))
 
 
 # ---- ingestion and chunks -----------------------------------------------------------------------------
@@ -175,8 +200,6 @@ def has_vectors_split(spark, d):
     return maintenance.collection_status(states)
 
 
-#: Normal form of a text, for characters of the driver's tables.
-NORM = r"regexp_replace(replace(lower({}), 'ß', 'ss'), '[\s!-/:-@\[-`{{-~。！？、；：（）【】「」『』《》·…—–]', '', 'g')"
 CHUNKS = """SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY pos) AS text, sum(n)::BIGINT AS n_tokens FROM (
  SELECT *, floor(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 512)::BIGINT AS chunk FROM (
  SELECT doc_id, pos, line, len(regexp_extract_all(line, '\\S+')) AS n FROM (SELECT doc_id, u.pos, u.line FROM documents, (SELECT unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line) u WHERE length(text) >= 20))) GROUP BY 1, 2"""
@@ -213,41 +236,58 @@ def clause_number(spark, d):
     return t(spark, d, "documents").select("doc_id", X.clause_number(F.col("text")).alias("clause_number"))
 
 
-MARKDOWN = "(1, 'intro\n# Title\n## One\n1.1 first\ntext\n1.2 second\n## Two\n2.1 third'), (2, 'no heading'), (3, '## Alone')"
 
 
-@query("SELECT * FROM (VALUES (1, 'Title', true), (2, NULL, false), (3, 'Alone', true)) v(id, section_path, has_heading)")
+@query(f"SELECT page_id, nullif(trim(regexp_extract(text, '(?m)^#{{1,6}}\\s+(.+)', 1), ' '), '') AS section_path, regexp_matches(text, '(?m)^#{{1,6}}\\s+\\S') AS has_heading FROM ({ARTICLES})")
 def section_path(spark, d):
-    rows = values(spark, MARKDOWN + " AS v(id, s)")
-    return rows.select("id", X.section_path(F.col("s")).alias("section_path"), X.has_heading(F.col("s")).alias("has_heading"))
+    """The first heading of each page's article."""
+    return page_texts(spark, d).select("page_id", X.section_path(F.col("text")).alias("section_path"), X.has_heading(F.col("text")).alias("has_heading"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'intro' || chr(10)), (1, 1, '# Title' || chr(10)), (1, 2, '## One' || chr(10) || '1.1 first' || chr(10) || 'text' || chr(10) || '1.2 second' || chr(10)), (1, 3, '## Two' || chr(10) || '2.1 third'), (3, 0, '## Alone')) v(id, chunk, text)")
+@query(f"""WITH a AS (SELECT *, instr(text, chr(10) || '# ') AS p0 FROM ({ARTICLES})), c AS (SELECT page_id, 0 AS i, substr(text, 1, p0) AS part FROM a WHERE p0 > 0 UNION ALL SELECT page_id, 1, substr(text, p0 + 1) FROM a WHERE p0 > 0)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS chunk, sha256(part) AS text_hash FROM c WHERE trim(part, ' ') <> ''""")
 def heading_chunks(spark, d):
-    return chunking.heading_chunks(values(spark, MARKDOWN + " AS v(id, s)"), id_col="id", text_col="s")
+    """The articles, cut before each heading."""
+    return chunking.heading_chunks(page_texts(spark, d), id_col="page_id").select("page_id", "chunk", X.content_hash(F.col("text")).alias("text_hash"))
+
 
+LEVELS = " ".join(f"WHEN regexp_matches(l, '{p}') THEN {n}" for p, n in X.HEADING_RULES)
 
-@query("SELECT * FROM (VALUES (1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 5), (7, 6), (8, NULL), (9, NULL)) v(id, level)")
+
+@query(f"""WITH l AS (SELECT conv_id, turn, pos, trim((CASE (pos + turn) % 4 WHEN 0 THEN '第' || '三' || '章 ' WHEN 1 THEN (pos + 1) || '.' || (turn + 1) || '.2 ' WHEN 2 THEN '(' || (turn + 1) || ') ' ELSE '' END) || substr(line, 1, 60), ' ') AS l FROM conversations, {LINES.format("text")} u)
+SELECT conv_id, turn, pos::INT AS pos, CASE WHEN length(l) BETWEEN 2 AND 80 AND NOT contains('{X.TITLE_ENDS}', right(l, 1)) THEN CASE {LEVELS} END END::INT AS level FROM l""")
 def heading_level(spark, d):
-    rows = values(spark, "(1, '第一章 总则'), (2, '第二节'), (3, '第三条 范围'), (4, '1.2.3 x'), (5, '1.2 scope'), (6, '1. general'), (7, '(1) item'), (8, '第一章。'), (9, 'plain words') AS v(id, s)")
-    return rows.select("id", X.heading_level(F.col("s")).alias("level"))
+    """Levels of the lines of all turns, which get the marks of headings in turn; a heading is short, so 60 characters of each are taken."""
+    lines = structure.lines_of(t(spark, d, "conversations").withColumn("_id", F.struct("conv_id", "turn")), id_col="_id").select("_id.*", "pos", "line")
+    by = F.pmod(F.col("pos") + F.col("turn"), F.lit(4))
+    said = lambda c: (F.col(c) + 1).cast("string")
+    mark = F.when(by == 0, "第三章 ").when(by == 1, F.concat(said("pos"), F.lit("."), said("turn"), F.lit(".2 "))).when(by == 2, F.concat(F.lit("("), said("turn"), F.lit(") "))).otherwise("")
+    return lines.select("conv_id", "turn", "pos", X.heading_level(F.concat(mark, F.substring("line", 1, 60))).alias("level"))
+
 
+CHAPTERS = f"""WITH l AS (SELECT page_id, pos, line, nullif(regexp_extract(line, '^##\\s+(.+)$', 1), '') AS title FROM ({SUB_ARTICLES}), {LINES.format("text")} u),
+h AS (SELECT page_id, arg_min(title, pos) FILTER (WHERE title IS NOT NULL) AS chapter, min(pos) FILTER (WHERE title IS NOT NULL) AS a, max(pos) + 1 AS b FROM l GROUP BY 1)
+SELECT page_id, 1::BIGINT AS chapter_no, chapter, a::INT AS start_pos, b::INT AS end_pos, (SELECT count(DISTINCT nullif(regexp_extract(line, '^(\\d+(?:\\.\\d+)+)\\s', 1), '')) FROM l WHERE l.page_id = h.page_id AND pos >= a)::BIGINT AS n_clauses FROM h WHERE chapter IS NOT NULL"""
 
-@query("SELECT id, chapter_no::BIGINT AS chapter_no, chapter, start_pos, end_pos, n_clauses::BIGINT AS n_clauses FROM (VALUES (1, 1, 'One', 2, 6, 2), (1, 2, 'Two', 6, 8, 1), (3, 1, 'Alone', 0, 1, 0)) v(id, chapter_no, chapter, start_pos, end_pos, n_clauses)")
+
+@query(CHAPTERS)
 def chapter_segments(spark, d):
-    lines = structure.lines_of(values(spark, MARKDOWN + " AS v(id, s)"), id_col="id", text_col="s")
-    return structure.chapters(lines, id_col="id")
+    """Chapters of the articles, whose headings count as level two here, and how many clauses each has."""
+    lines = structure.lines_of(page_texts(spark, d, "##"), id_col="page_id")
+    return structure.chapters(lines, id_col="page_id")
 
 
-@query("SELECT * FROM (VALUES (1, '1 One (2)' || chr(10) || '2 Two (1)'), (3, '1 Alone (0)')) v(id, outline)")
+@query(f"SELECT page_id, chapter_no || ' ' || chapter || ' (' || n_clauses || ')' AS outline FROM ({CHAPTERS})")
 def structure_outline(spark, d):
-    return structure.outline(chapter_segments(spark, d), id_col="id")
+    return structure.outline(chapter_segments(spark, d), id_col="page_id")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'a'), (1, 1, '<TABLE>'), (1, 4, 'b')) v(id, pos, line)")
+@query(f"SELECT doc_id, pos::INT AS pos, CASE WHEN pos % 5 = 1 THEN '<TABLE>' ELSE line END AS line FROM documents, {LINES.format('text')} u WHERE pos % 5 IN (0, 1, 4)")
 def html_table_strip(spark, d):
-    rows = values(spark, "(1, 'a\n<table><tr>\n<td>x</td>\n</tr></table>\nb') AS v(id, s)")
-    return structure.without_tables(structure.lines_of(rows, id_col="id", text_col="s"), id_col="id")
+    """Documents of whose every five lines the second to the fourth are made a table, without these tables."""
+    lines = structure.lines_of(t(spark, d, "documents"))
+    by = F.col("pos") % 5
+    return structure.without_tables(lines.withColumn("line", F.when(by == 1, F.concat(F.lit("<table><tr><td>"), "line")).when(by == 3, F.concat("line", F.lit("</td></tr></TABLE>"))).otherwise(F.col("line"))))
 
 
 @query("""SELECT doc_id, pos - 1 AS pos, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM (
@@ -258,9 +298,11 @@ def merged_lines(spark, d):
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
 
 
-@query("SELECT doc_id, page, n, first_block::BIGINT AS first_block FROM (VALUES (1, 0, 3, 0), (1, 1, 0, 3), (1, 2, 2, 3)) v(doc_id, page, n, first_block)")
+@query(f"SELECT doc_id, page, n, (coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first_block FROM (SELECT doc_id, page, len(regexp_extract_all(text, '\\S+'))::INT AS n FROM ({PAGES}))")
 def block_offsets(spark, d):
-    return structure.running_offset(values(spark, "(1, 0, 3), (1, 1, 0), (1, 2, 2) AS v(doc_id, page, n)"), "n")
+    """Words on the pages before each page."""
+    pages = textsearch.pages_of(t(spark, d, "documents")).select("doc_id", "page", F.regexp_count("text", F.lit(r"\S+")).alias("n"))
+    return structure.running_offset(pages, "n")
 
 
 @query("""SELECT doc_id, CASE WHEN 1000 >= length(text) THEN '[end of chapter]' ELSE substr(text, 1001, 1000) || CASE WHEN length(text) > 2000 THEN chr(10) || '[continues at 2000]' ELSE '' END END AS body FROM documents""")
@@ -280,25 +322,34 @@ def page_count_estimate(spark, d):
     return t(spark, d, "documents").select("doc_id", X.page_count_estimate(F.col("text")).alias("pages"))
 
 
-@query("SELECT * FROM (VALUES ('a.PDF', 'pdf', 'a.PDF'), ('b c.md', 'md', 'b_c.md'), ('x.exe', NULL, 'x.exe'), ('none', NULL, 'none')) v(name, file_type, safe)")
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'md' WHEN 2 THEN 'docx' END AS file_type, regexp_replace(url, '[^\\w\\-.]', '_', 'g') AS safe FROM pages""")
 def file_types(spark, d):
-    rows = values(spark, "('a.PDF'), ('b c.md'), ('x.exe'), ('none') AS v(name)")
-    return rows.select("name", readers.file_type(F.col("name")).alias("file_type"), X.file_name_sanitized(F.col("name")).alias("safe"))
+    """Types of files named after the pages, and names made safe from their addresses."""
+    ending = F.get(F.array(*[F.lit(x) for x in (".PDF", ".markdown", ".doc", ".exe", "")]), (F.col("page_id") % 5).cast("int"))
+    named = t(spark, d, "pages").withColumn("name", F.concat(F.lit("file "), F.col("page_id").cast("string"), ending))
+    return named.select("page_id", readers.file_type(F.col("name")).alias("file_type"), X.file_name_sanitized(F.col("url")).alias("safe"))
 
 
-@query("SELECT doc_id, page, text, width, height, n_blocks, label, x0::DOUBLE AS x0 FROM (VALUES ('d', 0, 'p0', 100, 200, 1, 'text', 0.1), ('d', 1, 'p1', 50, 50, 0, NULL, NULL)) v(doc_id, page, text, width, height, n_blocks, label, x0)")
+@query(f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS page, sha256(line) AS text_hash, 100 AS width, 200 AS height, CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END AS n_blocks,
+ CASE WHEN pos % 4 = 0 THEN 'text' END AS label, CASE WHEN pos % 4 = 0 THEN 0.1 END::DOUBLE AS x0, CASE WHEN pos % 4 = 0 THEN sha256(line) END AS content_hash FROM documents, {LINES.format('text')} u WHERE pos % 4 <> 3""")
 def ocr_pages(spark, d):
-    """OCR output: pages numbered through the lines, boxes in shares of the page; bad lines are left out."""
-    line = '{"result":{"layoutParsingResults":[{"markdown":{"text":"p%s"},"width":%s,"height":%s%s}]}}'
-    first = line % (0, 1, 1, ',"prunedResult":{"image_size":[100,200],"parsing_res_list":[{"block_label":"text","block_content":"c","block_bbox":[10,20,50,60]}]}')
-    rows = spark.createDataFrame([("d", 0, first), ("d", 1, "not json"), ("d", 2, line % (1, 50, 50, ""))], "doc_id string, ord int, line string")
-    return readers.ocr_pages(rows).select("doc_id", "page", "text", "width", "height", F.size("blocks").alias("n_blocks"), F.get("blocks", F.lit(0))["block_label"].alias("label"), F.get(F.get("blocks", F.lit(0))["bbox_norm"], F.lit(0)).alias("x0"))
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'a', '{\"x\":1}'), (1, 2, 'c', '[]')) v(id, \"at\", event, data)")
+    """OCR output made of the lines of all documents, every fourth of them broken: pages numbered through the lines, boxes in shares of the page."""
+    lines = structure.lines_of(t(spark, d, "documents"))
+    block = F.struct(F.lit("text").alias("block_label"), F.col("line").alias("block_content"), F.array(*[F.lit(x) for x in (10.0, 20.0, 50.0, 60.0)]).alias("block_bbox"))
+    blocks = F.when(F.col("pos") % 4 == 0, F.array(block))
+    page = F.struct(F.struct(F.col("line").alias("text")).alias("markdown"), F.lit(1).alias("width"), F.struct(F.array(F.lit(100), F.lit(200)).alias("image_size"), blocks.alias("parsing_res_list")).alias("prunedResult"))
+    said = F.to_json(F.struct(F.struct(F.array(page).alias("layoutParsingResults")).alias("result")))
+    rows = lines.select("doc_id", F.col("pos").alias("ord"), F.when(F.col("pos") % 4 == 3, F.concat(F.lit("not json "), "line")).otherwise(said).alias("line"))
+    first = F.get(F.col("blocks"), F.lit(0))
+    return readers.ocr_pages(rows).select("doc_id", "page", X.content_hash(F.col("text")).alias("text_hash"), "width", "height", F.size("blocks").alias("n_blocks"), first["block_label"].alias("label"), F.get(first["bbox_norm"], F.lit(0)).alias("x0"), X.content_hash(first["block_content"]).alias("content_hash"))
+
+
+@query("""SELECT event_id, "at", event, data FROM (SELECT event_id, 0 AS "at", event_type AS event, props AS data FROM events UNION ALL SELECT event_id, 2, 'value', '[' || user_id || ']' FROM events)""")
 def sse_events(spark, d):
-    rows = spark.createDataFrame([(1, 'event: a\ndata: {"x":1}\n\nevent: b\ndata: {bad\n\nevent: c\ndata: []\n\ndata: {}')], "id int, text string")
-    return readers.sse_events(rows)
+    """Events as server-sent ones, with blocks among them whose data is no JSON or that have no name."""
+    e = t(spark, d, "events")
+    text = F.concat(F.lit("event: "), "event_type", F.lit("\ndata: "), "props", F.lit("\n\nevent: b\ndata: {bad\n\nevent: value\ndata: ["), F.col("user_id").cast("string"), F.lit("]\n\ndata: {}"))
+    return readers.sse_events(e.select("event_id", text.alias("text")))
 
 
 # ---- findings -------------------------------------------------------------------------------------------
@@ -409,9 +460,11 @@ def latest_state(spark, d):
     return maintenance.latest(t(spark, d, "events"), "user_id")
 
 
-@query("SELECT * FROM (VALUES ('building', 'none'), ('pending_index', 'none'), ('indexing', 'pending_index'), ('processing', 'failed'), ('embedded', 'embedded')) v(state, recovered)")
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'none' WHEN 'view' THEN 'none' WHEN 'signup' THEN 'pending_index' WHEN 'error' THEN 'failed' ELSE 'embedded' END AS recovered FROM events")
 def state_recovery(spark, d):
-    return maintenance.recovered(values(spark, "('building'), ('pending_index'), ('indexing'), ('processing'), ('embedded') AS v(state)"))
+    """What states that a crash left behind become; event types stand for states."""
+    state = F.create_map(*[F.lit(x) for x in ("click", "building", "view", "pending_index", "signup", "indexing", "error", "processing", "purchase", "embedded")])[F.col("event_type")]
+    return maintenance.recovered(t(spark, d, "events").select("event_id", state.alias("state"))).select("event_id", "recovered")
 
 
 @query("""WITH f AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang, length(text) < 100 ORDER BY 'd' || doc_id) AS r, length(text) < 100 AS bad FROM documents),
@@ -438,17 +491,17 @@ def replace_documents(spark, d):
 
 
 def retrieved(spark, d):
-    """Documents that hold a benchmark item's first 20 characters, by id; the item's words are what is expected."""
+    """Documents that hold a benchmark item, by id; the item's first words are what is expected."""
     items = t(spark, d, "benchmark")
     words = F.slice(F.split("text", " "), 1, 5)
     expected = items.select(F.col("item_id").alias("case_id"), F.lit(0).alias("expected_id"), words.alias("keywords"))
-    start = items.select(F.col("item_id").alias("case_id"), F.substring("text", 1, 20).alias("needle"))
+    start = items.select(F.col("item_id").alias("case_id"), F.col("text").alias("needle"))
     found = textsearch.holding(t(spark, d, "documents").select("doc_id", "text"), start)
     rank = F.row_number().over(evaluation.Window.partitionBy("case_id").orderBy("doc_id"))
     return found.select("case_id", rank.alias("rank"), F.col("text").alias("content")), expected
 
 
-CASES = """WITH e AS (SELECT item_id AS case_id, string_split(text, ' ')[1:5] AS k, substr(text, 1, 20) AS s FROM benchmark),
+CASES = """WITH e AS (SELECT item_id AS case_id, string_split(text, ' ')[1:5] AS k, text AS s FROM benchmark),
 r AS (SELECT e.case_id, row_number() OVER (PARTITION BY e.case_id ORDER BY doc_id) AS rank, text AS content, k FROM documents JOIN e ON contains(text, s)),
 m AS (SELECT *, len(list_filter(k, lambda x: contains(content, x))) AS h FROM r), g AS (SELECT *, h = len(k) OR (len(k) > 1 AND h >= greatest(1, floor(len(k) * 0.7::DOUBLE))) AS ok FROM m),
 a AS (SELECT case_id, count(*) AS results, count_if(rank <= 3)::BIGINT AS shown, count_if(ok AND rank <= 3)::BIGINT AS top, min(rank) FILTER (WHERE ok) AS first FROM g GROUP BY 1)
@@ -484,9 +537,14 @@ def score_stats(spark, d):
     return t(spark, d, "documents").agg(F.min("n_chars").alias("least"), F.median("n_chars").alias("middle"), F.round(F.avg("n_chars"), 4).alias("mean"), F.count_if(F.col("n_chars") >= 1000).alias("passed"))
 
 
-@query("SELECT s.v AS size, o.v AS overlap, k.v AS top_k FROM (VALUES (256), (512), (1024)) s(v), (VALUES (0), (50)) o(v), (VALUES (3), (5)) k(v)")
+@query("""WITH g AS (SELECT s.v AS size, o.v AS overlap FROM (VALUES (256), (512), (1024)) s(v), (VALUES (0), (50)) o(v)), w AS (SELECT lang, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)
+SELECT lang, size, overlap, sum(greatest(n - overlap - 1, 0) // (size - overlap) + 1)::BIGINT AS chunks FROM w, g WHERE n > 0 GROUP BY ALL""")
 def param_grid(spark, d):
-    return evaluation.grid(spark, size=[256, 512, 1024], overlap=[0, 50], top_k=[3, 5]).select(*[F.col(c).cast("int").alias(c) for c in ("size", "overlap", "top_k")])
+    """How many chunks each combination of size and overlap makes of each language's documents."""
+    grid = evaluation.grid(spark, size=[256, 512, 1024], overlap=[0, 50]).select(F.col("size").cast("int").alias("size"), F.col("overlap").cast("int").alias("overlap"))
+    words = t(spark, d, "documents").select("lang", F.regexp_count("text", F.lit(r"\S+")).alias("n")).where("n > 0")
+    pieces = F.floor(F.greatest(F.col("n") - F.col("overlap") - 1, F.lit(0)) / (F.col("size") - F.col("overlap"))) + 1
+    return words.crossJoin(F.broadcast(grid)).groupBy("lang", "size", "overlap").agg(F.sum(pieces).alias("chunks"))  # as many rows as combinations
 
 
 # ---- messages and streams ---------------------------------------------------------------------------------
@@ -498,9 +556,12 @@ def source_ids(spark, d):
     return t(spark, d, "documents").select("doc_id", X.source_id(F.col("doc_id").cast("string"), page).alias("source_id"))
 
 
-@query("SELECT * FROM (VALUES (1, ['a', 'b']), (2, [])) v(id, suggestions)".replace("[])", "[]::VARCHAR[])"))
+@query("SELECT doc_id, len(l) - 1 AS n, sha256(array_to_string(list_transform(l[2:], lambda x: trim(x, ' ')), '|')) AS suggestions_hash FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
 def suggestions(spark, d):
-    return values(spark, "(1, 'text\n> a\n  > b\nend'), (2, 'none') AS v(id, s)").select("id", X.lines_with(F.col("s"), ">").alias("suggestions"))
+    """Lines that are marked as suggestions: here all but a document's first."""
+    marked = F.replace(F.col("text"), F.lit("\n"), F.lit("\n  > "))
+    found = t(spark, d, "documents").select("doc_id", X.lines_with(marked, ">").alias("s"))
+    return found.select("doc_id", F.size("s").cast("long").alias("n"), X.content_hash(F.array_join("s", "|")).alias("suggestions_hash"))
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")
@@ -518,10 +579,14 @@ def trimmed_trace(spark, d):
     return messages.trimmed_trace(t(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content")))
 
 
-@query("SELECT * FROM (VALUES (1, 1, 'Law', 'd1', 3, 'body one'), (1, 3, 'Act', 'd2', 0, 'x')) v(id, n, name, doc_id, page, body)")
+@query("""WITH b AS (SELECT conv_id, turn, role, 'd' || (turn % 3) AS doc, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS r, regexp_replace(regexp_replace(coalesce(text, ''), '^[ \n]+', ''), '[ \n]+$', '') AS body FROM conversations)
+SELECT conv_id, (turn + 1)::INT AS n, role AS name, doc AS doc_id, turn::INT AS page, sha256(body) AS body_hash FROM b WHERE r = 1""")
 def tool_sources(spark, d):
-    rows = spark.createDataFrame([(1, "found:\n[1] Law (doc: d1, page: 3)\nbody one\n[2] Law (doc: d1, page: 4)\nmore\n[3] Act (doc: d2, page: 0)\nx")], "id int, text string")
-    return messages.tool_sources(rows)
+    """Turns as a tool's output about three documents: of the blocks that name one the first stays."""
+    c = t(spark, d, "conversations")
+    block = F.concat(F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("] "), "role", F.lit(" (doc: d"), (F.col("turn") % 3).cast("string"), F.lit(", page: "), F.col("turn").cast("string"), F.lit(")\n"), F.coalesce("text", F.lit("")))
+    said = messages.assembled(c.withColumn("block", F.concat(block, F.lit("\n"))), "conv_id", order="turn", text="block")
+    return messages.tool_sources(said).select("conv_id", "n", "name", "doc_id", "page", X.content_hash(F.col("body")).alias("body_hash"))
 
 
 @query("SELECT event_id, us::DOUBLE / 1000000 AS age_s, us::DOUBLE / 1000000 > 7200 AS expired FROM (SELECT event_id, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS us FROM events)")
@@ -565,9 +630,11 @@ def layout_probe(spark, d):
     return maintenance.layout_probe(blocks)
 
 
-@query("SELECT * FROM (VALUES ('pending', true, 'cancelled'), ('processing', true, 'cancelled'), ('completed', false, 'completed')) v(status, allowed, after)")
+@query("SELECT event_id, event_type IN ('signup', 'view') AS allowed, CASE event_type WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'cancelled' ELSE 'cancelled' END AS after FROM events")
 def task_transitions(spark, d):
-    return maintenance.transitions(values(spark, "('pending'), ('processing'), ('completed') AS v(status)"), "cancel")
+    """Which tasks can be cancelled, and their state then; event types stand for states."""
+    state = F.create_map(*[F.lit(x) for x in ("click", "completed", "view", "processing", "signup", "pending", "error", "failed", "purchase", "cancelled")])[F.col("event_type")]
+    return maintenance.transitions(t(spark, d, "events").select("event_id", state.alias("status")), "cancel").select("event_id", "allowed", "after")
 
 
 @query("""SELECT lang, count(*) AS total, count_if(coalesce(quality = 1, false))::BIGINT AS succeeded, count_if(NOT coalesce(quality = 1, false))::BIGINT AS failed,
@@ -579,19 +646,27 @@ def bulk_report(spark, d):
     return r.withColumn("failures", F.sha2(line, 256))
 
 
-@query("SELECT * FROM (VALUES (1, '{\"a\":1}', true), (2, 'plain', false), (3, '[1]', true)) v(id, json, ok)")
+@query("SELECT event_id, CASE event_id % 3 WHEN 2 THEN 'plain ' || event_type ELSE props END AS json, event_id % 3 <> 2 AS ok FROM events")
 def json_blocks(spark, d):
-    rows = spark.createDataFrame([(1, 'x ```json\n{"a":1}\n``` y'), (2, "plain"), (3, "[1]")], "id int, s string")
-    return rows.select("id", F.btrim(X.fenced_json(F.col("s")), F.lit(" \n")).alias("json")).withColumn("ok", F.try_parse_json("json").isNotNull())
+    """JSON in fences, by itself, or none."""
+    by = F.col("event_id") % 3
+    said = F.when(by == 0, F.concat(F.lit("x ```json\n"), "props", F.lit("\n``` y"))).when(by == 1, F.col("props")).otherwise(F.concat(F.lit("plain "), "event_type"))
+    return t(spark, d, "events").select("event_id", F.btrim(X.fenced_json(said), F.lit(" \n")).alias("json")).withColumn("ok", F.try_parse_json("json").isNotNull())
 
 
-@query("SELECT * FROM (VALUES (1, 7), (2, 0), (3, -1)) v(id, pos)")
+@query(f"SELECT page_id, instr(a.text, '# ') - 1 AS pos, instr(a.text, trim(regexp_extract(html, '<title>(.*?)</title>', 1), ' ')) - 1 AS by_title FROM ({ARTICLES}) a JOIN pages USING (page_id)")
 def chapter_locate(spark, d):
-    rows = values(spark, "(1, 'intro\n## 2 Two\n', '2', 'Two'), (2, '3 body', '3', 'Three'), (3, 'x', '4', 'Four') AS v(id, s, n, h)")
-    return rows.select("id", structure.located(F.col("s"), F.col("n"), F.col("h")).alias("pos"))
+    """Where the heading of each article stands, by its name, and where the page's title does from the heading's text on."""
+    titles = t(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
+    both = page_texts(spark, d).join(titles, "page_id")
+    return both.select("page_id", sections.located(F.col("text"), F.col("title"), F.lit(0)).alias("pos"), sections.located(F.col("text"), F.col("title"), F.lit(3)).alias("by_title"))
 
 
-@query("SELECT * FROM (VALUES (1, '## Scope' || chr(10) || chr(10) || 'text' || chr(10) || chr(10) || '<TABLE>' || chr(10) || 'a | b' || chr(10) || '</TABLE>')) v(doc_id, text)")
+@query(f"""WITH i AS (SELECT doc_id, pos, trim(line, ' ') AS x, least(greatest(pos % 8, 1), 6) AS level FROM documents, {LINES.format('text')} u WHERE trim(line, ' ') <> ''),
+l AS (SELECT doc_id, pos, CASE pos % 5 WHEN 0 THEN repeat('#', level::INT) || ' ' || x WHEN 4 THEN '<TABLE>' || chr(10) || x || chr(10) || '</TABLE>' ELSE x END AS line FROM i), p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM l)
+SELECT doc_id, sha256(string_agg(line, chr(10) || chr(10) ORDER BY pos)) AS text_hash FROM p WHERE p IS NULL OR p <> line GROUP BY 1""")
 def rebuilt_markdown(spark, d):
-    rows = values(spark, "(1, 0, 'title', 2, 'Scope'), (1, 1, 'text', NULL, 'text'), (1, 2, 'text', NULL, 'text'), (1, 3, 'text', NULL, '  '), (1, 4, 'table', NULL, 'a | b') AS v(doc_id, pos, kind, level, text)")
-    return structure.markdown(rows)
+    """Documents put together from their lines, of every five of which one is a title and one a table."""
+    by = F.col("pos") % 5
+    items = structure.lines_of(t(spark, d, "documents")).select("doc_id", "pos", F.when(by == 0, "title").when(by == 4, "table").otherwise("text").alias("kind"), (F.col("pos") % 8).alias("level"), F.col("line").alias("text"))
+    return structure.markdown(items).select("doc_id", X.content_hash(F.col("text")).alias("text_hash"))
\ No newline at end of file

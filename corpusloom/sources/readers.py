@@ -27,11 +27,6 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*", most_bytes:
     return files.select("path", name.alias("name"), file_type(name).alias("file_type"), "length", F.sha2("content", 256).alias("content_hash"), "content")
 
 
-def read_text(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, text`` of whole text files."""
-    return spark.read.option("wholetext", "true").text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-
-
 def parsed_files(files: DataFrame, parsers: dict | None = None) -> DataFrame:
     """``files`` with ``text`` and ``error``: text formats are decoded, others go to ``parsers[file_type]``, a function from
     bytes to text that runs in Arrow batches; a failure is recorded on its row alone."""
@@ -105,13 +100,19 @@ def sse_events(texts: DataFrame, *, text_col: str = "text") -> DataFrame:
     return rows.select(*rest, "at", F.regexp_extract("block", r"(?m)^event: ?(.*)$", 1).alias("event"), data.alias("data")).where(F.try_parse_json("data").isNotNull())
 
 
-def write_table(df: DataFrame, path: str, *, partition: str | None = None, mode: str = "overwrite") -> None:
-    """One committed write; a partitioned overwrite replaces only the partitions that ``df`` has."""
-    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+def json_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Records of the JSON lines of all files under ``path``, and the lines that are not of that form: ``file, at, record`` and
+    ``file, at, line``; ``at`` ascends within a file.  Blank lines are neither."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_n"), F.col("value").alias("line"))
+    told = lines.where(F.trim("line") != "").select("file", F.struct("_from", "_n").alias("at"), "line", F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("record"))
+    good = F.col("record").isNotNull() & F.col("record._bad").isNull()
+    return told.where(good).select("file", "at", F.col("record").dropFields("_bad").alias("record")), told.where(~good).select("file", "at", "line")
 
 
-def with_dimension_checked(vectors: DataFrame, dim: int, vector_col: str = "embedding") -> DataFrame:
-    """``vectors``; a row of another dimension makes the write fail."""
-    wrong = F.raise_error(F.concat(F.lit(f"expected {dim} dimensions, found "), F.size(vector_col).cast("string")))
-    return vectors.withColumn(vector_col, F.when(F.size(vector_col) == dim, F.col(vector_col)).otherwise(wrong))
+def parse_route(files: DataFrame, cache: DataFrame, version: str, *, least: int = 20) -> DataFrame:
+    """``files`` (``content_hash, layer_text, ocr_text``) with ``text`` and ``route``: what the cache has of the content and version, else the text layer if
+    it holds ``least`` characters, else what OCR gave; ``error`` where all are missing.  Of equal cache entries any holds."""
+    known = with_parse_cache(files, cache.dropDuplicates(["content_hash", "version"]), version)
+    layer = F.when(F.char_length("layer_text") >= least, F.col("layer_text"))
+    route = F.when(F.col("cached").isNotNull(), "cache").when(layer.isNotNull(), "text_layer").when(F.col("ocr_text").isNotNull(), "ocr").otherwise("error")
+    return known.withColumn("text", F.coalesce("cached", layer, "ocr_text")).withColumn("route", route).drop("cached", "cache_state")

@@ -63,18 +63,20 @@ def session_ages(events: DataFrame, key: str = "user_id", *, ts: str = "ts", sec
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str, key: str = "content_hash"):
-    """New contents of a stream of documents are appended to a table; known ones are left out."""
+    """New contents of a stream of documents are appended to a table; known ones are left out.  The table is kept by the first two characters of
+    ``key``, a hash, and each batch reads its own parts of it alone."""
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("_part", F.substring(key, 1, 2))
+        parts = [r["_part"] for r in fresh.select("_part").distinct().collect()]  # at most 256 of a hexadecimal hash
         try:
-            known = spark.read.parquet(table).select(key)
+            known = spark.read.parquet(table).where(F.col("_part").isin(parts)).select(key)
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         else:
             fresh = fresh.join(known, key, "left_anti")
-        fresh.write.mode("append").parquet(table)
+        fresh.write.mode("append").partitionBy("_part").parquet(table)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

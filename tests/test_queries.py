@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from corpusloom.plans import more as plans
+from corpusloom.plans import further as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
