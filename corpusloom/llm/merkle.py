@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .importance import CRC32
 from .ranks import numbered
 
 FAN = 16
@@ -228,3 +229,33 @@ def op13_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     names = ["doc_id", "source", "lang", "n_chars"]
     return manifest(docs, claimed=F.when(hit, digest_of(*[F.col(c) for c in names], changed)))
+
+
+def _enc(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _levels(tag: str, count: int) -> str:
+    """Of nodes ``{tag}0`` and leaves on their way ``{tag}p0``: runs, parents and the leaves' next step, level by level; a lone node stays."""
+    out = []
+    for i in range(count):
+        out.append(f"""{tag}r{i} AS (SELECT g, pos // 16 AS up, list(h ORDER BY pos) AS run, any_value(c) AS c FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {tag}{i}) GROUP BY 1, 2),
+{tag}{i + 1} AS (SELECT g, up AS pos, CASE WHEN c = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h FROM {tag}r{i}),
+{tag}p{i + 1} AS (SELECT k, p.g, up AS pos, CASE WHEN c = 1 THEN own ELSE sha256(array_to_string(list_concat(list_concat(run[1 : p.pos % 16], [own]), run[p.pos % 16 + 2 :]), '')) END AS own,
+ CASE WHEN c = 1 THEN proof ELSE proof || array_to_string(list_concat(run[1 : p.pos % 16], run[p.pos % 16 + 2 :]), '') END AS proof FROM {tag}p{i} p JOIN {tag}r{i} r ON p.g = r.g AND p.pos // 16 = r.up)""")
+    return ",\n".join(out)
+
+
+#: In DuckDB, for sources of at most 16 ** 4 documents and as many sources.
+DEPTH = 4
+SQL = f"""WITH d AS (SELECT *, {CRC32.format(s='CAST(doc_id AS VARCHAR)')} % 5 = 0 AS hit, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+l AS (SELECT row_number() OVER () AS k, doc_id, coalesce('s' || source, '-') AS g, sha256({' || '.join(map(_enc, ('doc_id', 'source', 'lang', 'n_chars', 'text')))}) AS leaf,
+ CASE WHEN hit THEN sha256({' || '.join(map(_enc, ('doc_id', 'source', 'lang', 'n_chars', 'low')))}) END AS claimed FROM d),
+m AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+s0 AS (SELECT g, pos, leaf AS h FROM m), sp0 AS (SELECT k, g, pos, coalesce(claimed, leaf) AS own, '' AS proof FROM m),
+{_levels('s', DEPTH)},
+named AS (SELECT g AS name, h, row_number() OVER (ORDER BY g) - 1 AS pos FROM s{DEPTH}),
+t0 AS (SELECT 'all' AS g, pos, h FROM named), tp0 AS (SELECT k, 'all' AS g, named.pos, own, proof FROM sp{DEPTH} p JOIN named ON p.g = named.name),
+{_levels('t', DEPTH)}
+SELECT doc_id, leaf, named.h AS subroot, t{DEPTH}.h AS root, sha256(p.proof) AS proof_sha256, p.own AS folded_root, p.own = t{DEPTH}.h AS verified
+FROM m JOIN named ON m.g = named.name JOIN tp{DEPTH} p ON m.k = p.k, t{DEPTH}"""

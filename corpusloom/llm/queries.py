@@ -7,7 +7,7 @@ from .embedding_dedup import op10_embedding_dedup
 from .fingerprints import op5_fingerprints
 from .licenses import op4_license_scan
 from .lm import op11_lm_scoring
-from . import importance, ngram_join
+from . import importance, merkle, ngram_join
 from .importance import op12_importance_resampling
 from .merkle import op13_merkle_manifest
 from .ngram_join import op3_ngram_join
@@ -37,4 +37,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ngram_join.SQL, "op12_importance_resampling": importance.SQL}
+    return {"op3_ngram_join": ngram_join.SQL, "op12_importance_resampling": importance.SQL, "op13_merkle_manifest": merkle.SQL}

@@ -224,7 +224,7 @@ def test_manifest_without_rows_and_proofs(spark):
         assert own == r["root"] and r["verified"]
 
 
-@pytest.mark.parametrize("module, query", [(importance, "op12_importance_resampling")])
+@pytest.mark.parametrize("module, query", [(importance, "op12_importance_resampling"), (merkle, "op13_merkle_manifest")])
 def test_sql_forms(spark, small, module, query):
     con = duckdb.connect()
     for name in ("documents", "benchmark"):
