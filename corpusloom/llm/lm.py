@@ -15,16 +15,16 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections import defaultdict
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, row_blocks, shared_folder
+from .bpe import span_hashes
+from .common import mixed, row_blocks, shared_folder, text_bytes
 
 BLOCK_BYTES = 4 << 20
 #: Tokens of the corpus to a bucket of questions.
@@ -32,7 +32,6 @@ BUCKET_TOKENS = 500_000
 #: Tokens that one lane of the traversal goes through; longer texts are cut into lanes that overlap by a context.
 LANE = 128
 
-_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Numbers of words: 0 unknown, 1 the start of a text, others from 2.
 START = 1
 
@@ -64,17 +63,21 @@ def text_blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for piece in row_blocks(batch, "text", BLOCK_BYTES):
-                own: defaultdict = defaultdict()
-                own.default_factory = own.__len__
-                own[b""]
-                tokens, sizes = [], []
-                for text in piece.column("text").to_pylist():
-                    found = (text or "").encode().translate(_LOWER).split()
-                    tokens += map(own.__getitem__, found)
-                    tokens.append(0)
-                    sizes.append(len(found) + 1)
-                row = [pa.array([number]), pa.array([piece.column("id").to_pylist()], pa.list_(batch.schema.field("id").type)), pa.array([piece.column("train").to_pylist()], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*row, pa.array([packed(np.array(tokens))], pa.binary()), pa.array([len(tokens)]), pa.array([list(own)], pa.list_(pa.binary()))], ["block", "ids", "train", "sizes", "tokens", "n", "words"])
+                lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(piece.column("text"), "")))
+                found, sizes = lists.flatten(), np.asarray(pc.list_value_length(lists))
+                real = np.asarray(pc.binary_length(found)) > 0  # what stands before leading white space is no word
+                sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+                coded = found.filter(pa.array(real)).dictionary_encode()
+                words = pa.concat_arrays([pa.array([b""]), coded.dictionary.cast(pa.binary())])
+                tokens = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
+                inside = np.ones(len(tokens), bool)
+                inside[np.cumsum(sizes + 1) - 1] = False
+                tokens[inside] = np.asarray(coded.indices) + 1
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number]), one(piece.column("id")), one(piece.column("train")), one(pa.array(sizes + 1, pa.int32())), pa.array([packed(tokens)], pa.binary()), pa.array([len(tokens)]), one(words)],
+                    ["block", "ids", "train", "sizes", "tokens", "n", "words"],
+                )
                 number += 1
 
     given = docs.select(F.col(id_col).alias("id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.col(text_col).alias("text"))
@@ -89,20 +92,29 @@ def trained(row: dict, tokens: np.ndarray, words: int) -> np.ndarray:
 # ---- words ------------------------------------------------------------------------------------------
 
 
+def dealt(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the words by buckets of a hash of their bytes, where each bucket that has any begins in it (and the end), and the bucket."""
+    data, offsets = text_bytes(words.cast(pa.string()))
+    place = mixed(span_hashes(data, offsets[:-1], offsets[1:]) + np.diff(offsets).astype(np.uint64)) % np.uint64(buckets)
+    order = np.argsort(place.astype(np.uint16) if buckets <= 1 << 16 else place, kind="stable")
+    place = place[order].astype(np.int64)
+    cuts = np.flatnonzero(np.append(True, np.diff(place) > 0))
+    return order, np.append(cuts, len(order)), place[cuts]
+
+
 def asked_words(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                words = row["words"]
+            for i, row in enumerate(batch.select(["block", "train", "sizes", "tokens", "n"]).to_pylist()):
+                words = batch.column("words")[i].values
                 counts = trained(row, unpacked(row["tokens"], row["n"]), len(words))
-                place = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
-                order = np.argsort(place, kind="stable")
-                cuts = np.flatnonzero(np.append(True, np.diff(place[order]) > 0))
-                parts = np.split(order, cuts[1:])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(place[order[cuts]].astype(np.int32)), pa.array([row["block"]] * len(parts)), pa.array([[words[i] for i in part] for part in parts], pa.list_(pa.binary())),
-                    pa.array([packed(counts[part]) for part in parts], pa.binary()),
-                ], ["bucket", "block", "words", "counts"])
+                order, cuts, places = dealt(words, buckets)
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.take(pa.array(order)))
+                counts = counts[order]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(places, pa.int32()), pa.array([row["block"]] * len(places)), lists, pa.array([packed(counts[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())], pa.binary())],
+                    ["bucket", "block", "words", "counts"],
+                )
 
     return blocks.select("block", "train", "sizes", "tokens", "n", "words").mapInArrow(run, "bucket int, block long, words array<binary>, counts binary")
 
@@ -112,18 +124,21 @@ def answered_words(asked: DataFrame, buckets: int) -> DataFrame:
     holds, once a bucket, how many words have a count."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["block"])  # so that a repeated task gives the same numbers
-        total: dict = {}
-        for r in rows:
-            for w, c in zip(r["words"], unpacked(r["counts"], len(r["words"])).tolist()):
-                total[w] = total.get(w, 0) + c
-        bucket, number = rows[0]["bucket"], {}
-        for w, c in total.items():
-            number[w] = len(number) * buckets + bucket + 2 if c else 0
-        out = [(r["block"], bucket, packed(np.array([number[w] for w in r["words"]])), packed(np.array([total[w] for w in r["words"]])), sum(c > 0 for c in total.values()) if i == 0 else 0) for i, r in enumerate(rows)]
-        return pa.table({k: pa.array(v, t) for (k, t), v in zip(ANSWER, zip(*out))})
+        group = group.take(pc.sort_indices(group.column("block"))).combine_chunks()  # so that a repeated task gives the same numbers
+        lists = group.column("words").combine_chunks()
+        ends = np.cumsum(np.asarray(pc.list_value_length(lists))).tolist()
+        starts = [0, *ends[:-1]]
+        coded = lists.flatten().dictionary_encode()
+        codes = np.asarray(coded.indices)
+        asked_ = np.concatenate([unpacked(c, b - a) for c, a, b in zip(group.column("counts").to_pylist(), starts, ends)])
+        total = np.bincount(codes, weights=asked_, minlength=len(coded.dictionary)).astype(np.int64)
+        bucket = group.column("bucket")[0].as_py()
+        number = np.where(total > 0, np.arange(len(total)) * buckets + bucket + 2, 0)[codes]
+        total_ = total[codes]
+        known = [int((total > 0).sum())] + [0] * (len(ends) - 1)
+        parts = lambda v: pa.array([packed(v[a:b]) for a, b in zip(starts, ends)], pa.binary())
+        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "numbers": parts(number), "counts": parts(total_), "known": pa.array(known, pa.int64())})
 
-    ANSWER = [("block", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("counts", pa.binary()), ("known", pa.int64())]
     return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, numbers binary, counts binary, known long")
 
 
@@ -132,15 +147,13 @@ def with_numbers(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFra
     kind = dict(blocks.dtypes)["ids"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.select(["words", "tokens", "n"]).to_pylist()[0]
+        row = left.select(["tokens", "n"]).to_pylist()[0]
         told = {r["bucket"]: r for r in right.to_pylist()}
-        place = np.fromiter((crc32(w) % buckets for w in row["words"]), np.int64, len(row["words"]))
-        numbers, counts = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        order = np.argsort(place, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(place[order]) > 0))
-        for part in np.split(order, cuts[1:]):
-            r = told[int(place[part[0]])]
-            numbers[part], counts[part] = unpacked(r["numbers"], len(part)), unpacked(r["counts"], len(part))
+        words = left.column("words").combine_chunks().flatten()
+        order, cuts, places = dealt(words, buckets)
+        numbers, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for place, a, b in zip(places.tolist(), cuts.tolist(), cuts[1:].tolist()):
+            numbers[order[a:b]], counts[order[a:b]] = unpacked(told[place]["numbers"], b - a), unpacked(told[place]["counts"], b - a)
         rank = np.argsort(numbers, kind="stable")
         to = np.empty_like(rank)
         to[rank] = np.arange(len(rank))
