@@ -242,9 +242,29 @@ def ranked(found: DataFrame, k: int, query_id: str) -> DataFrame:
 def audited(index: VectorIndex, queries: DataFrame, k: int, *, probes: int = 8, query_id: str = "query_id", vector_col: str = "embedding") -> DataFrame:
     """``asked, found, recall`` of a search through ``probes`` cells against the exact one, over all the given queries; a row counts as found if its
     score is at least the exact ``k``-th one."""
+    return held_against(index, queries, exact_bounds(index, queries, k, query_id, vector_col), k, probes, query_id, vector_col)
+
+
+def exact_bounds(index: VectorIndex, queries: DataFrame, k: int, query_id: str, vector_col: str) -> DataFrame:
+    true = searched(index, queries, k, exact=True, query_id=query_id, vector_col=vector_col)
+    return true.groupBy(query_id).agg(F.min("score").alias("least"), F.count("*").alias("asked"))
+
+
+def held_against(index: VectorIndex, queries: DataFrame, bounds: DataFrame, k: int, probes: int, query_id: str, vector_col: str) -> DataFrame:
     near = searched(index, queries, k, probes=probes, query_id=query_id, vector_col=vector_col)
-    true = searched(index, queries, k, probes=probes, exact=True, query_id=query_id, vector_col=vector_col)
-    least_ = true.groupBy(query_id).agg(F.min("score").alias("least"), F.count("*").alias("asked"))
-    met = near.groupBy(query_id).agg(F.collect_list("score").alias("scores"))
-    both = least_.join(met, query_id, "left").select("asked", F.size(F.filter(F.coalesce("scores", F.array().cast("array<double>")), lambda s: s >= F.col("least"))).alias("found"))
+    met = near.groupBy(query_id).agg(F.collect_list("score").alias("scores"))  # k scores at most
+    both = bounds.join(met, query_id, "left").select("asked", F.size(F.filter(F.coalesce("scores", F.array().cast("array<double>")), lambda s: s >= F.col("least"))).alias("found"))
     return both.agg(F.sum("asked").alias("asked"), F.sum("found").cast("long").alias("found")).withColumn("recall", F.col("found") / F.col("asked"))
+
+
+def probes_for(index: VectorIndex, queries: DataFrame, k: int, *, least_recall: float = 0.95, start: int = 4, query_id: str = "query_id", vector_col: str = "embedding") -> tuple[int, float]:
+    """How many cells, doubled from ``start``, a search of such ``queries`` must look into for the recall wanted, and the recall they were found to give; all cells
+    at most.  The exact results are taken once."""
+    bounds = exact_bounds(index, queries, k, query_id, vector_col).persist()
+    probes = start
+    while True:
+        recall = held_against(index, queries, bounds, k, probes, query_id, vector_col).first()["recall"]
+        if recall is None or recall >= least_recall or probes >= len(index.centroids):
+            bounds.unpersist()
+            return min(probes, len(index.centroids)), recall or 0.0
+        probes *= 2
