@@ -21,6 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Arrow gives what it frees back to the system, so that workers that live on between stages stay small.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; where it is unset, a local one if all of Spark runs here, as in tests."""
     context = spark.sparkContext
