@@ -81,7 +81,7 @@ HEAD = BLANK.format(r"regexp_extract(text, '(?m)^# (.*)$', 1)")
 
 
 @query(f"""WITH p AS ({ARTICLES}), h AS (SELECT *, instr(text, '# ') AS p0, {HEAD} AS head FROM p)
-SELECT page_id, 0 AS chapter, nullif(regexp_extract(head, '^(\\d+(?:\\.\\d+)*)', 1), '') AS number, {BLANK.format("regexp_replace(head, '^\\d+(?:\\.\\d+)*\\.?\\s*', '')")} AS title, sha256({BLANK.format("substr(text, p0)")}) AS text_hash FROM h WHERE p0 > 0""".replace("'^(\\\\d", "'^(\\d"))
+SELECT page_id, 0 AS chapter, nullif(regexp_extract(head, '^(\\d+(?:\\.\\d+)*)', 1), '') AS number, {BLANK.format("regexp_replace(regexp_replace(head, '\\*\\*(.*?)\\*\\*', '\\1', 'g'), '^\\d+(?:\\.\\d+)*\\.?\\s*', '')")} AS title, sha256({BLANK.format("substr(text, p0)")}) AS text_hash FROM h WHERE p0 > 0""".replace("'^(\\\\d", "'^(\\d"))
 def page_chapters(spark, d):
     """The chapters of the pages' articles: each has a heading of level one, which begins it."""
     docs = page_texts(spark, d)

@@ -654,12 +654,12 @@ def json_blocks(spark, d):
     return t(spark, d, "events").select("event_id", F.btrim(X.fenced_json(said), F.lit(" \n")).alias("json")).withColumn("ok", F.try_parse_json("json").isNotNull())
 
 
-@query(f"SELECT page_id, instr(a.text, '# ') - 1 AS pos, instr(a.text, trim(regexp_extract(html, '<title>(.*?)</title>', 1), ' ')) - 1 AS by_title FROM ({ARTICLES}) a JOIN pages USING (page_id)")
+@query(f"SELECT page_id, instr(a.text, '# ') - 1 AS pos FROM ({ARTICLES}) a")
 def chapter_locate(spark, d):
-    """Where the heading of each article stands, by its name, and where the page's title does from the heading's text on."""
+    """Where the heading of each article stands, by its name."""
     titles = t(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
     both = page_texts(spark, d).join(titles, "page_id")
-    return both.select("page_id", sections.located(F.col("text"), F.col("title"), F.lit(0)).alias("pos"), sections.located(F.col("text"), F.col("title"), F.lit(3)).alias("by_title"))
+    return both.select("page_id", sections.located(F.col("text"), F.col("title"), F.lit(0)).alias("pos"))
 
 
 @query(f"""WITH i AS (SELECT doc_id, pos, trim(line, ' ') AS x, least(greatest(pos % 8, 1), 6) AS level FROM documents, {LINES.format('text')} u WHERE trim(line, ' ') <> ''),
