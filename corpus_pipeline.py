@@ -42,8 +42,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 400-byte strings that occur elsewhere too."""
-    kept = without_repeats(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")], as_text=True)
+    """Texts without the bytes of 400-byte strings, and without passages of over 50 words, that occur elsewhere too."""
+    kept = without_repeats(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")], as_text=True, words=51)
     return renewed(kept, docs, F.col("kept"))
 
 

@@ -15,12 +15,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A-Z lower-cased, and the n + 1 bounds of each text's words."""
-    n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    low = _LOWER[data]
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes and ends of the words of all texts, and the n + 1 bounds of each text's words."""
+    if len(data) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     word = ~_BLANK[data]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
@@ -28,10 +26,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     opens[first] = word[first]
     closes = np.append(opens[1:] | ~word[1:], True) & word
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A-Z lower-cased, and the n + 1 bounds of each text's words."""
+    starts, ends, bounds = word_places(data, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint64), bounds
+    low = _LOWER[data]
     hashes = mixed(span_hashes(low, starts, ends) + (ends - starts).astype(np.uint64))
     for i in np.flatnonzero(ends - starts > 64).tolist():  # long words: no polynomial
         hashes[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, bounds
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:

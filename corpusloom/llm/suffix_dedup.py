@@ -14,6 +14,9 @@ A *window* is a string of ``length`` bytes.  Every byte of a window that starts
    anchors at a time, in bounded batches.
 4. Anchors with very many different surroundings are split by content into ever narrower sets of windows, down to single
    ones if need be, before they reach step 3.  So no task gathers an unbounded group.
+
+The same steps serve passages of words: a symbol is then a word's 64-bit hash instead of a byte, and lengths, places and
+spans count words.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import powers
 from .common import checkpointed, kept_names, mixed, released, row_blocks, spread_join, text_bytes
-from .shingles import word_hashes
+from .shingles import word_hashes, word_places
 
 BLOCK_BYTES = 1 << 20
 #: Low bits of a hash that give way to a place.
@@ -92,13 +95,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     return *(x[head] for x in (owner, key, hull, lo - base, hi - base, at - base)), to, tail - head + 1
 
 
-def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
+def symbols(column, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, or the hashes of their words, and the n + 1 offsets of the texts."""
+    data, offsets = text_bytes(column)
+    return word_hashes(data, offsets) if words else (data, offsets)
+
+
+def anchor_rows(docs: DataFrame, length: int, seed: int, words: bool = False) -> DataFrame:
     """One row for each anchor, or run of equal ones, of each row's text; texts shorter than ``length`` have none."""
 
     def run(batches):
         for batch in batches:
             for block in row_blocks(batch, "text", BLOCK_BYTES):
-                owner, key, hull, *places = anchors(*text_bytes(block.column("text")), length, seed)
+                owner, key, hull, *places = anchors(*symbols(block.column("text"), words), length, seed)
                 rows = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [block.column("id").take(rows), block.column("th").take(rows), pa.array(key.view(np.int64)), pa.array(hull.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in places)],
@@ -148,8 +157,8 @@ def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return repeated, released(open_.select(*columns).union(stand.select(*columns)))
 
 
-def surroundings(docs: DataFrame, rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """``rows`` with the bytes ``left`` and ``right`` of their anchors, read from the texts."""
+def surroundings(docs: DataFrame, rows: DataFrame, length: int, seed: int, words: bool = False) -> DataFrame:
+    """``rows`` with the symbols ``left`` and ``right`` of their anchors, read from the texts."""
     wanted = rows.groupBy("id", "th").agg(F.collect_list(F.struct("key", "hull", "lo", "hi", "at")).alias("rows"))
     wanted = wanted.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "rows")
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "text", "rows")
@@ -157,15 +166,15 @@ def surroundings(docs: DataFrame, rows: DataFrame, length: int, seed: int) -> Da
     def run(batches):
         for batch in batches:
             for block in row_blocks(batch, "text", BLOCK_BYTES):
-                data, offsets = text_bytes(block.column("text"))
-                buffer = data.tobytes()
+                data, offsets = symbols(block.column("text"), words)
+                buffer, size = data.tobytes(), data.itemsize
                 owner, out = [], []
                 for i, rows in enumerate(block.column("rows").to_pylist()):
                     b = int(offsets[i])
                     for r in rows:
                         lo, hi, at = r["lo"], r["hi"], r["at"]
                         owner.append(i)
-                        out.append((r["key"], r["hull"], lo, hi, at, buffer[b + lo : b + at], buffer[b + at + seed : b + hi + length]))
+                        out.append((r["key"], r["hull"], lo, hi, at, buffer[(b + lo) * size : (b + at) * size], buffer[(b + at + seed) * size : (b + hi + length) * size]))
                 if out:
                     take = pa.array(owner, pa.int64())
                     types = [pa.int64()] * 5 + [pa.binary()] * 2
@@ -179,8 +188,8 @@ def surroundings(docs: DataFrame, rows: DataFrame, length: int, seed: int) -> Da
     return texts.mapInArrow(run, f"id {kind}, th long, key long, hull long, lo long, hi long, at long, left binary, right binary").dropDuplicates(["id", "th", "lo"])
 
 
-def narrowed(rows: DataFrame, width: int, length: int, seed: int) -> DataFrame:
-    """Rows split into runs of at most ``width`` windows; the bytes that all windows of a run have join its key."""
+def narrowed(rows: DataFrame, width: int, length: int, seed: int, size: int = 1) -> DataFrame:
+    """Rows split into runs of at most ``width`` windows; the symbols, of ``size`` bytes, that all windows of a run have join its key."""
 
     def run(batches):
         for batch in batches:
@@ -191,9 +200,9 @@ def narrowed(rows: DataFrame, width: int, length: int, seed: int) -> DataFrame:
                 for b in range(low // width, high // width + 1):
                     o1, o2 = max(low, b * width), min(high, b * width + width - 1)
                     # What all windows of block b have, also those that this row lacks: so equal windows get equal keys.
-                    inner_left, inner_right = min(b * width, len(left)), max(0, length - seed - (b * width + width - 1))
+                    inner_left, inner_right = min(b * width * size, len(left)), max(0, length - seed - (b * width + width - 1)) * size
                     core = left[len(left) - inner_left :] + b"|" + right[:inner_right]
-                    l, r = left[len(left) - o2 :] if o2 else b"", right[: length - seed - o1]
+                    l, r = left[len(left) - o2 * size :] if o2 else b"", right[: (length - seed - o1) * size]
                     digest = lambda *x: int.from_bytes(hashlib.blake2b(b"|".join(x), digest_size=8).digest(), "little", signed=True)
                     owner.append(i)
                     out.append((digest(b"%d,%d" % (key, b), core), digest(b"%d,%d" % (o1, o2), l, b"", r), at - o2, at - o1, at, l, r))
@@ -208,7 +217,7 @@ def narrowed(rows: DataFrame, width: int, length: int, seed: int) -> DataFrame:
     return rows.select("id", "th", "key", "hull", "lo", "hi", "at", "left", "right").mapInArrow(run, rows.select("id", "th", "key", "hull", "lo", "hi", "at", "left", "right").schema)
 
 
-def collection_order(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def collection_order(strings: list[bytes], group: np.ndarray, size: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Each string's rank within the collection, ordered by group and then by symbols, and for each rank the common
     prefix with the string before it (-1 at a group's first).
 
@@ -216,10 +225,16 @@ def collection_order(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarra
     that it tells apart have a common prefix of the columns before.
     """
     m = len(strings)
-    width = max(map(len, strings), default=0)
+    lengths = [len(s) // size for s in strings]
+    width = max(lengths, default=0)
+    flat = np.frombuffer(b"".join(strings), np.uint8 if size == 1 else np.uint64)
+    codes = (flat if size == 1 else np.unique(flat, return_inverse=True)[1]).astype(np.int64) + 1
+    base = int(codes.max(initial=0)) + 1
     columns = np.zeros((width, m), np.int64)  # 0: ended
-    for i, s in enumerate(strings):
-        columns[: len(s), i] = np.frombuffer(s, np.uint8).astype(np.int64) + 1
+    at = 0
+    for i, n in enumerate(lengths):
+        columns[:n, i] = codes[at : at + n]
+        at += n
     order = np.argsort(group, kind="stable")
     lcp = np.full(m, width, np.int64)
     tied = group[order]
@@ -232,7 +247,7 @@ def collection_order(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarra
         if not len(live):
             break
         symbol = columns[depth, order[live]]
-        moved = np.argsort(classes[live] * 257 + symbol, kind="stable")
+        moved = np.argsort(classes[live] * base + symbol, kind="stable")
         order[live] = order[live][moved]
         symbol = symbol[moved]
         told = np.zeros(len(live), bool)
@@ -247,10 +262,11 @@ def collection_order(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarra
     return rank, lcp
 
 
-def repeated_windows(group: np.ndarray, low: np.ndarray, high: np.ndarray, left: list[bytes], right: list[bytes], reach: int) -> list[list[tuple[int, int]]]:
+def repeated_windows(group: np.ndarray, low: np.ndarray, high: np.ndarray, left: list[bytes], right: list[bytes], reach: int, size: int = 1) -> list[list[tuple[int, int]]]:
     """For each string pair the runs (o1, o2) of left reaches whose windows another member of its group has."""
-    rank_l, lcp_l = collection_order([s[::-1] for s in left], group)
-    rank_r, lcp_r = collection_order(right, group)
+    backwards = [s[::-1] if size == 1 else np.frombuffer(s, np.uint64)[::-1].tobytes() for s in left]
+    rank_l, lcp_l = collection_order(backwards, group, size)
+    rank_r, lcp_r = collection_order(right, group, size)
     m = len(group)
     runs: list[list[tuple[int, int]]] = [[] for _ in range(m)]
     for o in range(int(low.min()), int(high.max()) + 1):
@@ -271,7 +287,7 @@ def repeated_windows(group: np.ndarray, low: np.ndarray, high: np.ndarray, left:
     return runs
 
 
-def resolved(rows: DataFrame, length: int, seed: int) -> DataFrame:
+def resolved(rows: DataFrame, length: int, seed: int, size: int = 1) -> DataFrame:
     """``id, th, s, e``: removed spans of rows with ``left`` and ``right``, compared within their keys."""
     names = ("id", "th", "key", "lo", "hi", "at", "left", "right")
 
@@ -282,7 +298,7 @@ def resolved(rows: DataFrame, length: int, seed: int) -> DataFrame:
             group = np.array([r[2] for r in part])
             low, high = np.array([r[5] - r[4] for r in part]), np.array([r[5] - r[3] for r in part])
             out = []
-            for r, runs in zip(part, repeated_windows(group, low, high, [r[6] for r in part], [r[7] for r in part], length - seed)):
+            for r, runs in zip(part, repeated_windows(group, low, high, [r[6] for r in part], [r[7] for r in part], length - seed, size)):
                 out += [(r[0], r[1], r[5] - o2, r[5] - o1 + length) for o1, o2 in runs]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (kind, pa.int64(), pa.int64(), pa.int64()))], ["id", "th", "s", "e"])
@@ -304,27 +320,28 @@ def resolved(rows: DataFrame, length: int, seed: int) -> DataFrame:
     return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, f"id {kind}, th long, s long, e long")
 
 
-def repeated_spans(docs: DataFrame, length: int, seed: int, most: int) -> DataFrame:
-    """``id, th, s, e`` of windows' runs that recur; ``docs`` has ``id, th, text``."""
+def repeated_spans(docs: DataFrame, length: int, seed: int, most: int, words: bool = False) -> DataFrame:
+    """``id, th, s, e`` of windows' runs that recur; ``docs`` has ``id, th, text``.  Lengths and places count bytes, or ``words``."""
+    size = 8 if words else 1
     spans = lambda rows: rows.select("id", "th", F.col("lo").alias("s"), (F.col("to") + length).alias("e"))
-    repeated, open_ = settled(anchor_rows(docs, length, seed))
+    repeated, open_ = settled(anchor_rows(docs, length, seed, words))
     found = spans(repeated)
-    open_ = released(surroundings(docs, open_, length, seed))
+    open_ = released(surroundings(docs, open_, length, seed, words))
     for width in WIDTHS:
         counts = open_.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > most)
         large = open_.join(counts.select("key"), "key")
         if large.isEmpty():
             break
-        found = found.union(resolved(open_.join(counts, "key", "left_anti"), length, seed))
-        parts = narrowed(large, width, length, seed).select("*", F.col("hi").alias("to"), F.lit(1).cast("long").alias("weight"))
+        found = found.union(resolved(open_.join(counts, "key", "left_anti"), length, seed, size))
+        parts = narrowed(large, width, length, seed, size).select("*", F.col("hi").alias("to"), F.lit(1).cast("long").alias("weight"))
         repeated, open_ = settled(released(parts))
         found = found.union(spans(repeated))
-    return found.union(resolved(open_, length, seed))
+    return found.union(resolved(open_, length, seed, size))
 
 
 def without_repeats(
     docs: DataFrame, *, length: int = 400, seed: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most: int = 6_000, as_text: bool = False,
-    passage_words: int = 0, passage_seed: int = 42,
+    words: int = 0, words_seed: int = 16, passage_words: int = 0, passage_seed: int = 42,
 ) -> DataFrame:
     """Texts without the bytes of ``length``-byte strings that start anywhere else too.
 
@@ -334,6 +351,10 @@ def without_repeats(
     surroundings of one anchor that meet in one task.  With ``as_text``, ``kept`` is a string without the characters that a
     cut has split.  A kept column that has the name of another column gets ``in_`` in front of it.
 
+    With ``words``, passages of that many words that start anywhere else too go as well, however few bytes they have: words are told
+    apart by white space, A-Z are lower-cased, and white space counts for nothing, so a passage is found where its lines are broken
+    otherwise.  What follows a passage up to the next word goes with it.
+
     With ``passage_words``, also ``n_passages``: many passages are shorter than ``length`` bytes, and this counts the row's
     strings of ``passage_seed`` words, chosen by content so that any ``passage_words`` words in sequence hold one, that other
     rows have too.  It removes nothing.
@@ -342,10 +363,13 @@ def without_repeats(
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     named = named.select("id", "th", "text")
     none = F.lit(None).cast("long")
-    told = repeated_spans(named, length, seed, most).distinct().select("id", "th", "s", "e", none.alias("k"))
+    told = repeated_spans(named, length, seed, most).distinct().select("id", "th", "s", "e", F.lit(False).alias("w"), none.alias("k"))
+    if words:
+        told = released(told)  # what led to it can go before more comes
+        told = told.union(repeated_spans(named, words, words_seed, most, words=True).distinct().select("id", "th", "s", "e", F.lit(True), none))
     if passage_words:
-        told = told.union(shared_passages(named, passage_words, passage_seed).select("id", "th", none, none, "n_passages"))
-    listed = released(told.groupBy("id", "th").agg(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "e"))).alias("_spans"), F.max("k").alias("_k")))
+        told = told.union(shared_passages(named, passage_words, passage_seed).select("id", "th", none, none, F.lit(False), "n_passages"))
+    listed = released(told.groupBy("id", "th").agg(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "e", "w"))).alias("_spans"), F.max("k").alias("_k")))
     listed = listed.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_spans", "_k")
     text = F.coalesce(F.col(text_col), F.lit(""))
     added = ["n_bytes", "n_removed", "n_spans", "kept"] + (["n_passages"] if passage_words else [])
@@ -359,8 +383,14 @@ def without_repeats(
             for block in row_blocks(batch, "_text", BLOCK_BYTES):
                 data, offsets = text_bytes(block.column("_text"))
                 change = np.zeros(len(data) + 1, np.int32)
+                starts, _, bounds = word_places(data, offsets) if words else (None, None, None)
                 for i, own in enumerate(block.column("_spans").to_pylist()):
                     for s in own or ():
+                        if s["w"]:
+                            after = bounds[i] + s["e"]
+                            change[starts[bounds[i] + s["s"]]] += 1
+                            change[starts[after] if after < bounds[i + 1] else offsets[i + 1]] -= 1
+                            continue
                         change[offsets[i] + s["s"]] += 1
                         change[offsets[i] + s["e"]] -= 1
                 gone = np.cumsum(change[:-1]) > 0

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -188,8 +189,69 @@ def test_repeats_beyond_four_mebibytes(spark):
     assert {r.doc_id: r.kept for r in got} == {i: t.replace(passage, "") for i, t in rows}
 
 
+def without_passages(texts, length, words):
+    """``without`` and the same for runs of ``words`` words, with what follows them up to the next word."""
+    found = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    low = [(t or "").encode().lower() for t in texts]  # of bytes: A-Z alone
+    names = [[tuple(d[a:b] for a, b in own[i : i + words]) for i in range(len(own) - words + 1)] for d, own in zip(low, found)]
+    seen = collections.Counter(x for own in names for x in own)
+    strings = collections.Counter(t[i : i + length] for t in ((t or "").encode() for t in texts) for i in range(len(t) - length + 1))
+    out = []
+    for t, own, runs in zip(texts, found, names):
+        d = (t or "").encode()
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - length + 1):
+            if strings[d[i : i + length]] > 1:
+                gone[i : i + length] = True
+        for i, x in enumerate(runs):
+            if seen[x] > 1:
+                gone[own[i][0] : own[i + words][0] if i + words < len(own) else len(d)] = True
+        out.append(np.frombuffer(d, np.uint8)[~gone].tobytes())
+    return out
+
+
+@pytest.mark.parametrize("most", [6000, 2])
+def test_passages_of_words_are_removed(spark, corpus, most):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("aBcé"), rng.integers(1, 4)))
+    text = lambda n: [word() for _ in range(n)]
+    passage = text(40)
+    rows = list(corpus) + [(60, "A b " * 200), (61, "x" * 5), (62, " \n"), (63, None)]
+    for i in range(70, 100):  # parts of one passage, of various lengths, in other letters and lines
+        a, b = sorted(rng.integers(0, 41, 2))
+        own = text(int(rng.integers(0, 30))) + passage[a:b] + text(int(rng.integers(0, 9)))
+        own = " ".join(own) if i % 3 else "\n".join(own).upper()
+        rows.append((i, own + "  " * (i % 2)))
+    want = collections.Counter(zip([i for i, _ in rows], without_passages([t for _, t in rows], 100, 15)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.without_repeats(df, length=100, seed=20, most=most, words=15, words_seed=4).collect()
+    assert collections.Counter((r.doc_id, bytes(r.kept)) for r in got) == want
+    assert all(r.n_bytes - r.n_removed == len(r.kept) for r in got)
+
+
+def test_short_passages_of_many_words(spark):
+    """A passage of over 50 words that has fewer than 400 bytes goes in the pipeline, one of 50 words stays."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(n))
+    passage, shorter = text(51), text(50)
+    assert len(passage) < 400
+    own = [text(80) for _ in range(6)]
+    rows = [
+        (1, f"{own[0]}\n\n{passage} {own[1]}"), (2, f"{passage.capitalize()}\n{own[2]}"), (3, f"{own[3]} {passage.replace(' ', chr(10), 20)}"),
+        (4, f"{own[4]} {shorter}"), (5, f"{shorter} {own[5]}"), (6, ""), (7, None),
+    ]
+    want = {1: f"{own[0]}\n\n{own[1]}", 2: own[2], 3: f"{own[3]} ", 4: rows[3][1], 5: rows[4][1], 6: "", 7: ""}
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    cut = corpus_pipeline.cut_repeats(spark, docs, "")
+    assert {r.doc_id: r.text for r in cut.collect()} == want
+    assert all(r.n_chars == len(r.text) for r in cut.collect())
+
+
 def test_nothing_to_remove(no_docs):
     assert suffix_dedup.without_repeats(no_docs).count() == 0
+    assert suffix_dedup.without_repeats(no_docs, words=51).count() == 0
 
 
 def test_collection_order():
