@@ -11,6 +11,7 @@ piece's number says which window and which place in it are its own.
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BLOCK_BYTES, SliceCache, encode_block
+from .bpe import BLOCK_BYTES, SliceCache, encode_block, merge_by_length
 from .common import checkpointed, row_blocks, text_bytes
 
 
@@ -33,13 +34,40 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(1)
+def merge_table(path: str):
+    """What ``pair_table`` gives, from the file of a byte-level BPE whose words arise by merges alone; none for others."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+        return None
+    # Bytes that are no visible characters of Latin-1 are written as the characters from U+0100 on.
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    spelled = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*seen}))}
+    ids, pairs = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ranks = {ids[a] << 32 | ids[b]: i for i, (a, b) in enumerate(pairs)}
+    if not all(c in ids for c in spelled.values()):
+        return None
+    keys = np.array(sorted(ranks), np.int64)
+    return keys, np.array([ranks[k] for k in keys.tolist()], np.int64), np.array([ids[spelled[b]] for b in range(256)], np.int64), np.array([ids[a + b] for a, b in pairs], np.int64)
+
+
 class LibraryCache(SliceCache):
-    """Slices are merged by the tokenizers library, each distinct slice once."""
+    """Ids as the tokenizers library gives them, each distinct slice once.  Slices of at most 64 bytes are merged side by side by the
+    file's merges; longer ones, and all where the file allows for more than merges, go to the library."""
 
     def __init__(self, path: str):
-        self.tokenizer = load_tokenizer(path)
+        self.tokenizer, self.table = load_tokenizer(path), merge_table(path)
 
     def merged(self, pieces: list[bytes]) -> list[bytes]:
+        if self.table is None or not len(self.table[0]):
+            return self.by_library(pieces)
+        short = [p for p in pieces if len(p) <= 64]
+        found = iter(merge_by_length(short, self.table))
+        long = iter(self.by_library([p for p in pieces if len(p) > 64]) if len(short) < len(pieces) else ())
+        return [next(found) if len(p) <= 64 else next(long) for p in pieces]
+
+    def by_library(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import json
 import re
 import zlib
 
@@ -89,6 +90,28 @@ def test_packing(docs, no_docs, corpus):
     assert packing.packed_documents(no_docs, JSON).count() == 0
 
 
+def test_short_slices_are_merged_without_the_library(tmp_path):
+    """Ids of slices equal the library's, which is asked for long ones alone, or for all where the file says more than merges."""
+    rng = np.random.default_rng(12)
+    parts = [*"aeinrst", "th", "ing", "é", "ñ", "漢", "\U0001f600", "zq", "'", "-", "1"]
+    data, offsets = text_bytes(pa.array([" " * (k % 2) + "".join(rng.choice(parts, rng.integers(1, 40))) for k in range(3000)]))
+    starts, _ = bpe.slices(data, offsets)
+    pieces = [data[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(data)])] + [b"x", b" ", b"\0", b" " * 64, b"na" * 32, b"na" * 33, b"-" * 500]
+    with open(JSON, encoding="utf-8") as f:
+        file = json.load(f)
+    names = list(file["model"]["vocab"])
+    shuffled = dict(zip(names, rng.permutation(len(names)).tolist()))
+    files = {"plain": file, "shuffled": file | {"model": file["model"] | {"vocab": shuffled}, "added_tokens": []}, "whole": file | {"model": file["model"] | {"ignore_merges": True}}}
+    for name, content in files.items():
+        (tmp_path / name).write_text(json.dumps(content), encoding="utf-8")
+        cache = packing.LibraryCache(str(tmp_path / name))
+        asked, library = [], cache.by_library
+        cache.by_library = lambda x: asked.extend(x) or library(x)
+        want = [np.array(x.ids, "<u4").tobytes() for x in cache.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
+        assert cache.merged(pieces) == want
+        assert asked == [p for p in pieces if name == "whole" or len(p) > 64]
+
+
 def test_plan_covers_the_histogram():
     rng = np.random.default_rng(3)
     lengths, counts = np.unique(rng.integers(1, 200, 3000), return_counts=True)
